@@ -15,9 +15,11 @@ from .ranking import quantiles
 def unit_master(first: DataFrame, others: Sequence[DataFrame], key: str) -> DataFrame:
     """LEFT join every other unit table on the key. Columns already present are not repeated."""
     out = first
+    taken = set(first.columns) - {key}
     for other in others:
-        fresh = [c for c in other.columns if c == key or c not in out.columns]
+        fresh = [c for c in other.columns if c not in taken]
         out = out.join(other.select(*fresh), key, "left")
+        taken |= set(fresh) - {key}
     return out
 
 

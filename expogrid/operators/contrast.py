@@ -72,23 +72,6 @@ def pairwise_gaps(exposure: DataFrame, scheme: GroupScheme, by: Sequence[str] =
     return wide.select(*unpivot([*keys, *carry], records)).filter("__here").drop("__here")
 
 
-def measure_gaps(wide_exposure: DataFrame, scheme: GroupScheme, outcomes: dict[str, str]) -> DataFrame:
-    """Focal minus baseline of a few wide measures: ``outcomes`` maps a label to a column."""
-    long = wide_exposure.select(*unpivot(["group_code"], [
-        {"outcome": F.lit(label), "value": F.col(c)} for label, c in outcomes.items()
-    ]))
-    side = beside(long, ["outcome"], scheme, ["value"])
-    f = scheme.focal.code
-    return side.select(*unpivot(["outcome"], [
-        {
-            "baseline_code": F.lit(b.code), "baseline_label": F.lit(b.label),
-            "focal_percent": F.col(f"value__{f}"), "baseline_percent": F.col(f"value__{b.code}"),
-            "focal_minus_baseline_pp": minus(f"value__{f}", f"value__{b.code}"),
-        }
-        for b in scheme.baselines
-    ]))
-
-
 def band_change(gradient: DataFrame, by: Sequence[str], group_code: str, estimand: str, low: int = 1, high: int = 8) -> DataFrame:
     """Top-band minus low-band display value of one group."""
     order = F.col("band_order")

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import BAND_LABELS, band_label, ratio, unpivot, weighted_mean
 from ..functions.model import GroupScheme, Indicator
+from .keys import join_on
+from .ranking import quantiles
 
 EQUAL_UNIT = "equal-unit mean"
 GROUP_WEIGHTED = "group-weighted mean"
@@ -135,6 +137,27 @@ def concentration_gradient(
     return wide.select(*unpivot([*fields, band_label("band_order").alias("band"), "units", "group_members"], records))
 
 
+def condition_gradient(
+    grouped: DataFrame, scheme: GroupScheme, percents: Sequence[str] = (), means: Sequence[str] = (), medians: Sequence[str] = (),
+    ratios: dict[str, tuple[str, str, float]] | None = None, by: Sequence[str] = (),
+) -> DataFrame:
+    """Wide table per group and band: percents of flags, means, exact medians and ratios of sums.
+
+    ``ratios`` maps a name to (numerator, denominator, scale). Medians come from the
+    distributed ranking and join as one small row per group and band.
+    """
+    keys = [*by, "group_code", "group_label", "band_order"]
+    out = grouped.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("units"), F.sum(f"group_{scheme.main}").alias("group_members"),
+        *[(F.avg(F.col(c).cast("double")) * 100).alias(f"{c}_percent") for c in percents],
+        *[F.avg(F.col(c).cast("double")).alias(f"mean_{c}") for c in means],
+        *[ratio(F.sum(a), F.sum(b), scale).alias(name) for name, (a, b, scale) in (ratios or {}).items()],
+    )
+    for c in medians:
+        out = join_on(out, quantiles(grouped, keys, c, {f"median_{c}": 0.5}), keys, "left")
+    return out.withColumn("band", band_label("band_order"))
+
+
 def focal_profile(
     units: DataFrame, indicators: Sequence[Indicator], scheme: GroupScheme, by: Sequence[str]
 ) -> DataFrame:

@@ -17,39 +17,39 @@ from .keys import join_on
 
 
 def ordered_counts(df: DataFrame, keys: Sequence[str], value: str, buckets: int = 256) -> DataFrame:
-    """One row per (keys, value): ``n``, rows ``before`` it in value order, ``total`` rows of the key.
+    """One row per (keys, value): ``__n``, rows ``__before`` it in value order, ``__total`` rows of the key.
 
-    NULL values come last and count in ``total``.
+    NULL values come last and count in ``__total``.
     """
     keys = list(keys)
-    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
     cuts = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    # Reading n here keeps both uses of `counts` identical, so they share one shuffle.
+    # Reading __n here keeps both uses of `counts` identical, so they share one shuffle.
     splits = counts.agg(
-        F.percentile_approx(F.when(F.col("n") > 0, F.col(value).cast("double")), cuts, 20 * buckets).alias("s")
+        F.percentile_approx(F.when(F.col("__n") > 0, F.col(value).cast("double")), cuts, 20 * buckets).alias("s")
     ).scalar()
     parts = counts.withColumn("__s", splits).withColumn(
-        "bucket",
+        "__bucket",
         F.when(F.col(value).isNull(), F.lit(buckets + 1)).otherwise(
             F.coalesce(F.size(F.filter("__s", lambda edge: edge < F.col(value))), F.lit(0))
         ),
     ).drop("__s")
-    inside = Window.partitionBy(*keys, "bucket").orderBy(F.col(value).asc_nulls_last())
+    inside = Window.partitionBy(*keys, "__bucket").orderBy(F.col(value).asc_nulls_last())
     local = parts.withColumn(
-        "__local", F.sum("n").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
+        "__local", F.sum("__n").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("__n")
     )
     # At most `buckets` + 2 rows per key from here on.
-    sizes = parts.groupBy(*keys, "bucket").agg(F.sum("n").alias("__size"))
+    sizes = parts.groupBy(*keys, "__bucket").agg(F.sum("__n").alias("__size"))
     across = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     offsets = sizes.select(
-        *keys, "bucket",
+        *keys, "__bucket",
         F.coalesce(
-            F.sum("__size").over(across.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+            F.sum("__size").over(across.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
         ).alias("__offset"),
-        F.sum("__size").over(across).alias("total"),
+        F.sum("__size").over(across).alias("__total"),
     )
-    return join_on(local, offsets, [*keys, "bucket"]).select(
-        *keys, value, "n", (F.col("__offset") + F.col("__local")).alias("before"), "total"
+    return join_on(local, offsets, [*keys, "__bucket"]).select(
+        *keys, value, "__n", (F.col("__offset") + F.col("__local")).alias("__before"), "__total"
     )
 
 
@@ -62,14 +62,14 @@ def quantiles(
     found, out = [], []
     x = F.col(value).cast("double")
     for name, p in probabilities.items():
-        spot = F.lit(float(p)) * (F.col("total") - 1)
+        spot = F.lit(float(p)) * (F.col("__total") - 1)
         for side, rank in (("lo", F.floor(spot)), ("hi", F.ceil(spot))):
-            here = (F.col("before") <= rank) & (rank < F.col("before") + F.col("n"))
+            here = (F.col("__before") <= rank) & (rank < F.col("__before") + F.col("__n"))
             found.append(F.max(F.when(here, x)).alias(f"__{name}_{side}"))
         last = F.lit(float(p)) * (F.col("__total") - 1)
         lo, hi = F.col(f"__{name}_lo"), F.col(f"__{name}_hi")
         out.append((lo + (hi - lo) * (last - F.floor(last))).alias(name))
-    return placed.groupBy(*keys).agg(*found, F.max("total").alias("__total")).select(*keys, *out)
+    return placed.groupBy(*keys).agg(*found, F.max("__total").alias("__total")).select(*keys, *out)
 
 
 def percent_ranks(
@@ -91,7 +91,7 @@ def percent_ranks(
     placed = ordered_counts(long, ["__which", region], "__value", buckets).filter(F.col("__value").isNotNull())
     ranked = placed.select(
         "__which", region, "__value",
-        F.when(F.col("total") <= 1, F.lit(0.0)).otherwise(F.try_divide(F.col("before"), F.col("total") - 1)).alias("__rank"),
+        F.when(F.col("__total") <= 1, F.lit(0.0)).otherwise(F.try_divide(F.col("__before"), F.col("__total") - 1)).alias("__rank"),
     )
     matched = join_on(long.filter(F.col("__value").isNotNull()), ranked, ["__which", region, "__value"])
     return matched.groupBy(unit).agg(
