@@ -24,6 +24,9 @@ def all_of(conditions: Iterable[Column]) -> Column:
 
 def total_of(columns: Iterable[str | Column]) -> Column:
     """Sum over columns with NULL read as zero."""
+    columns = list(columns)
+    if all(isinstance(c, str) for c in columns):
+        return F.expr(" + ".join(f"coalesce(`{c}`, 0)" for c in columns))
     return reduce(add, [F.coalesce(_col(c), F.lit(0)) for c in columns])
 
 

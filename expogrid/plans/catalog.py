@@ -604,7 +604,7 @@ def fixed_effect_ols(spark, d):
 @register("controlled_ols")
 def controlled_ols(spark, d):
     """Shares, log size and segment dummies; checked against a dense solution in the tests."""
-    units = P.customer_units(spark, d)
+    units = sinks.store(P.customer_units(spark, d), "customers")
     terms = [models.Regressor(c, F.col(c), c) for c in ("a0_share", "b0_share", "c0_share", "d0_share")]
     terms += [models.Regressor("log_size", F.log(F.lit(1.0) + F.col("total_qty")), "log size"), *models.dummies(units, "segment", "segment", "segment")]
     fits = models.fit_within(units, OLS, terms, "region", "subregion")
@@ -619,9 +619,24 @@ BINARY = [i.code for i in NI if i.kind == "binary_adverse"]
 REAL = [i.code for i in NI if i.kind != "binary_adverse"]
 
 
+def survey(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """Phase 1: the six typed tables, written once per application and folder."""
+    plans = None
+    out = {}
+    for name in S.COLUMNS:
+        def build(name=name):
+            nonlocal plans
+            plans = plans or P.school_tables(spark, d)
+            return plans[name]
+        out[name] = sinks.stage(spark, f"survey-{name}:{d}", build)
+    return out
+
+
 def results(spark: SparkSession, d: str) -> SchoolResults:
-    tables = P.school_tables(spark, d)
-    return SchoolResults(unit_indicators(tables), tables, STATES, MIN_W, MIN_N)
+    """Phase 2: the indicator table, written once; every result restarts from it."""
+    tables = survey(spark, d)
+    units = sinks.stage(spark, f"survey-units:{d}", lambda: unit_indicators(tables))
+    return SchoolResults(units, tables, STATES, MIN_W, MIN_N)
 
 
 STATES = ("ASIA", "EUROPE", "AFRICA")
@@ -638,17 +653,17 @@ def whole_columns(df: DataFrame, names) -> DataFrame:
 
 @register("school_composition", O.s1(f"SELECT pseudocode, {', '.join(O.whole(c, c) for c in SCHOOL_COUNTS)}, {', '.join(O.rd(c, c) for c in SCHOOL_SHARES)} FROM cp"))
 def school_composition(spark, d):
-    return whole_columns(composition(P.school_tables(spark, d)["enrolment_1"]), SCHOOL_COUNTS)
+    return whole_columns(composition(survey(spark, d)["enrolment_1"]), SCHOOL_COUNTS)
 
 
 @register("school_age_grade", O.s1(f"SELECT pseudocode, {', '.join(O.whole(f'age_{a}', f'age_{a}') for a in ('total', 'over', 'under', 'on'))} FROM ag"))
 def school_age_grade(spark, d):
-    return whole_columns(age_grade(P.school_tables(spark, d)["enrolment_2"]), ["age_total", "age_over", "age_under", "age_on"])
+    return whole_columns(age_grade(survey(spark, d)["enrolment_2"]), ["age_total", "age_over", "age_under", "age_on"])
 
 
 @register("school_indicators", O.s1(f"SELECT pseudocode, {', '.join(O.whole(c, c) for c in BINARY)}, {', '.join(O.rd(c, c) for c in REAL)} FROM u"))
 def school_indicators(spark, d):
-    out = unit_indicators(P.school_tables(spark, d))
+    out = unit_indicators(survey(spark, d))
     return out.select("pseudocode", *BINARY, *[F.col(c).cast("double").alias(c) for c in REAL])
 
 
@@ -738,17 +753,17 @@ FIRST = ",\nf0 AS (SELECT *, CASE WHEN highclass >= 10 THEN 1 ELSE 0 END AS reac
  {O.rd('median(student_teacher_ratio)', 'median_student_teacher_ratio')}, {O.rd(O.div('sum(total_class_rooms) * 100.0', 'sum(total_students)'), 'weighted_classrooms_per_100')},
  {O.rd(O.div('sum(grants_receipt)', 'sum(total_students)'), 'weighted_grant_per_student')} FROM fg GROUP BY 1, 2, band_order""", FIRST))
 def first_condition_gradient(spark, d):
-    return FirstResults(P.school_tables(spark, d)).gradients()
+    return FirstResults(survey(spark, d)).gradients()
 
 
 @register("first_exposure", O.s1(O.exposure_sql(SCHOOL, FIRST_OUTCOMES), FIRST + ",\n" + O.exposure_cte(SCHOOL, FIRST_OUTCOMES, denominator="all", source="fg")))
 def first_exposure(spark, d):
-    return FirstResults(P.school_tables(spark, d)).exposures()
+    return FirstResults(survey(spark, d)).exposures()
 
 
 @register("first_gaps", O.s1(O.gaps_sql(SCHOOL, directed=False), FIRST + _lx(FIRST_OUTCOMES[:5], scheme=SCHOOL, denominator="all", source="fg")))
 def first_gaps(spark, d):
-    return FirstResults(P.school_tables(spark, d)).gaps()
+    return FirstResults(survey(spark, d)).gaps()
 
 
 @register("selected_state_exposure", O.s1(O.exposure_sql(SCHOOL, N.SELECTED, ["state"]), SELECTED_G + ",\n" + O.exposure_cte(SCHOOL, N.SELECTED, ["state"], source="gs", where="TRUE")))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import tempfile
+import uuid
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,6 +51,33 @@ def read_checkpoint(spark: SparkSession, path: str, columns: Sequence[str] | Non
     return df.select(*columns) if columns else df
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The shared checkpoint folder the cluster names; a private one only where none is set."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="expogrid-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def store(df: DataFrame, name: str = "table") -> DataFrame:
+    """Cut the lineage by a written table: survives lost executors, and later reads prune columns."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_STAGES: dict[tuple[str, str], DataFrame] = {}
+
+
+def stage(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A build stage of a pipeline: written on first use in an application, then reused by its later stages."""
+    key = (spark.sparkContext.applicationId, name)
+    if key not in _STAGES:
+        _STAGES[key] = store(build(), name.split(":")[0])
+    return _STAGES[key]
+
+
 def run_counts(tables: dict[str, DataFrame]) -> DataFrame:
     """Rows per output table, in one job."""
     parts = [df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("output_table"), "rows") for name, df in tables.items()]
