@@ -19,8 +19,10 @@ def conditional_pivot(
     One aggregate with map-side partial sums, so a key with very many long rows costs
     one partial row per task. ``only`` restricts the measures of some matches.
     """
+    kinds = {f.name: f.dataType for f in long.schema.fields}
+    zero = {m: F.lit(0).cast(kinds[m]) for m in measures}
     sums = [
-        F.sum(F.when(match, F.col(m)).otherwise(F.lit(0).cast(long.schema[m].dataType))).alias(f"{name}_{m}")
+        F.sum(F.when(match, F.col(m)).otherwise(zero[m])).alias(f"{name}_{m}")
         for name, match in matches.items()
         for m in (only or {}).get(name, measures)
     ]
