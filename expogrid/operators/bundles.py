@@ -84,15 +84,17 @@ def bundle_exposure(grouped: DataFrame, bundles: Sequence[Bundle], scheme: Group
     members = list(dict.fromkeys(m for b in bundles for m in b.members))
     bit = {m: 1 << i for i, m in enumerate(members)}
     table = patterns(grouped, bundles, scheme, by)
-    measure = lambda b: b.weight if b.weight in scheme.measures else scheme.main
-    spread = table.select(*unpivot([*by, "observed", "adverse", "units"], [
-        {
-            "bundle_code": F.lit(b.code),
-            "need": F.lit(sum(bit[m] for m in b.members)).cast("long"),
-            "weight": F.col(f"w_{measure(b)}"),
-        }
+    # The bundle list is a constant array, folded once by the optimizer.
+    quoted = lambda text: "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    listed = ", ".join(
+        f"struct({quoted(b.code)} AS bundle_code, {sum(bit[m] for m in b.members)}L AS need, "
+        f"{quoted(b.weight if b.weight in scheme.measures else scheme.main)} AS measure)"
         for b in bundles
-    ]))
+    )
+    weight = F.col(f"w_{scheme.main}")
+    for m in scheme.measures[1:]:
+        weight = F.when(F.col("measure") == m, F.col(f"w_{m}")).otherwise(weight)
+    spread = table.select("*", F.expr(f"inline(array({listed}))")).withColumn("weight", weight)
     seen = F.col("observed").bitwiseAND(F.col("need")) == F.col("need")
     hit = seen & (F.col("adverse").bitwiseAND(F.col("need")) == F.col("need"))
     zero = F.lit(0)
