@@ -66,3 +66,17 @@ def store(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/llm-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def blocks_of(text: str | None, split=alnum_words, size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The words of a whole text, for a very long one about ``size`` characters at a time, cut at blanks or line ends."""
+    if not text or len(text) <= size:
+        yield split(text)
+        return
+    start = 0
+    while start < len(text):
+        end = start + size
+        while end < len(text) and text[end] not in " \n":
+            end += 1
+        yield split(text[start:end])
+        start = end

@@ -8,13 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from expogrid.llm import jump, overlap
+from expogrid.llm import fmindex, jump, overlap
 from expogrid.llm.common import table
 
 SHARDS = 40
 TOKEN_LIMIT = 4096
 
 
+def op8_fm_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = fmindex.scan(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark"))
+    return found.select(
+        "row.doc_id", "n_words", fmindex.n_hit().alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        fmindex.items_digest(F.col("items")).alias("items_sha256"), fmindex.contaminated().alias("contaminated"),
+    )
+
+
 def op9_jump_shards(spark: SparkSession, folder: str) -> DataFrame:
     return jump.assign(table(spark, folder, "documents"), SHARDS)
 
@@ -25,6 +33,30 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op9_jump_shards, op10_token_counts)
+    f.__name__: f for f in (op8_fm_decontamination, op9_jump_shards, op10_token_counts)
+}
+#: Words of every document with its row number, since ids may repeat.
+_WORDS = r"""
+  SELECT rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM (SELECT row_number() OVER () AS rid, doc_id, text FROM {source})
+"""
+ORACLES: dict[str, str] = {
+    "op8_fm_decontamination": f"""
+WITH docs AS MATERIALIZED ({_WORDS.format(source="documents")}),
+items AS ({_WORDS.format(source="(SELECT item_id AS doc_id, text FROM benchmark)")}),
+windows AS MATERIALIZED (
+  SELECT DISTINCT doc_id AS item_id, len(part) AS n, array_to_string(part, ' ') AS phrase
+  FROM (SELECT doc_id, list_slice(w, i, i + 12) AS part FROM items, unnest(range(1, greatest(1, len(w) - 12) + 1)) AS u(i) WHERE len(w) > 0)),
+grams AS (
+  SELECT rid, i, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS phrase
+  FROM docs, (SELECT DISTINCT n FROM windows), unnest(range(1, len(w) - n + 2)) AS u(i)),
+found AS MATERIALIZED (SELECT DISTINCT rid, i, n, item_id FROM grams JOIN windows USING (n, phrase)),
+hit AS (SELECT rid, count(DISTINCT p) AS n_hit FROM found, unnest(range(i, i + n)) AS u(p) GROUP BY rid),
+named AS (SELECT rid, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+  FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS id FROM found WHERE item_id IS NOT NULL) GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM docs LEFT JOIN hit USING (rid) LEFT JOIN named USING (rid)
+""",
 }
-ORACLES: dict[str, str] = {}
