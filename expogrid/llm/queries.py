@@ -8,13 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from expogrid.llm import fmindex, jump, overlap
-from expogrid.llm.common import table
+from expogrid.llm import fmindex, jump, overlap, toxicity
+from expogrid.llm.common import held_out, table
 
 SHARDS = 40
 TOKEN_LIMIT = 4096
 
 
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    scorer = toxicity.fit(docs, table(spark, folder, "labels"))
+    return toxicity.scored(docs.select("doc_id", "text"), scorer).select("row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op8_fm_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = fmindex.scan(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark"))
     return found.select(
@@ -33,7 +39,7 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op8_fm_decontamination, op9_jump_shards, op10_token_counts)
+    f.__name__: f for f in (op5_toxicity, op8_fm_decontamination, op9_jump_shards, op10_token_counts)
 }
 #: Words of every document with its row number, since ids may repeat.
 _WORDS = r"""
