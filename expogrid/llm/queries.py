@@ -8,13 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from expogrid.llm import fmindex, jump, overlap, toxicity
+from expogrid.llm import fmindex, jump, overlap, simhash, toxicity
 from expogrid.llm.common import held_out, table
 
 SHARDS = 40
 TOKEN_LIMIT = 4096
 
 
+def op3_simhash_bktree(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     scorer = toxicity.fit(docs, table(spark, folder, "labels"))
@@ -39,7 +43,7 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op5_toxicity, op8_fm_decontamination, op9_jump_shards, op10_token_counts)
+    f.__name__: f for f in (op3_simhash_bktree, op5_toxicity, op8_fm_decontamination, op9_jump_shards, op10_token_counts)
 }
 #: Words of every document with its row number, since ids may repeat.
 _WORDS = r"""
