@@ -8,13 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from expogrid.llm import fmindex, jump, overlap, simhash, toxicity
+from expogrid.llm import fmindex, jump, licences, overlap, simhash, toxicity
 from expogrid.llm.common import held_out, table
 
 SHARDS = 40
 TOKEN_LIMIT = 4096
 
 
+def op1_licence_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licences.summary(licences.scan(table(spark, folder, "documents")))
+
+
 def op3_simhash_bktree(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
@@ -43,7 +47,7 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_simhash_bktree, op5_toxicity, op8_fm_decontamination, op9_jump_shards, op10_token_counts)
+    f.__name__: f for f in (op1_licence_scan, op3_simhash_bktree, op5_toxicity, op8_fm_decontamination, op9_jump_shards, op10_token_counts)
 }
 #: Words of every document with its row number, since ids may repeat.
 _WORDS = r"""
@@ -52,6 +56,7 @@ _WORDS = r"""
   FROM (SELECT row_number() OVER () AS rid, doc_id, text FROM {source})
 """
 ORACLES: dict[str, str] = {
+    "op1_licence_scan": licences.oracle(),
     "op8_fm_decontamination": f"""
 WITH docs AS MATERIALIZED ({_WORDS.format(source="documents")}),
 items AS ({_WORDS.format(source="(SELECT item_id AS doc_id, text FROM benchmark)")}),
