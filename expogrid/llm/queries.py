@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from expogrid.llm import fmindex, jump, licences, overlap, simhash, toxicity
+from expogrid.llm import fmindex, jump, language, licences, overlap, simhash, toxicity
 from expogrid.llm.common import held_out, table
 
 SHARDS = 40
@@ -29,6 +29,12 @@ def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.scored(docs.select("doc_id", "text"), scorer).select("row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = language.identify(docs, language.fit(docs, public_tokenizers.path("piece_bpe_32k.model")))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op8_fm_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = fmindex.scan(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark"))
     return found.select(
@@ -47,7 +53,7 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_licence_scan, op3_simhash_bktree, op5_toxicity, op8_fm_decontamination, op9_jump_shards, op10_token_counts)
+    f.__name__: f for f in (op1_licence_scan, op3_simhash_bktree, op5_toxicity, op7_language_id, op8_fm_decontamination, op9_jump_shards, op10_token_counts)
 }
 #: Words of every document with its row number, since ids may repeat.
 _WORDS = r"""
