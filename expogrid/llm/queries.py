@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from expogrid.llm import fmindex, jump, language, licences, overlap, simhash, toxicity
+from expogrid.llm import fmindex, jump, language, licences, overlap, pieces, sentencepieces, simhash, toxicity
 from expogrid.llm.common import held_out, table
 
 SHARDS = 40
@@ -29,6 +29,16 @@ def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.scored(docs.select("doc_id", "text"), scorer).select("row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op6_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of every text, a digest of their ids, whether decoding restores the text, and parity with the library."""
+    done = sentencepieces.encoded(table(spark, folder, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
+    return done.select(
+        "row.doc_id", F.coalesce(F.octet_length("row.text"), F.lit(0)).cast("long").alias("n_bytes"), F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.coalesce("ids", F.array().cast("array<int>")).cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+        F.col("decoded").eqNullSafe(F.replace("row.text", F.lit(pieces.MARK), F.lit(" "))).alias("restored"), "parity",
+    )
+
+
 def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     found = language.identify(docs, language.fit(docs, public_tokenizers.path("piece_bpe_32k.model")))
@@ -53,7 +63,7 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_licence_scan, op3_simhash_bktree, op5_toxicity, op7_language_id, op8_fm_decontamination, op9_jump_shards, op10_token_counts)
+    f.__name__: f for f in (op1_licence_scan, op3_simhash_bktree, op5_toxicity, op6_sentencepiece, op7_language_id, op8_fm_decontamination, op9_jump_shards, op10_token_counts)
 }
 #: Words of every document with its row number, since ids may repeat.
 _WORDS = r"""
