@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from expogrid.llm import fmindex, jump, language, licences, overlap, pieces, sentencepieces, simhash, toxicity
+from expogrid.llm import fmindex, jump, language, licences, overlap, pieces, sentencepieces, simhash, sketches, toxicity
 from expogrid.llm.common import held_out, table
 
 SHARDS = 40
@@ -19,6 +19,10 @@ def op1_licence_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licences.summary(licences.scan(table(spark, folder, "documents")))
 
 
+def op2_sketch_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return sketches.versions(table(spark, folder, "documents"))
+
+
 def op3_simhash_bktree(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
@@ -63,7 +67,7 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_licence_scan, op3_simhash_bktree, op5_toxicity, op6_sentencepiece, op7_language_id, op8_fm_decontamination, op9_jump_shards, op10_token_counts)
+    f.__name__: f for f in (op1_licence_scan, op2_sketch_fingerprints, op3_simhash_bktree, op5_toxicity, op6_sentencepiece, op7_language_id, op8_fm_decontamination, op9_jump_shards, op10_token_counts)
 }
 #: Words of every document with its row number, since ids may repeat.
 _WORDS = r"""
