@@ -214,7 +214,7 @@ def versions(docs: DataFrame, part_bytes: int = 24 << 20, id_col: str = "doc_id"
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 6, (pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["part", "halo", "k", "doc_id", "h", "data"])
 
     rows = named.mapInArrow(deal, "part int, halo boolean, k long, doc_id long, h long, data binary")
-    rows = rows.repartition(last + 1, "part").sortWithinPartitions("part", "halo", F.desc("k"), "h")
+    rows = rows.repartitionById(last + 1, F.col("part")).sortWithinPartitions("part", "halo", F.desc("k"), "h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
