@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from expogrid.llm import fmindex, jump, language, licences, overlap, pieces, sentencepieces, simhash, sketches, toxicity
+from expogrid.llm import fmindex, jump, language, licences, overlap, pieces, sentencepieces, simhash, sketches, toxicity, windows
 from expogrid.llm.common import held_out, table
 
 SHARDS = 40
@@ -27,6 +27,15 @@ def op3_simhash_bktree(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+def op4_compact_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """Passages of 50 words and more that a document shares with another, and the documents that keep them."""
+    found = windows.repeats(table(spark, folder, "documents"))
+    spans = F.transform("spans", lambda s: F.concat_ws("-", s["start"], s["end"]))
+    return found.select(
+        "doc_id", "n_words", windows.covered(F.col("spans")).alias("n_repeated"), F.size("spans").cast("long").alias("n_spans"), F.array_join(spans, ",").alias("spans"), "partners",
+    )
+
+
 def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     scorer = toxicity.fit(docs, table(spark, folder, "labels"))
@@ -67,7 +76,7 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_licence_scan, op2_sketch_fingerprints, op3_simhash_bktree, op5_toxicity, op6_sentencepiece, op7_language_id, op8_fm_decontamination, op9_jump_shards, op10_token_counts)
+    f.__name__: f for f in (op1_licence_scan, op2_sketch_fingerprints, op3_simhash_bktree, op4_compact_windows, op5_toxicity, op6_sentencepiece, op7_language_id, op8_fm_decontamination, op9_jump_shards, op10_token_counts)
 }
 #: Words of every document with its row number, since ids may repeat.
 _WORDS = r"""
