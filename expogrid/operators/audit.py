@@ -152,10 +152,3 @@ def raw_code_audit(
         "source_table": F.lit(source),
         "interpretation_status": F.lit("raw code only; code book required"),
     })
-
-
-def sorted_codes(audit: DataFrame) -> DataFrame:
-    """Numeric codes first by value, then other texts, NULL last."""
-    return audit.orderBy(
-        "source_table", "column_name", F.col("raw_code").try_cast("double").asc_nulls_last(), F.col("raw_code").asc_nulls_last()
-    )

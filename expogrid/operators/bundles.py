@@ -14,7 +14,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import BAND_LABELS, all_members, all_of, band_label, member_mask, minus, ratio, unpivot
+from ..functions.columns import BAND_LABELS, all_of, band_label, member_mask, minus, ratio, unpivot
 from ..functions.model import Bundle, GroupScheme
 from .contrast import beside
 
@@ -56,11 +56,6 @@ def bundle_catalogue(spark, bundles: Sequence[Bundle]) -> DataFrame:
     ))
 
 
-def with_flags(units: DataFrame, bundles: Sequence[Bundle]) -> DataFrame:
-    """The compound flag of each bundle as a column of the units."""
-    return units.withColumns({b.code: all_members(b.members) for b in bundles})
-
-
 def in_scopes(units: DataFrame, scopes: dict[str, Column], name: str = "scope") -> DataFrame:
     """Repeat each unit once per scope it belongs to, in one scan."""
     member = F.array_compact(F.array(*[F.when(test, F.lit(code)) for code, test in scopes.items()]))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import holds
-from ..functions.model import Bundle, Group, GroupScheme, Indicator
+from ..functions.model import EXPOSED, Bundle, Group, GroupScheme, Indicator, better, worse
 from ..operators import compose
 from ..operators.bundles import lattice
 from ..presets import schools as S
@@ -36,15 +36,15 @@ STAGES = (("s1", "1995-96", (1995, 1996)), ("s2", "1997-98", (1997, 1998)), ("s3
 STAGE_LABELS = tuple((s, label) for s, label, _ in STAGES)
 
 INDICATORS = (
-    Indicator("in_debt", "Negative balance", "binary_adverse", "money", weight="qty"),
-    Indicator("few_orders", "Fewer than nine orders", "binary_adverse", "volume", weight="qty"),
-    Indicator("low_value", "Low mean line price", "binary_adverse", "money", weight="qty_f"),
-    Indicator("deep_discount", "Mean discount above five percent", "binary_adverse", "price", weight="qty"),
-    Indicator("big_lines", "Mean line above 25.5 pieces", "binary_adverse", "volume", weight="qty"),
-    Indicator("no_recent", "No order in 2001", "binary_adverse", "volume", weight="qty_f"),
-    Indicator("balance_per_order", "Balance per order", "continuous_beneficial", "money", weight="qty"),
-    Indicator("discount_share", "Mean discount", "continuous_adverse", "price", weight="qty"),
-    Indicator("line_price", "Mean line price", "continuous_beneficial", "price", weight="qty_f"),
+    Indicator("in_debt", "Negative balance", EXPOSED, "money", weight="qty"),
+    Indicator("few_orders", "Fewer than nine orders", EXPOSED, "volume", weight="qty"),
+    Indicator("low_value", "Low mean line price", EXPOSED, "money", weight="qty_f"),
+    Indicator("deep_discount", "Mean discount above five percent", EXPOSED, "price", weight="qty"),
+    Indicator("big_lines", "Mean line above 25.5 pieces", EXPOSED, "volume", weight="qty"),
+    Indicator("no_recent", "No order in 2001", EXPOSED, "volume", weight="qty_f"),
+    Indicator("balance_per_order", "Balance per order", better(1.0, "raw value", "outcome units"), "money", weight="qty"),
+    Indicator("discount_share", "Mean discount", worse(100.0, "percent", "percentage points"), "price", weight="qty"),
+    Indicator("line_price", "Mean line price", better(1.0, "raw value", "outcome units"), "price", weight="qty_f"),
 )
 FLAGS = INDICATORS[:6]
 CODES = [i.code for i in INDICATORS]

@@ -1,6 +1,6 @@
 import pytest
 
-from expogrid.functions.model import Indicator, check_registry
+from expogrid.functions.model import EXPOSED, Indicator, check_registry
 from expogrid.presets import indicators as N
 from expogrid.presets import schools as S
 from expogrid.sources.schema import TableSchema, normal_name, type_map
@@ -15,10 +15,10 @@ def test_registry_shape():
 
 
 def test_registry_faults():
-    one = Indicator("a", "a", "binary_adverse")
+    one = Indicator("a", "a", EXPOSED)
     with pytest.raises(ValueError, match="repeated"):
         check_registry((one, one))
-    with pytest.raises(ValueError, match="unknown"):
+    with pytest.raises(ValueError, match="without a known measure"):
         check_registry((Indicator("b", "b", "odd"),))
 
 
