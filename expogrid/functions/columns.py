@@ -79,10 +79,16 @@ def all_members(flags: Sequence[str | Column]) -> Column:
     return F.when(all_of([c.isNotNull() for c in cols]), holds(all_of([c == 1 for c in cols])))
 
 
+MASK_BITS = 62
+
+
+def member_masks(flags: Sequence[str | Column], state: str) -> list[Column]:
+    """Pack flags into longs of ``MASK_BITS`` each, as many as they need; see ``member_mask``."""
+    return [member_mask(flags[i : i + MASK_BITS], state) for i in range(0, len(flags), MASK_BITS)]
+
+
 def member_mask(flags: Sequence[str | Column], state: str) -> Column:
     """Pack flags into one long: bit i is set when flag i is observed (or equals one)."""
-    if len(flags) > 62:
-        raise ValueError("at most 62 flags fit in one mask")
     test = (lambda c: c.isNotNull()) if state == "observed" else (lambda c: F.coalesce(c == 1, F.lit(False)))
     bits = [F.when(test(_col(c)), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")) for i, c in enumerate(flags)]
     return reduce(add, bits)

@@ -14,7 +14,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import BAND_LABELS, all_of, band_label, member_mask, minus, ratio, unpivot
+from ..functions.columns import BAND_LABELS, MASK_BITS, all_of, band_label, member_masks, minus, ratio, unpivot
 from ..functions.model import Bundle, GroupScheme
 from .contrast import beside
 
@@ -65,9 +65,8 @@ def in_scopes(units: DataFrame, scopes: dict[str, Column], name: str = "scope")
 def patterns(grouped: DataFrame, bundles: Sequence[Bundle], scheme: GroupScheme, by: Sequence[str]) -> DataFrame:
     """Sum the weights per (fields, observed mask, adverse mask)."""
     members = list(dict.fromkeys(m for b in bundles for m in b.members))
-    return grouped.groupBy(
-        *by, member_mask(members, "observed").alias("observed"), member_mask(members, "adverse").alias("adverse")
-    ).agg(F.count(F.lit(1)).alias("units"), *[F.sum(f"group_{m}").alias(f"w_{m}") for m in scheme.measures])
+    masks = [m.alias(f"{state}_{i}") for state in ("observed", "adverse") for i, m in enumerate(member_masks(members, state))]
+    return grouped.groupBy(*by, *masks).agg(F.count(F.lit(1)).alias("units"), *[F.sum(f"group_{m}").alias(f"w_{m}") for m in scheme.measures])
 
 
 def bundle_exposure(grouped: DataFrame, bundles: Sequence[Bundle], scheme: GroupScheme, by: Sequence[str]) -> DataFrame:
@@ -77,12 +76,14 @@ def bundle_exposure(grouped: DataFrame, bundles: Sequence[Bundle], scheme: Group
     all members observed.
     """
     members = list(dict.fromkeys(m for b in bundles for m in b.members))
-    bit = {m: 1 << i for i, m in enumerate(members)}
+    words = range(-(-len(members) // MASK_BITS))
+    bit = {m: (i // MASK_BITS, 1 << (i % MASK_BITS)) for i, m in enumerate(members)}
+    need = lambda b, word: sum(bit[m][1] for m in set(b.members) if bit[m][0] == word)
     table = patterns(grouped, bundles, scheme, by)
     # The bundle list is a constant array, folded once by the optimizer.
     quoted = lambda text: "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
     listed = ", ".join(
-        f"struct({quoted(b.code)} AS bundle_code, {sum(bit[m] for m in b.members)}L AS need, "
+        f"struct({quoted(b.code)} AS bundle_code, {', '.join(f'{need(b, w)}L AS need_{w}' for w in words)}, "
         f"{quoted(b.weight if b.weight in scheme.measures else scheme.main)} AS measure)"
         for b in bundles
     )
@@ -90,8 +91,9 @@ def bundle_exposure(grouped: DataFrame, bundles: Sequence[Bundle], scheme: Group
     for m in scheme.measures[1:]:
         weight = F.when(F.col("measure") == m, F.col(f"w_{m}")).otherwise(weight)
     spread = table.select("*", F.expr(f"inline(array({listed}))")).withColumn("weight", weight)
-    seen = F.col("observed").bitwiseAND(F.col("need")) == F.col("need")
-    hit = seen & (F.col("adverse").bitwiseAND(F.col("need")) == F.col("need"))
+    holds_all = lambda state: all_of([F.col(f"{state}_{w}").bitwiseAND(F.col(f"need_{w}")) == F.col(f"need_{w}") for w in words])
+    seen = holds_all("observed")
+    hit = seen & holds_all("adverse")
     zero = F.lit(0)
     sums = spread.groupBy(*by, "bundle_code").agg(
         F.sum(F.when(seen, F.col("weight")).otherwise(zero)).alias("eligible_weight"),

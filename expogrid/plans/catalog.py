@@ -31,8 +31,11 @@ def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
     out = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, (T.IntegralType, T.BooleanType)) or (COUNTED.search(f.name) and not isinstance(f.dataType, T.StringType)):
+        if isinstance(f.dataType, (T.IntegralType, T.BooleanType)):
             c = c.cast("long")
+        elif COUNTED.search(f.name) and not isinstance(f.dataType, T.StringType):
+            # sums of whole weights are whole; anything else is an error and must show
+            c = F.when(c == F.floor(c), c.cast("long")).when(c.isNotNull(), F.raise_error(F.lit(f"{f.name} holds a value that is not whole")).cast("long"))
         elif isinstance(f.dataType, T.DoubleType):
             c = F.round(c, digits) + F.lit(0.0)
         out.append(c.alias(f.name))
@@ -399,14 +402,24 @@ def raw_code_audit(spark, d):
     return audit.raw_code_audit(customers, P.customer_composition(spark, d), "unit", AUDITED, AUDIT_COUNTS, "a0_qty", "total_qty", "customer")
 
 
-PRINTED = {"orders": ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"), "lineitem": ("l_orderkey", "l_partkey", "l_linenumber", "l_returnflag"), "documents": ("doc_id", "lang", "text")}
+PRINTED = {
+    "orders": "o_orderkey o_custkey o_orderstatus o_totalprice/f o_orderdate/t o_orderpriority",
+    "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity/f l_extendedprice/f l_discount/f l_tax/f l_returnflag l_linestatus l_shipdate/t",
+    "documents": "doc_id text lang source n_chars",
+}
 
 
-@register("table_fingerprint", O.union(
-    f"""SELECT '{t}' AS source_table, count(*) AS "rows", CAST(sum(CAST(('0x' || substr(sha256(concat_ws('|', {', '.join(f"coalesce(CAST({c} AS VARCHAR), chr(92) || 'N')" for c in cols)})), 1, 15)) AS BIGINT)) AS VARCHAR) AS fingerprint FROM {t}"""
-    for t, cols in PRINTED.items()))
+def _printed_sql(table: str) -> str:
+    texts = {"f": "CAST(CAST({0} AS DECIMAL(38,6)) AS VARCHAR)", "t": "strftime({0}, '%Y-%m-%d %H:%M:%S')", "": "CAST({0} AS VARCHAR)"}
+    fields = [texts[kind].format(c) for c, _, kind in (x.partition("/") for x in PRINTED[table].split())]
+    row = " || ".join(f"coalesce(length({x}) || ':' || {x}, 'N')" for x in fields)
+    sums = ", ".join(f"sum(CAST(('0x' || substr(h, {16 * i + 1}, 16)) AS UBIGINT))" for i in range(4))
+    return f"SELECT '{table}' AS source_table, count(*) AS \"rows\", concat_ws('-', {sums}) AS fingerprint FROM (SELECT sha256({row}) AS h FROM {table})"
+
+
+@register("table_fingerprint", O.union(_printed_sql(t) for t in PRINTED))
 def table_fingerprint(spark, d):
-    return sinks.stack([sinks.fingerprint(P.table(spark, d, t), cols).withColumn("source_table", F.lit(t)) for t, cols in PRINTED.items()])
+    return sinks.stack([sinks.fingerprint(P.table(spark, d, t)).withColumn("source_table", F.lit(t)) for t in PRINTED])
 
 
 @register("run_counts", O.union(f"SELECT '{t}' AS output_table, count(*) AS \"rows\" FROM {t}" for t in ("orders", "lineitem", "documents", "labels")))
@@ -604,10 +617,10 @@ def fixed_effect_ols(spark, d):
 @register("controlled_ols")
 def controlled_ols(spark, d):
     """Shares, log size and segment dummies; checked against a dense solution in the tests."""
-    units = sinks.store(P.customer_units(spark, d), "customers")
-    terms = [models.Regressor(c, F.col(c), c) for c in ("a0_share", "b0_share", "c0_share", "d0_share")]
-    terms += [models.Regressor("log_size", F.log(F.lit(1.0) + F.col("total_qty")), "log size"), *models.dummies(units, "segment", "segment", "segment")]
-    fits = models.fit_within(units, OLS, terms, "region", "subregion")
+    with sinks.stored(P.customer_units(spark, d), "customers") as units:
+        terms = [models.Regressor(c, F.col(c), c) for c in ("a0_share", "b0_share", "c0_share", "d0_share")]
+        terms += [models.Regressor("log_size", F.log(F.lit(1.0) + F.col("total_qty")), "log size"), *models.dummies(units, "segment", "segment", "segment")]
+        fits = models.fit_within(units, OLS, terms, "region", "subregion")
     return models.coefficient_table(spark, fits, terms, [P.BY_CODE[o] for o in OLS], "controlled", ["a0_share"])
 
 
@@ -628,14 +641,14 @@ def survey(spark: SparkSession, d: str) -> dict[str, DataFrame]:
             nonlocal plans
             plans = plans or P.school_tables(spark, d)
             return plans[name]
-        out[name] = sinks.stage(spark, f"survey-{name}:{d}", build)
+        out[name] = sinks.stage(spark, f"survey-{name}", d, build)
     return out
 
 
 def results(spark: SparkSession, d: str) -> SchoolResults:
     """Phase 2: the indicator table, written once; every result restarts from it."""
     tables = survey(spark, d)
-    units = sinks.stage(spark, f"survey-units:{d}", lambda: unit_indicators(tables))
+    units = sinks.stage(spark, "survey-units", d, lambda: unit_indicators(tables))
     return SchoolResults(units, tables, STATES, MIN_W, MIN_N)
 
 

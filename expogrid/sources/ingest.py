@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import clean_text, typed
-from .schema import TableSchema, normal_name
+from .schema import TableSchema
 
 OVERFLOW = "_overflow"
 
@@ -134,7 +134,3 @@ def register_tables(tables: dict[str, DataFrame], prefix: str = "raw_") -> None:
 
 def read_tables(spark: SparkSession, folder: str, names: Sequence[str]) -> dict[str, DataFrame]:
     return {n: spark.read.parquet(f"{folder}/{n}") for n in names}
-
-
-def with_normal_names(df: DataFrame) -> DataFrame:
-    return df.toDF(*[normal_name(c) for c in df.columns])

@@ -8,11 +8,16 @@ def one(spark, rows, schema, *cols):
     return [tuple(r) for r in spark.createDataFrame(rows, schema).select(*cols).collect()]
 
 
-def test_band_edges(spark):
-    shares = [0.0, 0.0001, 0.05, 0.0501, 0.10, 0.20, 0.30, 0.40, 0.50, 0.75, 1.0, 1.7, None]
-    got = one(spark, [(s,) for s in shares], "share double", C.band("share"), C.band("share", C.COARSE_EDGES))
-    assert [g[0] for g in got] == [0, 1, 1, 2, 2, 3, 4, 5, 6, 7, 8, 8, None]
-    assert [g[1] for g in got] == [0, 1, 1, 1, 1, 2, 3, 3, 3, 4, 4, 4, None]
+@pytest.mark.parametrize("edges", [C.BAND_EDGES, C.COARSE_EDGES])
+def test_band_edges(spark, edges):
+    """An edge closes its band; the next begins right above it."""
+    near = 1e-9
+    shares, bands = [0.0, near, 1.0, 1.7, None], [0, 1, len(edges) + 1, len(edges) + 1, None]
+    for i, e in enumerate(edges, 1):
+        shares += [e - near, e, e + near]
+        bands += [i, i, i + 1]
+    got = one(spark, [(s,) for s in shares], "share double", C.band("share", edges))
+    assert [g[0] for g in got] == bands
 
 
 def test_band_labels(spark):
@@ -50,3 +55,9 @@ def test_two_denominators(spark):
     assert tuple(got) == (2 / 6, 2 / 8, None)
     with pytest.raises(ValueError):
         C.weighted_mean("x", "w", "other")
+
+
+def test_more_flags_than_one_mask_holds(spark):
+    flags = [F.lit(i % 2) for i in range(130)]
+    masks = spark.range(1).select(*C.member_masks(flags, "adverse")).first()
+    assert [bin(m).count("1") for m in masks] == [31, 31, 3]

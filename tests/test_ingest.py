@@ -75,3 +75,32 @@ def test_sinks(spark, tmp_path):
     kept = sinks.write_checkpoint(both, str(tmp_path / "ck"), "s")
     assert kept.columns == both.columns and kept.count() == 2
     assert sinks.fingerprint(both).first() == sinks.fingerprint(both.orderBy("d")).first()
+
+
+def test_checkpoint_keeps_region_text(spark, tmp_path):
+    rows = [("01", 1), ("02", 2), (None, 3)]
+    df = spark.createDataFrame(rows, "state string, v long")
+    back = sinks.write_checkpoint(df, str(tmp_path / "ck"), "state")
+    assert back.schema["state"].dataType == df.schema["state"].dataType
+    assert {tuple(r) for r in back.collect()} == set(rows)
+
+
+def test_stored_copy_goes_with_its_block(spark, tmp_path):
+    with sinks.stored(spark.range(3).toDF("v"), "t", str(tmp_path)) as kept:
+        assert kept.count() == 3 and len(list(tmp_path.iterdir())) == 1
+    assert not list(tmp_path.iterdir())
+
+
+def test_stage_sees_changed_files(spark, tmp_path):
+    source = str(tmp_path / "in")
+    read = lambda: sinks.stage(spark, "numbers", source, lambda: spark.read.parquet(source)).count()
+    spark.range(3).write.parquet(source)
+    assert read() == 3 and read() == 3
+    spark.range(5).write.mode("overwrite").parquet(source)
+    assert read() == 5
+
+
+def test_fingerprint_tells_fields_apart(spark):
+    prints = {sinks.fingerprint(spark.createDataFrame([row], "a string, b string")).first()["fingerprint"] for row in (("a|b", "c"), ("a", "b|c"), ("a", None), (None, "a"))}
+    assert len(prints) == 4
+    assert sinks.fingerprint(spark.createDataFrame([("x",), ("x",)], "a string")).first()["fingerprint"] != sinks.fingerprint(spark.createDataFrame([("x",)], "a string")).first()["fingerprint"]
