@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from expogrid.sources import sinks
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of words are digits, letters and everything past ASCII; the rest become blanks, A-Z become a-z.
 _WORD_BYTES = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
@@ -50,22 +51,9 @@ def rows_of(batches: Iterator[pa.RecordBatch], most: int = 2000) -> Iterator[pa.
             yield batch.slice(start, most)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names, or that the application has set for checkpoints.
-
-    Nothing is guessed: a folder on one machine would lose rows on a cluster.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        raise ValueError("set spark.checkpoint.dir, or call SparkContext.setCheckpointDir, to a folder that all executors share")
-    return folder
-
-
 def store(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage by a table in the shared folder; a lost executor then costs only a new read."""
-    path = f"{shared_folder(df.sparkSession)}/llm-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return sinks.store(df, f"llm-{name}")
 
 
 def blocks_of(text: str | None, split=alnum_words, size: int = 1 << 20) -> Iterator[list[bytes]]:
