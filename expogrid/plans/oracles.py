@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from itertools import combinations
 
 from ..functions import rules as R
@@ -54,6 +55,11 @@ def union(parts) -> str:
     return "\nUNION ALL\n".join(parts)
 
 
+def materialized(sql: str) -> str:
+    """Every named part is computed once, however often it is read."""
+    return re.sub(r"((?:^WITH|,)\s*\w+) AS \((?=\s*SELECT)", r"\1 AS MATERIALIZED (", sql, flags=re.M)
+
+
 def groups_cte(scheme: GroupScheme, source: str = "u") -> str:
     return union(
         f"SELECT *, {text(g.code)} AS group_code, {text(g.label)} AS group_label, "
@@ -108,7 +114,7 @@ CUSTOMERS = _customer_ctes()
 
 
 def c1(body: str, extra: str = "") -> str:
-    return f"WITH {CUSTOMERS}{extra}\n{body}"
+    return materialized(f"WITH {CUSTOMERS}{extra}\n{body}")
 
 
 def weight(i: Indicator, scheme: GroupScheme) -> str:
@@ -260,23 +266,24 @@ def grid_sql(scheme, indicators, source="u") -> str:
 
 
 def bundle_cte(bundles, scheme, by, source, name, banded=False) -> str:
+    """Bundle exposures: units summed by which members they have observed and adverse, met with the bundles as rows."""
     keys = (*by, "band_order") if banded else tuple(by)
     where = "WHERE group_share IS NOT NULL" if banded else ""
-    cols = []
-    for n, b in enumerate(bundles):
-        w = f"group_{b.weight if b.weight in scheme.measures else scheme.main}"
-        f = flag(b.members)
-        cols.append(
-            f"sum(CASE WHEN ({f}) IS NOT NULL THEN {w} ELSE 0 END) AS e{n}, sum(CASE WHEN ({f}) = 1 THEN {w} ELSE 0 END) AS a{n}, "
-            f"sum(CASE WHEN ({f}) IS NOT NULL THEN 1 ELSE 0 END) AS ue{n}, sum(CASE WHEN ({f}) = 1 THEN 1 ELSE 0 END) AS ua{n}"
-        )
     k = ", ".join(keys)
-    melt = union(
-        f"SELECT {k}, {text(b.code)} AS bundle_code, e{n} AS eligible_weight, a{n} AS affected_weight, ue{n} AS eligible_units, ua{n} AS affected_units, "
-        f"{div(f'a{n} * 100.0', f'e{n}')} AS exposure_percent, {div(f'ua{n} * 100.0', f'ue{n}')} AS unit_percent FROM {name}_w"
-        for n, b in enumerate(bundles)
+    members = list(dict.fromkeys(m for b in bundles for m in b.members))
+    bits = lambda test: " + ".join(f"CASE WHEN {m} {test} THEN {1 << i} ELSE 0 END" for i, m in enumerate(members))
+    listed = ", ".join(
+        f"({text(b.code)}, {sum(1 << members.index(m) for m in b.members)}, {text(b.weight if b.weight in scheme.measures else scheme.main)})" for b in bundles
     )
-    return f"{name}_w AS (SELECT {k}, {', '.join(cols)} FROM {source} {where} GROUP BY {k}),\n{name} AS ({melt})"
+    sums = ", ".join(f"sum(group_{m}) AS w_{m}" for m in scheme.measures)
+    weight = "CASE measure " + " ".join(f"WHEN {text(m)} THEN w_{m}" for m in scheme.measures) + " END"
+    seen, hit = "observed & need = need", "observed & need = need AND adverse & need = need"
+    total = lambda test, what: f"sum(CASE WHEN {test} THEN {what} ELSE 0 END)"
+    return f"""{name}_w AS (SELECT {k}, {bits('IS NOT NULL')} AS observed, {bits('= 1')} AS adverse, count(*) AS units, {sums} FROM {source} {where} GROUP BY ALL),
+{name}_b(bundle_code, need, measure) AS (VALUES {listed}),
+{name} AS (SELECT *, {div('affected_weight * 100.0', 'eligible_weight')} AS exposure_percent, {div('affected_units * 100.0', 'eligible_units')} AS unit_percent FROM (
+ SELECT {k}, bundle_code, {total(seen, weight)} AS eligible_weight, {total(hit, weight)} AS affected_weight, {total(seen, 'units')} AS eligible_units, {total(hit, 'units')} AS affected_units
+ FROM {name}_w CROSS JOIN {name}_b GROUP BY {k}, bundle_code))"""
 
 
 def bundle_sql(by, name, banded=False) -> str:
@@ -546,4 +553,4 @@ SURVEY = _survey_ctes()
 
 
 def s1(body: str, extra: str = "") -> str:
-    return f"WITH {SURVEY}{extra}\n{body}"
+    return materialized(f"WITH {SURVEY}{extra}\n{body}")
