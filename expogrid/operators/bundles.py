@@ -69,12 +69,8 @@ def patterns(grouped: DataFrame, bundles: Sequence[Bundle], scheme: GroupScheme,
     return grouped.groupBy(*by, *masks).agg(F.count(F.lit(1)).alias("units"), *[F.sum(f"group_{m}").alias(f"w_{m}") for m in scheme.measures])
 
 
-def bundle_exposure(grouped: DataFrame, bundles: Sequence[Bundle], scheme: GroupScheme, by: Sequence[str]) -> DataFrame:
-    """Eligible and affected weight and units per field values and bundle.
-
-    Every bundle keeps a row in every cell, with zero eligible weight where no unit has
-    all members observed.
-    """
+def bundle_sums(grouped: DataFrame, bundles: Sequence[Bundle], scheme: GroupScheme, by: Sequence[str]) -> DataFrame:
+    """Eligible and affected weight and units per field values and bundle."""
     members = list(dict.fromkeys(m for b in bundles for m in b.members))
     words = range(-(-len(members) // MASK_BITS))
     bit = {m: (i // MASK_BITS, 1 << (i % MASK_BITS)) for i, m in enumerate(members)}
@@ -95,12 +91,21 @@ def bundle_exposure(grouped: DataFrame, bundles: Sequence[Bundle], scheme: Group
     seen = holds_all("observed")
     hit = seen & holds_all("adverse")
     zero = F.lit(0)
-    sums = spread.groupBy(*by, "bundle_code").agg(
+    return spread.groupBy(*by, "bundle_code").agg(
         F.sum(F.when(seen, F.col("weight")).otherwise(zero)).alias("eligible_weight"),
         F.sum(F.when(hit, F.col("weight")).otherwise(zero)).alias("affected_weight"),
         F.sum(F.when(seen, F.col("units")).otherwise(zero)).alias("eligible_units"),
         F.sum(F.when(hit, F.col("units")).otherwise(zero)).alias("affected_units"),
     )
+
+
+def bundle_exposure(grouped: DataFrame, bundles: Sequence[Bundle], scheme: GroupScheme, by: Sequence[str]) -> DataFrame:
+    """Sums and percents per field values and bundle.
+
+    Every bundle keeps a row in every cell, with zero eligible weight where no unit has
+    all members observed.
+    """
+    sums = bundle_sums(grouped, bundles, scheme, by)
     return sums.withColumn("exposure_percent", ratio("affected_weight", "eligible_weight", 100)).withColumn(
         "unit_percent", ratio("affected_units", "eligible_units", 100)
     )
@@ -113,24 +118,21 @@ def bundle_gradient(grouped: DataFrame, bundles: Sequence[Bundle], scheme: Group
 
 
 def band_contrast(
-    overall: DataFrame, banded: DataFrame, keys: Sequence[str], scheme: GroupScheme, low: int = 1, high: int = 8
+    grouped: DataFrame, bundles: Sequence[Bundle], keys: Sequence[str], scheme: GroupScheme, low: int = 1, high: int = 8
 ) -> DataFrame:
     """Per key and baseline: overall gap, top-band gap, change over bands and difference-in-differences.
 
-    A group or band that is absent gives NULL values, not a missing row.
+    The units are summed once, by band; the whole is the sum over bands, rows without a
+    band included. A group or band that is absent gives NULL values, not a missing row.
     """
-    order = F.col("band_order")
-    value = F.col("exposure_percent")
-    ends = banded.filter(order.isin(low, high)).select(
-        *keys, "group_code",
-        F.when(order == low, value).alias("low"),
-        F.when(order == high, value).alias("high"),
-        F.when(order == high, F.col("eligible_weight")).alias("high_weight"),
-        F.when(order == high, F.col("eligible_units")).alias("high_units"),
-        F.lit(None).cast("double").alias("overall"),
+    cells = bundle_sums(grouped, bundles, scheme, [*[k for k in keys if k != "bundle_code"], "group_code", "band_order"])
+    at = lambda name, order: F.sum(F.when(F.col("band_order") == order, F.col(name)))
+    percent = lambda order: ratio(at("affected_weight", order), at("eligible_weight", order), 100)
+    rows = cells.groupBy(*keys, "group_code").agg(
+        ratio(F.sum("affected_weight"), F.sum("eligible_weight"), 100).alias("overall"),
+        percent(low).alias("low"), percent(high).alias("high"),
+        at("eligible_weight", high).alias("high_weight"), at("eligible_units", high).alias("high_units"),
     )
-    whole = overall.select(*keys, "group_code", value.alias("overall"))
-    rows = whole.unionByName(ends, allowMissingColumns=True)
     side = beside(rows, keys, scheme, ["overall", "low", "high", "high_weight", "high_units"])
     f = scheme.focal.code
 

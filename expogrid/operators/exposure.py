@@ -108,11 +108,20 @@ def group_exposure(
 
 
 def sex_exposure(grouped: DataFrame, indicators: Sequence[Indicator], scheme: GroupScheme) -> DataFrame:
-    """The same indicators weighted by each sex in turn, whatever their own weight."""
-    parts = [
-        group_exposure(grouped, indicators, scheme, weight=m).withColumn("sex", F.lit(m)) for m in reversed(scheme.measures[1:])
+    """The same indicators weighted by each sex in turn, whatever their own weight, from one aggregate.
+
+    A group without members of a sex has no rows for it.
+    """
+    sexes = scheme.measures[1:]
+    fields = ["group_code", "group_label"]
+    wide = grouped.groupBy(*fields).agg(
+        *[F.sum(f"group_{m}").alias(f"{m}__members") for m in sexes],
+        *[weighted_mean(i.code, f"group_{m}", "observed").alias(f"{m}__{i.code}") for m in sexes for i in indicators],
+    )
+    records = [
+        {"weight_members": F.col(f"{m}__members"), **described(i, F.col(f"{m}__{i.code}")), "sex": F.lit(m)} for m in sexes for i in indicators
     ]
-    return parts[0].unionByName(parts[1])
+    return wide.select(*unpivot(fields, records)).filter("weight_members > 0")
 
 
 def concentration_gradient(

@@ -460,7 +460,7 @@ _contrast = _combo(RG) + _combo(RG, True, "bb") + ",\n" + O.contrast_cte(PS, CK,
 
 @register("did_contrast", O.c1(O.contrast_sql(CK), _contrast))
 def did_contrast(spark, d):
-    return bundles.band_contrast(combination_exposure(spark, d), combination_gradient(spark, d), CK, PS)
+    return bundles.band_contrast(P.customer_long(spark, d), P.COMBINATIONS, CK, PS)
 
 
 @register("robust_ranking", O.c1(O.ranking_sql(CK, "rr", rank=True), _contrast + f""",
@@ -506,7 +506,7 @@ def bundle_gradient(spark, d):
 
 @register("bundle_contrast", O.c1(O.contrast_sql(SK), _scoped + ",\n" + O.contrast_cte(PS, SK, "bx", "bb")))
 def bundle_contrast(spark, d):
-    return bundles.band_contrast(bundle_exposure(spark, d), bundle_gradient(spark, d), SK, PS)
+    return bundles.band_contrast(bundles.in_scopes(P.customer_long(spark, d), P.scopes()), P.BUNDLES, SK, PS)
 
 
 @register("bundle_ranking", O.c1(O.ranking_sql(SK), _scoped + ",\n" + O.contrast_cte(PS, SK, "bx", "bb") + ",\n" + O.ranking_cte(SK, MIN_W, MIN_N)))

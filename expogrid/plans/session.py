@@ -13,6 +13,8 @@ PLAN_SETTINGS = {
     # Plans hold thousands of column nodes; recording a call site for each slows their making.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Pivots over groups, measures and stages have more than the default of 100 columns.
+    "spark.sql.codegen.maxFields": "600",
 }
 
 
