@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import clean_text, typed
-from .schema import TableSchema
+from ..operators import audit
+from . import sinks
+from .schema import TableSchema, compare_schema
 
 OVERFLOW = "_overflow"
 
@@ -82,25 +85,37 @@ def cast_audit(text: DataFrame, schema: TableSchema, strict: bool = False) -> Da
 
 @dataclass(frozen=True)
 class Ingested:
+    """What one clean run wrote. ``fallback``: over-long rows made a strict run fail, and a tolerant one was taken."""
+
     table: str
     path: str
     rows: int
+    size: int
+    columns: tuple[tuple[str, str], ...]
     failures: dict[str, int]
     skipped_rows: int = 0
+    fallback: bool = False
+
+
+class LongRows(IngestError):
+    """Rows with more fields than the header."""
 
 
 def ingest(
     spark: SparkSession, source: str, target: str, schema: TableSchema, *, sep: str = ",", encoding: str = "UTF-8",
-    strict_cast: bool = False, tolerant: bool = False, max_file_rows: int = 5_000_000,
+    strict_cast: bool = False, tolerant: bool = False, unique: str | None = None, max_file_rows: int = 5_000_000,
 ) -> Ingested:
     """Text file to ZSTD Parquet in one scan: header contract, casts, counts, recount.
 
     Rows and failed casts are observed while the file is written, so the source is read
-    once. The call raises on failed casts, over-long rows or a differing recount, and
-    only a clean run returns a manifest row. ``tolerant`` drops over-long rows and
-    reports how many.
+    once. The table is written beside ``target`` and takes its place only after a clean
+    run; the call raises on failed casts, over-long rows, a differing recount or repeated
+    values of the ``unique`` column, and then leaves nothing behind. ``tolerant`` drops
+    over-long rows and reports how many.
     """
     schema.check_columns(header(spark, source, sep, encoding))
+    if sinks.exists(spark, target):
+        raise IngestError(f"{target} exists")
     text = scan_text(spark, source, schema.expected, sep, encoding)
     bad = cast_failures(schema, strict_cast)
     long_row = F.col(OVERFLOW).isNotNull()
@@ -108,23 +123,52 @@ def ingest(
     text = text.observe(seen, F.count(F.lit(1)).alias("rows"), F.count(F.when(long_row, 1)).alias("long_rows"))
     usable = text.filter(~long_row) if tolerant else text
     usable = usable.observe(kept, F.count(F.lit(1)).alias("rows"), *[v.alias(f"bad__{c}") for c, v in bad.items()])
-    writer = typed_table(usable, schema, strict_cast).write.option("compression", "zstd").option("maxRecordsPerFile", max_file_rows)
-    writer.mode("errorifexists").parquet(target)
-    counts, long_rows = kept.get, seen.get["long_rows"]
-    failures = {c: counts[f"bad__{c}"] for c in bad if counts[f"bad__{c}"]}
-    if long_rows and not tolerant:
-        raise IngestError(f"{schema.name}: {long_rows} rows have more fields than the header; {target} is not valid")
-    if failures:
-        raise IngestError(f"{schema.name}: values that do not convert: {failures}; {target} is not valid")
-    written = spark.read.parquet(target).count()
-    if written != counts["rows"]:
-        raise IngestError(f"{schema.name}: wrote {written} rows of {counts['rows']}")
-    return Ingested(schema.name, target, written, failures, long_rows)
+    beside = f"{target}.unchecked-{uuid.uuid4().hex}"
+    try:
+        writer = typed_table(usable, schema, strict_cast).write.option("compression", "zstd").option("maxRecordsPerFile", max_file_rows)
+        writer.parquet(beside)
+        counts, long_rows = kept.get, seen.get["long_rows"]
+        failures = {c: counts[f"bad__{c}"] for c in bad if counts[f"bad__{c}"]}
+        if long_rows and not tolerant:
+            raise LongRows(f"{schema.name}: {long_rows} rows have more fields than the header")
+        if failures:
+            raise IngestError(f"{schema.name}: values that do not convert: {failures}")
+        table = spark.read.parquet(beside)
+        written = table.count()
+        if written != counts["rows"]:
+            raise IngestError(f"{schema.name}: wrote {written} rows of {counts['rows']}")
+        if unique and table.filter(F.col(unique).isNotNull()).groupBy(unique).count().filter("count > 1").limit(1).count():
+            raise IngestError(f"{schema.name}: {unique} is not unique")
+        size = sinks.size(spark, beside)
+        sinks.rename(spark, beside, target)
+    finally:
+        sinks.remove(spark, beside)
+    return Ingested(schema.name, target, written, size, tuple((f.name, f.dataType.simpleString()) for f in table.schema.fields), failures, long_rows)
+
+
+def ingest_or_fall_back(spark: SparkSession, source: str, target: str, schema: TableSchema, **options) -> Ingested:
+    """A strict run first; where over-long rows stop it, a tolerant one, recorded as a fallback."""
+    try:
+        return ingest(spark, source, target, schema, **options)
+    except LongRows:
+        return replace(ingest(spark, source, target, schema, tolerant=True, **options), fallback=True)
 
 
 def manifest(spark: SparkSession, done: Sequence[Ingested]) -> DataFrame:
-    rows = [(d.table, d.path, d.rows, d.skipped_rows, sum(d.failures.values())) for d in done]
-    return spark.createDataFrame(rows, "source_table string, path string, rows long, skipped_rows long, failed_casts long")
+    """One row per table: where, how large, which columns, and what the run let pass."""
+    rows = [
+        (d.table, d.path, d.rows, d.size, len(d.columns), ", ".join(f"{n} {t}" for n, t in d.columns), d.skipped_rows, sum(d.failures.values()), d.fallback)
+        for d in done
+    ]
+    return spark.createDataFrame(rows, (
+        "source_table string, path string, rows long, bytes long, column_count int, columns string, skipped_rows long, failed_casts long, fallback boolean"
+    ))
+
+
+def profile(df: DataFrame, schema: TableSchema, key: str, items: Sequence[str] = ()) -> dict[str, DataFrame]:
+    """Profile of a Parquet table: drift against the contract, the key's spread and, where named, the item combinations."""
+    parts = {"schema": compare_schema(df.sparkSession, schema.name, df.columns, schema), "key": audit.key_profile(df, key)}
+    return parts | ({"items": audit.item_combinations(df, key, items, schema.name)} if items else {})
 
 
 def register_tables(tables: dict[str, DataFrame], prefix: str = "raw_") -> None:

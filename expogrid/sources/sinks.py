@@ -93,6 +93,23 @@ def remove(spark: SparkSession, path: str) -> None:
     files.delete(at, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at, files = _file_system(spark, path)
+    return files.exists(at)
+
+
+def size(spark: SparkSession, path: str) -> int:
+    """Bytes of all files below a path."""
+    at, files = _file_system(spark, path)
+    return files.getContentSummary(at).getLength()
+
+
+def rename(spark: SparkSession, path: str, to: str) -> None:
+    at, files = _file_system(spark, path)
+    if not files.rename(at, spark._jvm.org.apache.hadoop.fs.Path(to)):
+        raise OSError(f"{path} cannot be renamed to {to}")
+
+
 def identity(spark: SparkSession, folder: str) -> str:
     """A digest of the paths, lengths and modification times of the files below a folder."""
     at, files = _file_system(spark, folder)

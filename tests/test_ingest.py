@@ -18,7 +18,10 @@ def test_clean_file_with_short_row(spark, tmp_path):
     done = ingest.ingest(spark, src, str(tmp_path / "out"), SCHEMA)
     rows = [tuple(r) for r in spark.read.parquet(done.path).orderBy("id").collect()]
     assert rows == [(1, "a", 2.5), (3, None, None), (3, None, None)] and done.rows == 3
-    assert ingest.manifest(spark, [done]).first()["rows"] == 3
+    row = ingest.manifest(spark, [done]).first()
+    assert (row["rows"], row["column_count"], row["columns"]) == (3, 3, "id bigint, name string, amount double") and row["bytes"] > 0
+    found = ingest.profile(spark.read.parquet(done.path), SCHEMA, "id", ["name"])
+    assert found["schema"].count() == 0 and found["key"].first()["keys_with_multiple_rows"] == 1 and found["items"].count() == 2
 
 
 def test_bad_cast_aborts(spark, tmp_path):
@@ -33,8 +36,20 @@ def test_long_row_strict_and_tolerant(spark, tmp_path):
     src = write(tmp_path, "id,name,amount\n1,a,1\n2,b,2,9\n")
     with pytest.raises(ingest.IngestError, match="more fields"):
         ingest.ingest(spark, src, str(tmp_path / "strict"), SCHEMA)
+    assert [p.name for p in tmp_path.iterdir()] == ["t.csv"]
     done = ingest.ingest(spark, src, str(tmp_path / "soft"), SCHEMA, tolerant=True)
-    assert (done.rows, done.skipped_rows) == (1, 1)
+    assert (done.rows, done.skipped_rows, done.fallback) == (1, 1, False)
+    with pytest.raises(ingest.IngestError, match="exists"):
+        ingest.ingest(spark, src, str(tmp_path / "soft"), SCHEMA)
+    again = ingest.ingest_or_fall_back(spark, src, str(tmp_path / "again"), SCHEMA)
+    assert (again.rows, again.skipped_rows, again.fallback) == (1, 1, True)
+
+
+def test_repeated_key_is_refused(spark, tmp_path):
+    src = write(tmp_path, "id,name,amount\n1,a,1\n1,b,2\n")
+    with pytest.raises(ingest.IngestError, match="not unique"):
+        ingest.ingest(spark, src, str(tmp_path / "out"), SCHEMA, unique="id")
+    assert [p.name for p in tmp_path.iterdir()] == ["t.csv"]
 
 
 def test_drift(spark, tmp_path):
