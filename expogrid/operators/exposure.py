@@ -198,8 +198,8 @@ def region_profile(
     top = len(BAND_LABELS) - 1
     members = F.col(f"group_{scheme.main}")
     exposures = grouped.filter(F.col("group_code") == focal.code).groupBy(region).agg(
-        F.max(F.when(F.col("band_order") == top, 1)).alias("__has_top"),
-        ratio(F.coalesce(F.sum(F.when(F.col("band_order") >= top - 1, members)), F.lit(0)), F.sum(members), 100).alias("majority_percent"),
+        # a sum over no bands is 0, also in a region without members
+        F.coalesce(ratio(F.sum(F.when(F.col("band_order") >= top - 1, members)), F.sum(members), 100), F.lit(0.0)).alias("majority_percent"),
         ratio(F.sum(F.when(F.col("band_order") == top, members)), F.sum(members), 100).alias("supermajority_percent"),
         *[(weighted_mean(i.code, weight_column(i, scheme)) * F.lit(i.multiplier)).alias(i.code) for i in indicators],
     )
@@ -208,7 +208,7 @@ def region_profile(
         *[ratio(F.sum(f"{focal.prefix}_{s}"), whole(s), 100).alias(f"{s}_share_percent") for s, _ in stages]
     )
     first, last = f"{stages[0][0]}_share_percent", f"{stages[-1][0]}_share_percent"
-    return exposures.drop("__has_top").join(shares, region, "left").withColumn("stage_change_pp", F.col(last) - F.col(first))
+    return exposures.join(shares, region, "left").withColumn("stage_change_pp", F.col(last) - F.col(first))
 
 
 def representation_gap(

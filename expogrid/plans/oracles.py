@@ -241,7 +241,7 @@ def region_profile_sql(scheme, indicators, stages, region, stage_source="u") ->
     ends = f"{stages[-1][0]}_share_percent - {stages[0][0]}_share_percent"
     return f"""SELECT e.{region}, {rd('majority', 'majority_percent')}, {rd('supermajority', 'supermajority_percent')},
  {', '.join(rd(f'{s}_share_percent', f'{s}_share_percent') for s, _ in stages)}, {rd(ends, 'stage_change_pp')}, {', '.join(rd(f'e.{i.code}', i.code) for i in indicators)}
-FROM (SELECT {region}, {div(f'coalesce(sum(CASE WHEN band_order >= 7 THEN {m} END), 0) * 100.0', f'sum({m})')} AS majority,
+FROM (SELECT {region}, coalesce({div(f'sum(CASE WHEN band_order >= 7 THEN {m} END) * 100.0', f'sum({m})')}, 0) AS majority,
  {div(f'sum(CASE WHEN band_order = 8 THEN {m} END) * 100.0', f'sum({m})')} AS supermajority, {cols} FROM g WHERE group_code = '{f.code}' GROUP BY {region}) e
 LEFT JOIN (SELECT {region}, {shares} FROM {stage_source} GROUP BY {region}) s ON e.{region} = s.{region}"""
 
