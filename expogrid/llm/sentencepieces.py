@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
-import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,7 +17,7 @@ from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_toke
 from expogrid.llm import pieces
 from expogrid.llm.common import rows_of
 
-SCHEMA = "ids array<int>, decoded string, parity boolean"
+STRETCH = re.compile(" +[^ ]*")
 
 
 def splits_at_marks(model: pieces.Model) -> bool:
@@ -64,7 +65,12 @@ def rebuild(data: bytes) -> tuple[Tokenizer, pieces.Model]:
 
 
 class Codec:
-    """Encodes and decodes batches on the library's threads, and holds them to the reference library."""
+    """Encodes and decodes batches on the library's threads, and holds them to the reference library.
+
+    Where no token crosses from a word into the mark of the next, a text is encoded as its stretches are, each a run of
+    blanks with the word behind it. Then every distinct stretch is encoded, decoded and compared once, in a table that
+    starts anew when full, and texts are put together from it. Texts of other models are encoded whole.
+    """
 
     def __init__(self, path: str, threads: int, most: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"], os.environ["RAYON_NUM_THREADS"] = "true", str(threads)
@@ -74,9 +80,15 @@ class Codec:
             data = file.read()
         self.tokenizer, self.model = rebuild(data)
         self.library = sentencepiece.SentencePieceProcessor(model_proto=data)
-        self.by_word = splits_at_marks(self.model) and self.model.plain
-        self.alike: dict[str, bool] = {}
+        self.by_stretch = splits_at_marks(self.model) and self.model.plain
+        self.numbers = list(range(len(self.model.pieces)))  # one object for each id, however often it is held
         self.most = most
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.unlike: set[str] = set()  # stretches that the reference library encodes in another way
+        self.changed: dict[str, str] = {}  # what stretches come back as, where that is not as they were
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
@@ -84,24 +96,35 @@ class Codec:
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.tokenizer.decode_batch(ids, skip_special_tokens=False) if ids else []
 
-    def parity(self, texts: list[str], ids: list[list[int]]) -> list[bool]:
-        """Whether the reference library gives the same ids.
-
-        Where no token crosses into the mark of the next word, a text is encoded as its words are, so each distinct
-        word is compared once, in a table that starts anew when full. Other models compare whole texts.
-        """
-        if not self.by_word:
-            return [a == b for a, b in zip(ids, self.library.encode(texts, num_threads=1))]
-        if len(self.alike) > self.most:
-            self.alike = {}
-        words = [set(t.replace(pieces.MARK, " ").split(" ")) for t in texts]
-        new = sorted({w for some in words for w in some} - self.alike.keys() - {""})
-        self.alike.update((w, a == b) for w, a, b in zip(new, self.encode(new), self.library.encode(new, num_threads=1)))
-        plain = [all(self.alike[w] for w in some if w) for some in words]
-        runs = [i for i, t in enumerate(texts) if "  " in t or t[:1] == " " or t[-1:] == " " or pieces.MARK in t]  # blanks in a row merge as well
-        for i, b in zip(runs, self.library.encode([texts[i] for i in runs], num_threads=1)):
-            plain[i] = ids[i] == b
-        return plain
+    def whole(self, texts: list[str]) -> list[tuple[list[int], str, bool]]:
+        """Ids, decoded text and parity of each text. Where parity fails, the ids are the reference library's."""
+        ids, wanted = self.encode(texts), self.library.encode(texts, num_threads=1) if texts else []
+        ids = [x if t else [] for t, x in zip(texts, ids)]
+        return list(zip(wanted, self.decode(wanted), (a == b for a, b in zip(ids, wanted))))
+
+    def run(self, texts: list[str]) -> list[tuple[list[int], str, bool]]:
+        if not self.by_stretch:
+            return self.whole(texts)
+        if len(self.known) > self.most:
+            self.forget()
+        plain = [" " + t.replace(pieces.MARK, " ") if t else "" for t in texts]
+        stretches = [STRETCH.findall(t) for t in plain]
+        new = sorted({x for some in stretches for x in some if x not in self.known})
+        done = dict(zip(new, self.whole([x[1:] for x in new])))  # the mark in front is the first blank
+        if " " in done:  # a blank at the end is a mark with no word, which no text begins with
+            head, tail = self.whole(["a", "a "])
+            done[" "] = (tail[0][len(head[0]) :], "", head[2] and tail[2])
+        for x, (ids, back, same) in done.items():
+            self.known[x] = tuple([self.numbers[i] for i in ids])
+            if not same:
+                self.unlike.add(x)
+            if back != x[1:]:
+                self.changed[x] = " " + back
+        out = []
+        for text, some in zip(plain, stretches):
+            back = "".join([self.changed.get(x, x) for x in some]) if self.changed else text
+            out.append((list(chain.from_iterable(map(self.known.__getitem__, some))), back[1:], not self.unlike or self.unlike.isdisjoint(some)))
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -132,16 +155,11 @@ def encoded(docs: DataFrame, path: str | None = None, threads: int = 2, text_col
         tool = codec(path, threads)
         for batch in rows_of(batches, 200):
             texts = batch["body"].to_pylist()
-            full = [t or "" for t in texts]
-            ids = [x if t else [] for t, x in zip(full, tool.encode(full))]
-            same = tool.parity(full, ids)
-            for i in np.flatnonzero(~np.array(same, bool)):
-                ids[i] = tool.library.encode(full[i])
-            back = tool.decode(ids)
+            done = tool.run([t or "" for t in texts])
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch["row"], pa.array([None if t is None else x for t, x in zip(texts, ids)], pa.list_(pa.int32())),
-                    pa.array([None if t is None else x for t, x in zip(texts, back)], pa.string()), pa.array(same, pa.bool_()),
+                    batch["row"], pa.array([None if t is None else x for t, (x, _, _) in zip(texts, done)], pa.list_(pa.int32())),
+                    pa.array([None if t is None else x for t, (_, x, _) in zip(texts, done)], pa.string()), pa.array([x for _, _, x in done], pa.bool_()),
                 ],
                 names=["row", "ids", "decoded", "parity"],
             )
