@@ -161,6 +161,24 @@ def spanning(trees: np.ndarray, queries: np.ndarray, radius: int) -> list[tuple[
     return list(zip(values[own].tolist(), values[sets.up[own]].tolist()))
 
 
+def with_near_pairs(fp: np.ndarray, shard: np.ndarray, radius: int, small: int = 64) -> np.ndarray:
+    """Which shards to search: all above ``small`` rows, of the others those in which some pair is near.
+
+    Rows lie by shard. Most shards are small and hold nothing near; comparing rows with the next, the one after that
+    and so on for all of them together spares making a tree for each.
+    """
+    sizes = np.bincount(shard)
+    wanted = sizes > small
+    at = np.flatnonzero(sizes[shard] <= small)
+    for step in range(1, small):
+        at = at[at + step < len(fp)]
+        at = at[shard[at] == shard[at + step]]
+        if not len(at):
+            break
+        wanted[shard[at[np.bitwise_count(fp[at] ^ fp[at + step]) <= radius]]] = True
+    return wanted
+
+
 def shard_keys(radius: int, exact: int = 2) -> list[list[tuple[int, int]]]:
     """Bit blocks (start, width) for each shard family: within the radius some ``exact`` of radius + exact blocks agree."""
     n = radius + exact
@@ -190,34 +208,35 @@ def links(values: DataFrame, radius: int = 4, exact: int = 2, shard_rows: int =
     rows = met.select("family", "bits", "fp", F.explode(sent).alias("to")).select("family", "bits", "to.part", "fp", "to.member")
     rows = rows.repartition("family", "bits", "part").sortWithinPartitions("family", "bits", "part", "fp")
 
+    def searched(table: np.ndarray) -> np.ndarray:
+        """Spanning links of the whole shards of some rows, those without a near pair left out."""
+        shard = np.concatenate(([0], np.cumsum((table[1:, :3] != table[:-1, :3]).any(axis=1))))
+        fp = np.ascontiguousarray(table[:, 3]).view(np.uint64)
+        starts = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1])))
+        found = []
+        for i in np.flatnonzero(with_near_pairs(fp, shard, radius)):
+            part = slice(starts[i], starts[i + 1] if i + 1 < len(starts) else len(table))
+            member = table[part, 4] == 1
+            found += spanning(fp[part][member], fp[part], radius) if member.any() else []
+        return np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def searched(parts: list[np.ndarray]) -> list[tuple[int, int]]:
-            fp = np.concatenate([p[:, 3] for p in parts]).view(np.uint64)
-            member = np.concatenate([p[:, 4] for p in parts]) == 1
-            if member.all() and len(fp) == 2:
-                return [(int(fp[1]), int(fp[0]))] if int(fp[0] ^ fp[1]).bit_count() <= radius else []
-            return spanning(fp[member], fp, radius) if member.any() else []
-
-        def out(found: list[tuple[int, int]]) -> pa.RecordBatch:
-            pairs = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-        held: list[np.ndarray] = []
+        held, last = [], None
         for batch in batches:
             table = np.column_stack([batch["family"].to_numpy(), batch["bits"].to_numpy(), batch["part"].to_numpy(), batch["fp"].to_numpy(), batch["member"].to_numpy(zero_copy_only=False)]).astype(np.int64)
             if not len(table):
                 continue
-            cuts = np.flatnonzero((table[1:, :3] != table[:-1, :3]).any(axis=1)) + 1
-            found = []
-            for piece in np.split(table, cuts):
-                if held and (held[0][0, :3] != piece[0, :3]).any():
-                    found += searched(held)
-                    held = []
-                held.append(piece)
-            if found:
-                yield out(found)
+            other = np.flatnonzero((table[:, :3] != table[-1, :3]).any(axis=1))
+            cut = other[-1] + 1 if len(other) else 0  # the last shard may go on
+            if cut or (held and (last != table[-1, :3]).any()):
+                pairs = searched(np.concatenate([*held, table[:cut]]))
+                held = []
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            held.append(table[cut:])
+            last = table[-1, :3]
         if held:
-            yield out(searched(held))
+            pairs = searched(np.concatenate(held))
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     return rows.mapInArrow(run, "a long, b long").distinct()
 
