@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,9 +52,24 @@ def rows_of(batches: Iterator[pa.RecordBatch], most: int = 2000) -> Iterator[pa.
             yield batch.slice(start, most)
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def tidy_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of jobs in the block go when their job ends: what it wrote is stored and needs them no more."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage by a table in the shared folder; a lost executor then costs only a new read."""
-    return sinks.store(df, f"llm-{name}")
+    with tidy_shuffles(df.sparkSession):
+        return sinks.store(df, f"llm-{name}")
 
 
 def blocks_of(text: str | None, split=alnum_words, size: int = 1 << 20) -> Iterator[list[bytes]]:
