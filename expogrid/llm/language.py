@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from expogrid.llm import pieces
 from expogrid.llm.common import held_out, keyed, rows_of, store
 
-WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 32  # a longer run of letters is scored in parts of this length
+WORD = re.compile(r"[^\W\d_]{1,%d}" % LONGEST)
 STRANGE = 1e-7  # probability of a character that the vocabulary lacks, the same in every language
 
 
@@ -33,30 +33,45 @@ class Vocabulary:
         texts = sorted({t for t, _, kind in model.pieces if kind == pieces.NORMAL and WORD.fullmatch(t.removeprefix(pieces.MARK)) and t == t.lower()})
         self.ids = {t: i for i, t in enumerate(texts)}
         self.size = len(texts)
-        self.openings = {t[:k] for t in texts for k in range(1, len(t))}
+        #: Every beginning of a piece, with the piece's id or, where it is none, -1.
+        self.openings = {t[:k]: -1 for t in texts for k in range(1, len(t))} | self.ids
 
     def edges(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(word, start, end, piece) of every piece in every word, ordered by word and start; and lengths. Unknown: -1.
 
         Only letters count towards lengths; the mark in front belongs to the first one.
         """
-        found: list[tuple[int, int, int, int]] = []
-        ids, openings = self.ids, self.openings
+        at, starts, ends, ids = [], [], [], []
+        get = self.openings.get
         for w, word in enumerate(words):
-            for start in range(len(word)):
+            marked, n = pieces.MARK + word, len(word)
+            for start in range(n):
+                known = len(ids)
                 single = False
-                for text, begin in ((pieces.MARK + word, 1), (word, 0)) if start == 0 else ((word, 0),):
-                    low = 0 if start == 0 else start
-                    for end in range(start + 1, len(word) + 1):
-                        part = text[low : end + begin]
-                        if (piece := ids.get(part)) is not None:
-                            found.append((w, start, end, piece))
-                            single |= end == start + 1
-                        if part not in openings:
+                if start == 0:
+                    for end in range(2, n + 2):
+                        piece = get(marked[:end])
+                        if piece is None:
                             break
+                        if piece >= 0:
+                            ids.append(piece)
+                            ends.append(end - 1)
+                            single |= end == 2
+                for end in range(start + 1, n + 1):
+                    piece = get(word[start:end])
+                    if piece is None:
+                        break
+                    if piece >= 0:
+                        ids.append(piece)
+                        ends.append(end)
+                        single |= end == start + 1
                 if not single:
-                    found.append((w, start, start + 1, -1))
-        return np.array(found, np.int64).reshape(-1, 4), np.array([len(w) for w in words], np.int64)
+                    ids.append(-1)
+                    ends.append(start + 1)
+                starts += [start] * (len(ids) - known)
+            at += [w] * (len(ids) - len(at))
+        found = np.array((at, starts, ends, ids), np.int64).T
+        return found, np.array([len(w) for w in words], np.int64)
 
 
 class Lattice:
@@ -111,17 +126,11 @@ class Languages:
     path: str
 
 
-def parts(word: str) -> list[str]:
-    return [word] if len(word) <= LONGEST else [word[i : i + LONGEST] for i in range(0, len(word), LONGEST)]
-
-
-def learn(path: str, names: list[str], counts: dict[str, list[float]], rounds: int = 4) -> Languages:
-    """Piece probabilities by expectation maximisation over word counts, a column of counts for each language."""
+def learn(path: str, names: list[str], words: list[str], n: np.ndarray, rounds: int = 4) -> Languages:
+    """Piece probabilities by expectation maximisation over words and their counts, a column for each language."""
     vocabulary = Vocabulary(path)
-    words = [w for w in counts if len(w) <= LONGEST]
-    n = np.array([counts[w] for w in words], float).reshape(len(words), len(names))
     probability = np.full((vocabulary.size, len(names)), 1 / vocabulary.size)
-    steps = [slice(i, i + 20_000) for i in range(0, len(words), 20_000)]
+    steps = [slice(i, i + 4000) for i in range(0, len(words), 4000)]
     for _ in range(rounds):
         expected = np.full_like(probability, 0.05)
         for part in steps:
@@ -137,7 +146,7 @@ def learn(path: str, names: list[str], counts: dict[str, list[float]], rounds: i
     return Languages(tuple(names), probability, path)
 
 
-def fit(docs: DataFrame, path: str | None = None, rows_per_language: int = 1500, longest: int = 50_000) -> Languages | None:
+def fit(docs: DataFrame, path: str | None = None, rows_per_language: int = 800, longest: int = 50_000) -> Languages | None:
     """Languages learnt from documents with a language that are not held out; None without such documents.
 
     Of each language about ``rows_per_language`` documents of up to ``longest`` characters are read, those with the
@@ -166,18 +175,17 @@ def fit(docs: DataFrame, path: str | None = None, rows_per_language: int = 1500,
 
     counted = sample.select("lang", "text").mapInArrow(words, "lang string, word string").groupBy("lang", "word").count()
     names = sorted(sizes)
-    column = {name: i for i, name in enumerate(names)}
-    counts: dict[str, list[float]] = {}
-    for r in sorted(counted.collect(), key=lambda r: (r.word, r.lang)):  # words of the bounded sample
-        for part in parts(r.word):
-            counts.setdefault(part, [0.0] * len(names))[column[r.lang]] += r["count"]
-    return learn(path, names, counts)
+    table = counted.toArrow()  # words of the bounded sample
+    words, at = np.unique(np.array(table["word"].to_pylist(), object), return_inverse=True)
+    n = np.zeros((len(words), len(names)))
+    np.add.at(n, (at, np.searchsorted(names, table["lang"].to_pylist())), table["count"].to_numpy())
+    return learn(path, names, words.tolist(), n)
 
 
 class Scorer:
     """Log-likelihoods of whole texts; every distinct word is summed up once, in a table that starts anew when full."""
 
-    def __init__(self, languages: Languages, most: int = 400_000):
+    def __init__(self, languages: Languages, most: int = 600_000):
         self.languages, self.most, self.vocabulary = languages, most, Vocabulary(languages.path)
         self.forget()
 
@@ -189,7 +197,7 @@ class Scorer:
     def score(self, texts: list[str | None]) -> Iterator[tuple[str, float]]:
         if len(self.ids) > self.most:
             self.forget()
-        found = [[p for w in letter_runs(t) for p in parts(w)] for t in texts]
+        found = [letter_runs(t) for t in texts]
         new = sorted({w for words in found for w in words} - self.ids.keys())
         for start in range(0, len(new), 20_000):
             some = new[start : start + 20_000]
@@ -207,6 +215,16 @@ class Scorer:
             yield self.languages.names[best], float(likely[best] / likely.sum())
 
 
+_SCORERS: dict[int, Scorer] = {}
+
+
+def scorer_of(sent) -> Scorer:
+    """The worker's scorer for a broadcast model: its table of words serves one task after another."""
+    if sent.value is not getattr(_SCORERS.get(0), "languages", None):
+        _SCORERS[0] = Scorer(sent.value)
+    return _SCORERS[0]
+
+
 def identify(docs: DataFrame, languages: Languages | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, lang_pred and score, the share of the language among all, each equally likely at first.
 
@@ -219,7 +237,7 @@ def identify(docs: DataFrame, languages: Languages | None, id_col: str = "doc_id
     sent = docs.sparkSession.sparkContext.broadcast(languages)  # vocabulary by languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(sent.value)
+        scorer = scorer_of(sent)
         for batch in rows_of(batches, 1000):
             found = list(scorer.score(batch["text"].to_pylist()))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
