@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from expogrid.llm.common import blank_words, blocks_of, held_out, rows_of, store
 
-WINDOW = 24  # words in a window
-PAIRS = 2  # dictionary pairs, each with other ordinary text, windows shifted by a share of their length
+WINDOW = 20  # words in a window
+PAIRS = 1  # dictionary pairs; more have other ordinary text each, and windows shifted by a share of their length
 ORDINARY_BYTES, PIECES = 3800, 45
 THRESHOLD = 0.3
 N_FEATURES = 12
