@@ -223,3 +223,41 @@ def test_digest_of_items(spark):
     got = spark.createDataFrame([([10, 9, 100],), ([],)], "i array<long>")
     rows = [r[0] for r in got.select(fmindex.items_digest(got.i)).collect()]
     assert rows == [hashlib.sha256(x).hexdigest() for x in (b"10,100,9", b"")]
+
+
+def five_word_sets(text):
+    w = text.lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+@pytest.mark.parametrize("settings", [{}, {"rounds": 1, "sample": 20}, {"rounds": 0}])
+def test_near_duplicates_equal_brute_force(spark, settings):
+    """Copies with words appended, cut off or replaced, around the bound, and texts that only share a notice."""
+    r, rows = random.Random(9), []
+    notice = words(999, 30)
+    for i, (n, more) in enumerate([(200, 40), (100, 20), (100, 15), (100, 10), (50, 10), (60, 3)] * 8):
+        base = words(1000 + i, n)
+        edited = list(base)
+        for _ in range(n // 60):
+            edited[r.randrange(n)] = "changed"
+        rows += [base, base + words(2000 + i, more), base[more:], edited]
+    rows += [notice + words(3000 + i, 12) for i in range(30)] + [notice + words(4000 + i, 2) for i in range(10)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(rows)]
+    named = documents(spark, rows).withColumn("rid", windows.row_id())
+    rid = {x.doc_id: x.rid for x in named.collect()}
+    sets, kept = {i: five_word_sets(t) for i, t in rows}, []
+    for i in sorted(rid, key=rid.get):
+        if not any(len(sets[i] & sets[k]) >= 0.8 * len(sets[i] | sets[k]) for k in kept):
+            kept.append(i)
+    gone = {x.rid for x in neardup.dropped(named, **settings).collect()}
+    assert {i for i in rid if rid[i] not in gone} == set(kept) and len(kept) < 150
+
+
+def test_chains_drop_only_what_resembles_a_kept_row(spark):
+    line = words(77, 260)
+    df = documents(spark, [(i, " ".join(line[4 * i : 4 * i + 100])) for i in range(40)]).withColumn("rid", windows.row_id())
+    gone = {x.rid for x in neardup.dropped(df, rounds=2).collect()}
+    sets = {x.rid: five_word_sets(x.text) for x in df.collect()}
+    alike = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    kept = sets.keys() - gone
+    assert gone and all(any(alike(a, b) for b in kept) for a in gone) and not any(alike(a, b) for a in kept for b in kept if a < b)
