@@ -261,3 +261,39 @@ def test_chains_drop_only_what_resembles_a_kept_row(spark):
     alike = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
     kept = sets.keys() - gone
     assert gone and all(any(alike(a, b) for b in kept) for a in gone) and not any(alike(a, b) for a in kept for b in kept if a < b)
+
+
+def slow_similar(own, other, width):
+    sets = [(set(own[i : i + width].tolist()), set(other[i : i + width].tolist())) for i in range(len(own) - width + 1)]
+    return [i for i, (a, b) in enumerate(sets) if len(a & b) >= 0.8 * len(a | b)]
+
+
+def test_stretches_alike_equal_brute_force():
+    r = np.random.default_rng(3)
+    for top in (1 << 40, 60, 5):
+        for _ in range(20):
+            own = r.permutation(400)[:200].astype(np.uint32) if top > 400 else r.integers(0, top, 200).astype(np.uint32)
+            other = own.copy()
+            other[r.integers(0, 200, 6)] = np.arange(1000, 1006)
+            other = np.insert(other, r.integers(0, 200), 2000)[:200].astype(np.uint32)
+            assert windows.similar_stretches(own, other, 20, 0.8).tolist() == slow_similar(own, other, 20)
+
+
+def test_scattered_and_periodic_lines_are_no_passages(spark):
+    one, two, line = words(1, 40), words(2, 40), words(3, 10)
+    texts = [
+        words(4, 60) + one + two + words(5, 60), words(6, 30) + one + words(7, 200) + two + words(8, 30),  # side by side and far apart
+        words(9, 60) + line * 6 + words(10, 60), words(11, 60) + line * 2 + words(12, 60),  # six times and twice
+    ]
+    df = documents(spark, [(i, " ".join(w)) for i, w in enumerate(texts)])
+    assert all(not r.spans for r in windows.repeats(df).collect())
+
+
+def test_further_places_of_a_representative(spark):
+    """A document that has a shingle twice is compared at both places, whichever document stands for the key."""
+    notice, more = words(20, 30), words(21, 30)
+    a = words(22, 80) + notice + words(23, 80) + notice + more + words(24, 20)
+    df = documents(spark, [(0, " ".join(a)), (1, " ".join(words(25, 40) + notice + more + words(26, 40)))])
+    (found,) = [r for r in windows.repeats(df).collect() if r.spans]
+    ((start, end),) = [(s.start, s.end) for s in found.spans]
+    assert end - start == 60 and start == (190 if found.doc_id == 0 else 40)
