@@ -297,3 +297,16 @@ def test_further_places_of_a_representative(spark):
     (found,) = [r for r in windows.repeats(df).collect() if r.spans]
     ((start, end),) = [(s.start, s.end) for s in found.spans]
     assert end - start == 60 and start == (190 if found.doc_id == 0 else 40)
+
+
+def test_passages_around_a_common_notice(spark):
+    """Pairs of documents share 50 words, 30 of them a notice that many hold: the notice's keys hide none of the pairs."""
+    notice, rows = words(500, 30), []
+    for i in range(40):
+        shared = words(600 + i, 12) + notice + words(700 + i, 8)
+        rows += [words(800 + i, 60) + shared + words(900 + i, 50), words(1000 + i, 20) + shared + words(1100 + i, 70)]
+    rows += [words(1200 + i, 50) + notice + words(1300 + i, 50) for i in range(60)]
+    got = {r.doc_id: r for r in windows.repeats(documents(spark, [(i, " ".join(w)) for i, w in enumerate(rows)])).collect()}
+    found = [[(i, got[i].partners, [s.end - s.start for s in got[i].spans]) for i in (a, a + 1) if got[i].spans] for a in range(0, 80, 2)]
+    assert all(len(f) == 1 and f[0][1] == [f[0][0] ^ 1] and f[0][2] == [50] for f in found)
+    assert not any(got[i].spans for i in range(80, 140))
