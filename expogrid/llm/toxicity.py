@@ -61,7 +61,7 @@ def openings(text: str) -> set[bytes]:
 def train(rows: list[tuple[str, int]]) -> Dictionaries:
     """Dictionaries from labelled texts.
 
-    Each ordinary dictionary is trained by the library on its share of the ordinary windows. Each toxic one holds the
+    Each ordinary dictionary is trained by the library on all windows of its share of the ordinary texts. Each toxic one holds the
     same, so that windows without toxic text compress alike, behind what sets the toxic texts apart: beginnings of
     words that at least five of them hold, eight times as often as ordinary texts do. Of equal ones the longest is taken.
     """
@@ -88,7 +88,7 @@ def train(rows: list[tuple[str, int]]) -> Dictionaries:
     contents = []
     for share in shares:
         try:
-            contents.append(zstandard.train_dictionary(ORDINARY_BYTES + 296, share[:40000], k=16, d=6).as_bytes()[-ORDINARY_BYTES:])
+            contents.append(zstandard.train_dictionary(ORDINARY_BYTES + 296, share, k=16, d=6).as_bytes()[-ORDINARY_BYTES:])
         except zstandard.ZstdError:  # too little text to train on: the text itself
             contents.append(b" ".join(share)[-ORDINARY_BYTES:])
     return Dictionaries(tuple(contents), tuple(apart + c for c in contents))

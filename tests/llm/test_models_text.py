@@ -212,3 +212,15 @@ def test_model_file():
         model = pieces.parse(file.read())
     assert len(model.pieces) == 32_000 and model.kind == pieces.BPE and model.byte_fallback and model.plain
     assert math.isfinite(sum(s for _, s, _ in model.pieces)) and sentencepieces.splits_at_marks(model)
+
+
+def test_all_ordinary_windows_train_the_dictionary(monkeypatch):
+    seen = []
+
+    def train(size, samples, **_):
+        seen.extend(samples)
+        raise toxicity.zstandard.ZstdError
+
+    monkeypatch.setattr(toxicity.zstandard, "train_dictionary", train)
+    toxicity.train([(" ".join(f"w{i}x{k}" for k in range(16_000)), 0) for i in range(45)] + [("bad words", 1)])
+    assert len(seen) == 45_000 and any(b"w44x15999" in s for s in seen)
