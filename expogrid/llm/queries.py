@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from expogrid.llm import fmindex, jump, language, licences, overlap, pieces, sentencepieces, simhash, sketches, toxicity, variants, windows
+from expogrid.llm import fmindex, jump, language, licences, minhash, overlap, pieces, sentencepieces, simhash, sketches, toxicity, variants, windows
 from expogrid.llm.common import held_out, table
 
 SHARDS = 40
@@ -79,8 +79,12 @@ def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     return variants.variants(table(spark, folder, "documents"), spoil=31)
 
 
+def op12_fast_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_licence_scan, op2_sketch_fingerprints, op3_simhash_bktree, op4_compact_windows, op5_toxicity, op6_sentencepiece, op7_language_id, op8_fm_decontamination, op9_jump_shards, op10_token_counts, op11_spelling_variants)
+    f.__name__: f for f in (op1_licence_scan, op2_sketch_fingerprints, op3_simhash_bktree, op4_compact_windows, op5_toxicity, op6_sentencepiece, op7_language_id, op8_fm_decontamination, op9_jump_shards, op10_token_counts, op11_spelling_variants, op12_fast_minhash)
 }
 #: Words of every document with its row number, since ids may repeat.
 _WORDS = r"""
