@@ -22,10 +22,12 @@ SHINGLE, PERCENT = 5, 85
 BANDS, ROWS = 40, 7
 #: Coordinates that must agree before texts are compared, as standard deviations below the mean at the similarity asked.
 SLACK = 7.0
-#: Rounds in which the members of a band are compared with one of them, before what is left is compared in tiles.
+#: Rounds in which each class is compared with one other, before what is left is compared in tiles.
 ROUNDS = 3
 #: Rows of one side of a tile, and texts compared with one other in one part.
 TILE, PART = 1024, 512
+#: Shingles of one side of a tile.
+TILE_SHINGLES = 1 << 22
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -167,11 +169,6 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return own.union(held).repartition("b", "part").sortWithinPartitions("b", "part", "kind").mapInArrow(run, "a long, b long")
 
 
-def agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """How many bytes agree, for rows of two tables side by side."""
-    return (a == b).sum(axis=1)
-
-
 def plausible(pairs: DataFrame, known: DataFrame, percent: int, least: int) -> DataFrame:
     """The pairs (a, b) that sizes and coordinates allow. ``known``: cid, n, agree."""
     one = known.select(F.col("cid").alias("a"), F.col("n").alias("n_a"), F.col("agree").alias("agree_a"))
@@ -180,48 +177,68 @@ def plausible(pairs: DataFrame, known: DataFrame, percent: int, least: int) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches, 4000):
-            sides = [np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("agree_a", "agree_b")]
-            keep = np.flatnonzero(agreeing(*sides) >= least) if batch.num_rows else np.zeros(0, np.int64)
-            yield batch.select(["a", "b"]).take(pa.array(keep))
+            one, two = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("agree_a", "agree_b"))
+            yield batch.select(["a", "b"]).take(pa.array(np.flatnonzero((one == two).sum(axis=1) >= least)))
 
     return sized.mapInArrow(run, "a long, b long")
 
 
-def tiled(members: DataFrame, known: DataFrame, percent: int, least: int) -> DataFrame:
-    """Distinct pairs (a, b) of members (key, cid, label) of one key with different labels that sizes and coordinates allow.
+class Tile:
+    """Members of one key, compared with each other: texts become sets once, links found join labels at once."""
+
+    def __init__(self, rows: pa.Table, bands: int, percent: int, least: int, known: WordHashes):
+        self.cid, self.n, self.own = (rows[c].to_numpy() for c in ("cid", "n", "own"))
+        self.band, self.percent, self.least = rows["band"][0].as_py(), percent, least
+        self.sides = rows["i"][0].as_py(), rows["j"][0].as_py()
+        self.agree = np.frombuffer(b"".join(rows["agree"].to_pylist()), np.uint8).reshape(len(self.cid), bands, -1)
+        _, self.label = np.unique(rows["label"].to_numpy(), return_inverse=True)
+        unpack = zstandard.ZstdDecompressor().decompress
+        self.sets = [shingle_set(unpack(d).decode("utf-8", "surrogatepass"), known) for d in rows["data"].to_pylist()]
+
+    def links(self) -> Iterator[tuple[int, int]]:
+        """Links that connect what all links between members of different labels connect."""
+        same = self.sides[0] == self.sides[1]
+        left, right = (np.flatnonzero(self.own == side) for side in self.sides)
+        for at, x in enumerate(left.tolist()):
+            others = right[at + 1 :] if same else right
+            others = others[self.label[others] != self.label[x]]
+            others = others[100 * np.minimum(self.n[others], self.n[x]) >= self.percent * np.maximum(self.n[others], self.n[x])]
+            equal = self.agree[others] == self.agree[x]
+            # A pair is compared in the first band it shares.
+            others = others[(equal.sum(axis=(1, 2)) >= self.least) & (equal.all(axis=2).argmax(axis=1) == self.band)]
+            if not len(others):
+                continue
+            flat = np.concatenate([self.sets[y] for y in others])
+            place = np.minimum(np.searchsorted(self.sets[x], flat), len(self.sets[x]) - 1)
+            ends = np.cumsum(self.n[others])
+            shared = np.diff(np.concatenate(([0], np.cumsum(self.sets[x][place] == flat)[ends - 1])))
+            for y in others[100 * shared >= self.percent * (self.n[others] + self.n[x] - shared)].tolist():
+                if self.label[x] != self.label[y]:
+                    self.label[self.label == self.label[y]] = self.label[x]
+                    yield int(self.cid[x]), int(self.cid[y])
+
+
+def tiled(members: DataFrame, known: DataFrame, texts: DataFrame, bands: int, percent: int, least: int) -> DataFrame:
+    """Links (a, b) between members (key, band, cid, n, label) of one key that connect what all links between different
+    labels connect.
 
     The members of a key are dealt to groups of about ``TILE``, and each two groups meet in a tile of their own, so no
-    task holds a key, and nothing but plausible pairs leaves a tile.
+    task holds a key, and nothing but links that join something leaves a tile.
     """
-    groups = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("groups"))
-    dealt = members.join(groups, "key").join(known, "cid").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("groups")).cast("int"))
+    groups = members.groupBy("key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / TILE), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int").alias("groups"))
+    dealt = members.join(groups, "key").join(known.select("cid", "agree"), "cid").join(texts, "cid").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("groups")).cast("int"))
     to = F.transform(F.sequence(F.lit(0), F.col("groups") - 1), lambda g: F.struct(F.least(g, F.col("own")).alias("i"), F.greatest(g, F.col("own")).alias("j")))
-    rows = dealt.select("key", "cid", "label", "n", "agree", "own", F.explode(to).alias("tile")).select("key", "tile.i", "tile.j", "cid", "label", "n", "agree", "own")
+    kept = ("cid", "label", "n", "agree", "own", "data")
+    rows = dealt.select("key", "band", *kept, F.explode(to).alias("tile")).select("key", "band", "tile.i", "tile.j", *kept)
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
-    def compared(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        cid, label, n, own = (table[c].to_numpy() for c in ("cid", "label", "n", "own"))
-        agree = np.frombuffer(b"".join(table["agree"].to_pylist()), np.uint8).reshape(len(cid), -1)
-        same = table["i"][0] == table["j"][0]
-        left = np.arange(len(cid)) if same else np.flatnonzero(own == table["i"][0].as_py())
-        right = left if same else np.flatnonzero(own == table["j"][0].as_py())
-        first, second = [], []
-        for x in left.tolist():
-            others = right[(label[right] != label[x]) & (100 * np.minimum(n[right], n[x]) >= percent * np.maximum(n[right], n[x]))]
-            others = others[cid[others] > cid[x]] if same else others
-            others = others[(agree[others] == agree[x]).sum(axis=1) >= least]
-            first.append(np.minimum(cid[x], cid[others]))
-            second.append(np.maximum(cid[x], cid[others]))
-        return (np.concatenate(first), np.concatenate(second)) if first else (np.zeros(0, np.int64),) * 2
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        tables, held, last = WordHashes(), [], None
 
         def done() -> pa.RecordBatch:
-            a, b = compared(pa.Table.from_batches(held))
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            found = list(Tile(pa.Table.from_batches(held), bands, percent, least, tables).links())
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*found) if found else [[]] * 2)], names=["a", "b"])
 
-        last = None
         for batch in batches:
             at = np.column_stack([batch[c].to_numpy() for c in ("key", "i", "j")])
             starts = np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1 if len(at) else []
@@ -235,36 +252,38 @@ def tiled(members: DataFrame, known: DataFrame, percent: int, least: int) -> Dat
         if held:
             yield done()
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def near_links(docs: DataFrame, classes: DataFrame, percent: int, bands: int, rows: int, rounds: int) -> DataFrame:
     """(node, root) of the classes that links join. ``classes``: cid, row, n, keys, agree; ``docs``: doc_id, text.
 
-    In a round the smallest class of each key is compared with all others of it and then leaves the key. Labels are
-    the components of all links found so far, and a key goes when all of its members have one label, so a large group
-    that is alike costs a comparison each. What still differs after the rounds is compared in tiles, so the links
-    found connect all that share a key and are alike.
+    In a round every class is compared with one other: the first in a hashed order of all it shares a key with. That is
+    the same one for most of a large group. Labels are the components of the links found so far, and a key goes when
+    all of its members have one label, so a group that is alike costs a few comparisons a member. What still
+    differs after the rounds is compared in tiles, so the links found connect all that share a key and are alike.
     """
     known = classes.select("cid", "n", "agree")
     least = least_agreed(percent, bands * rows)
-    every = classes.filter("n > 0").select("cid", F.explode("keys").alias("key"))
+    every = classes.filter("n > 0").select("cid", "n", F.posexplode("keys").alias("band", "key"))
     shared = every.groupBy("key").agg(F.min("cid").alias("first"), F.max("cid").alias("most")).filter("first < most").select("key")
-    members = store(every.join(shared, "key").select("key", "cid", F.col("cid").alias("label")), "band-members")
+    members = store(every.join(shared, "key").select("key", "band", "cid", "n", F.col("cid").alias("label")), "band-members")
     texts = store(packed_texts(docs, members.select("cid").distinct().join(classes.select("cid", "row"), "cid")), "texts")
-    links, roots = [], None
-    for _ in range(rounds):
-        firsts = members.groupBy("key").agg(F.min(F.struct("cid", "label")).alias("first")).select("key", F.col("first.cid").alias("b"), F.col("first.label").alias("of"))
-        met = members.join(firsts, "key")
-        pairs = met.filter("cid > b AND label <> of").select(F.col("cid").alias("a"), "b").distinct()
-        links.append(store(confirmed(store(plausible(pairs, known, percent, least), "pairs"), texts, percent), "confirmed"))
-        roots = store(components(stacked(links)), "roots")
-        left = met.filter("cid <> b").select("key", "cid").join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("key", "cid", F.coalesce("root", "cid").alias("label"))
-        open_ = left.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least < most").select("key")
-        members = store(left.join(open_, "key"), "band-members")
+    links = []
+    for i in range(rounds):
         if members.isEmpty():
-            return roots
-    links.append(store(confirmed(store(tiled(members, known, percent, least), "pairs"), texts, percent), "confirmed"))
+            break
+        order = F.struct(F.xxhash64("cid", F.lit(i)).alias("at"), "cid", "label")
+        firsts = members.groupBy("key").agg(F.min(order).alias("first"))
+        met = members.join(firsts, "key").filter("cid <> first.cid AND label <> first.label")
+        pairs = met.groupBy(F.col("cid").alias("a")).agg(F.min("first").alias("first")).select("a", F.col("first.cid").alias("b"))
+        links.append(store(confirmed(store(plausible(pairs, known, percent, least), "pairs"), texts, percent), "confirmed"))
+        labels = components(stacked(links)).withColumnRenamed("node", "cid")
+        named = members.select("key", "band", "cid", "n").join(labels, "cid", "left").select("key", "band", "cid", "n", F.coalesce("root", "cid").alias("label"))
+        named = store(named, "band-members")
+        open_ = named.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least < most").select("key")
+        members = store(named.join(open_, "key"), "band-members")
+    links.append(store(tiled(members, known, texts, bands, percent, least), "confirmed"))
     return store(components(stacked(links)), "roots")
 
 
