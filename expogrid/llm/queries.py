@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from expogrid.llm import fmindex, jump, language, licences, minhash, overlap, pieces, sentencepieces, simhash, sketches, toxicity, variants, windows
+from expogrid.llm import covertree, fmindex, jump, language, licences, minhash, overlap, pieces, sentencepieces, simhash, sketches, toxicity, variants, windows
 from expogrid.llm.common import held_out, table
 
 SHARDS = 40
@@ -83,8 +83,14 @@ def op12_fast_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, folder, "documents"))
 
 
+def op13_cover_tree_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Anchors are the rows whose id is divisible by 100; rows whose id is divisible by 7 have the next label."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label").cast("long"))
+    return covertree.hard_negatives(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_licence_scan, op2_sketch_fingerprints, op3_simhash_bktree, op4_compact_windows, op5_toxicity, op6_sentencepiece, op7_language_id, op8_fm_decontamination, op9_jump_shards, op10_token_counts, op11_spelling_variants, op12_fast_minhash)
+    f.__name__: f for f in (op1_licence_scan, op2_sketch_fingerprints, op3_simhash_bktree, op4_compact_windows, op5_toxicity, op6_sentencepiece, op7_language_id, op8_fm_decontamination, op9_jump_shards, op10_token_counts, op11_spelling_variants, op12_fast_minhash, op13_cover_tree_negatives)
 }
 #: Words of every document with its row number, since ids may repeat.
 _WORDS = r"""
