@@ -2,59 +2,24 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import all_members, band_label, mean_of_observed
-from ..operators import audit, bundles, compose, contrast, exposure, models
+from ..operators import audit, bundles, compose, contrast, exposure, intervals, models
 from ..operators.ranking import percent_ranks
 from ..presets import indicators as N
 from ..presets import schools as S
 from ..sources import ingest, sinks
 from ..sources.schema import TableSchema
+from . import designs
 from . import oracles as O
 from . import panels as P
+from .registry import COUNTED, ORACLES, QUERIES, Query, register, tidy  # noqa: F401
 from .schools import SCHEME as SCHOOL
 from .schools import FIRST_OUTCOMES, FIRST_PERCENTS, FirstResults, SchoolResults, age_grade, composition, unit_indicators
 
-Query = Callable[[SparkSession, str], DataFrame]
-
-COUNTED = re.compile(r"(^|_)(members|units|weight|qty|qty_o|qty_f|total)$|^qty|^[a-e]0_(s\d|students|boys|girls)$")
-
-
-def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Comparable values: doubles rounded (no negative zero), whole numbers and flags as long."""
-    out = []
-    for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, (T.IntegralType, T.BooleanType)):
-            c = c.cast("long")
-        elif COUNTED.search(f.name) and not isinstance(f.dataType, T.StringType):
-            # sums of whole weights are whole; anything else is an error and must show
-            c = F.when(c == F.floor(c), c.cast("long")).when(c.isNotNull(), F.raise_error(F.lit(f"{f.name} holds a value that is not whole")).cast("long"))
-        elif isinstance(f.dataType, T.DoubleType):
-            c = F.round(c, digits) + F.lit(0.0)
-        out.append(c.alias(f.name))
-    return df.select(*out)
-
-
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None, digits: int = 6):
-    def wrap(f: Query) -> Query:
-        QUERIES[name] = lambda spark, folder: tidy(f(spark, folder), digits)
-        if sql is not None:
-            ORACLES[name] = sql
-        return f
-    return wrap
-
-
 # ---------------------------------------------------------------- customers: composition
 
 PS, PI = P.SCHEME, P.INDICATORS
@@ -583,14 +548,14 @@ def region_slopes(spark, d):
     return models.within_slopes(P.customer_units(spark, d), "a0_share", PI, "region", "subregion", per_region=True)
 
 
-def _ols_sql(outcomes, levels) -> str:
+def _ols_sql(outcomes, levels, digits: int = 5) -> str:
     """Two regressors, clustered errors, in closed form."""
     out = []
     for y in outcomes:
         for level, part in levels:
             dm = lambda c: f"{c} - avg({c}) OVER (PARTITION BY {part})"
             out.append(f"""SELECT {O.text(level + ' fixed effects')} AS fixed_effect, {O.text(y)} AS outcome_code, regressor, {O.whole('n', 'observations')}, {O.whole('gc', 'clusters')},
- {O.rd('b', 'coefficient', 5)}, {O.rd('sqrt(v * (gc / (gc - 1.0)) * ((n - 1.0) / (n - 2.0)))', 'standard_error', 5)}
+ {O.rd('b', 'coefficient', digits)}, {O.rd('sqrt(v * (gc / (gc - 1.0)) * ((n - 1.0) / (n - 2.0)))', 'standard_error', digits)}
 FROM (WITH q AS (SELECT region, subregion, {dm('CAST(' + y + ' AS DOUBLE)')} AS y, {dm('a0_share')} AS x1, {dm('b0_share')} AS x2 FROM u WHERE {y} IS NOT NULL AND a0_share IS NOT NULL AND b0_share IS NOT NULL),
  m AS (SELECT count(*) AS n, count(DISTINCT region || '|' || subregion) AS gc, sum(x1*x1) AS a, sum(x1*x2) AS b, sum(x2*x2) AS c, sum(x1*y) AS p, sum(x2*y) AS q FROM q),
  s AS (SELECT *, (c*p - b*q)/(a*c - b*b) AS b1, (a*q - b*p)/(a*c - b*b) AS b2, c/(a*c-b*b) AS i11, -b/(a*c-b*b) AS i12, a/(a*c-b*b) AS i22 FROM m),
@@ -614,6 +579,20 @@ def fixed_effect_ols(spark, d):
     return rows.select("fixed_effect", "outcome_code", "regressor", "observations", "clusters", "coefficient", "standard_error")
 
 
+def _limits_sql(outcomes) -> str:
+    side = lambda sign, name: O.rd(f"coefficient {sign} {designs.t_point('clusters')} * standard_error", name, 4)
+    return f"""SELECT fixed_effect, outcome_code, regressor, {O.rd('coefficient', 'coefficient', 4)}, {O.rd('standard_error', 'standard_error', 4)}, {side('-', 'low')}, {side('+', 'high')}, observations, clusters
+FROM ({_ols_sql(outcomes, LEVELS, 12)})"""
+
+
+@register("coefficient_intervals", O.c1(_limits_sql(OLS)), 4)
+def coefficient_intervals(spark, d):
+    """Limits of the coefficients from clustered errors and the t distribution."""
+    units = P.customer_units(spark, d).select("region", "subregion", "a0_share", "b0_share", *OLS)
+    terms = [models.Regressor(c, F.col(c), c) for c in ("a0_share", "b0_share")]
+    return intervals.coefficient_intervals(spark, models.fit_within(units, OLS, terms, "region", "subregion"), terms)
+
+
 @register("controlled_ols")
 def controlled_ols(spark, d):
     """Shares, log size and segment dummies; checked against a dense solution in the tests."""

@@ -10,6 +10,7 @@ FOLDER = "/root/testdata/sf0.001"
 SAMPLE = (
     "group_exposure", "concentration_distribution", "baseline_gap", "pairwise_gap", "percentile_index", "numeric_summary",
     "join_coverage", "did_contrast", "robust_ranking", "matched_band_contrast", "fixed_effect_ols",
+    "share_tiers", "tier_profile", "median_classes", "tier_grid", "spline_curvature", "logistic_binary", "exposure_intervals", "coefficient_intervals",
 )
 needs_data = pytest.mark.skipif(not Path(FOLDER).exists(), reason="driver tables not present")
 
