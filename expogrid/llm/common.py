@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
@@ -72,6 +73,21 @@ def store(df: DataFrame, name: str) -> DataFrame:
         return sinks.store(df, f"llm-{name}")
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """``store`` for tables that nothing reads after the block: they share a folder, which goes with it."""
+    folder = f"{sinks.shared_folder(spark)}/llm-scratch-{uuid.uuid4().hex}"
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        with tidy_shuffles(spark):
+            return sinks.store(df, name, folder)
+
+    try:
+        yield keep
+    finally:
+        sinks.remove(spark, folder)
+
+
 def blocks_of(text: str | None, split=alnum_words, size: int = 1 << 20) -> Iterator[list[bytes]]:
     """The words of a whole text, for a very long one about ``size`` characters at a time, cut at blanks or line ends."""
     if not text or len(text) <= size:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from expogrid.llm.common import blank_words, blocks_of, rows_of, store, tidy_shuffles
-from expogrid.llm.simhash import components
+from expogrid.llm.simhash import components, fingerprint
 from expogrid.llm.sketches import mixed
 from expogrid.llm.windows import WordHashes
 from expogrid.sources import sinks
@@ -94,12 +94,12 @@ def row_key():
     return F.struct(F.xxhash64("doc_id", text).alias("h"), F.xxhash64(text, "doc_id", F.lit(1)).alias("l"))
 
 
-def sketched(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(doc_id, row, digest, n, keys, agree) of every row: 128 bits for the shingle set, its size, its band keys and one
-    byte of each coordinate. ``docs``: doc_id, text.
+def sketched(docs: DataFrame, bands: int, rows: int, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The named columns and (row, digest, n, keys, agree, fp) of every row: 128 bits for the shingle set, its size, its band
+    keys, one byte of each coordinate, and the SimHash fingerprint of the set. ``docs``: doc_id, text and what is named.
     """
     t = bands * rows
-    named = docs.select("doc_id", row_key().alias("row"), "text")
+    named = docs.select(*columns, row_key().alias("row"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
@@ -115,15 +115,17 @@ def sketched(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                     agree = (mixed(table.ravel(), 29) & np.uint64(255)).astype(np.uint8).reshape(table.shape)
                     part = batch.slice(start, len(sets))
                     lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * bands, pa.int32()), pa.array(keys.ravel().view(np.int64)))
-                    columns = [
-                        part["doc_id"], part["row"], pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
+                    arrays = [
+                        *[part[c] for c in columns], part["row"], pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
                         pa.array(sizes), lists, pa.array([a.tobytes() for a in agree], pa.binary()),
+                        pa.array(np.array([fingerprint(s) for s in sets], np.uint64).view(np.int64)),
                     ]
-                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "digest", "n", "keys", "agree"])
+                    yield pa.RecordBatch.from_arrays(arrays, names=[*columns, "row", "digest", "n", "keys", "agree", "fp"])
                     sets, start, held = [], i + 1, 0
 
     empty = F.lit(b"").cast("binary")
-    schema = named.select("doc_id", "row", empty.alias("digest"), F.lit(0).cast("long").alias("n"), F.array().cast("array<long>").alias("keys"), empty.alias("agree")).schema
+    zero = F.lit(0).cast("long")
+    schema = named.select(*columns, "row", empty.alias("digest"), zero.alias("n"), F.array().cast("array<long>").alias("keys"), empty.alias("agree"), zero.alias("fp")).schema
     return named.mapInArrow(run, schema)
 
 
@@ -184,9 +186,13 @@ def plausible(pairs: DataFrame, known: DataFrame, percent: int, least: int) -> D
 
 
 class Tile:
-    """Members of one key, compared with each other: texts become sets once, links found join labels at once."""
+    """Members of one key, compared with each other: texts become sets once, links found join labels at once.
 
-    def __init__(self, rows: pa.Table, bands: int, percent: int, least: int, known: WordHashes):
+    With ``every``, all links are given and labels stay as they are.
+    """
+
+    def __init__(self, rows: pa.Table, bands: int, percent: int, least: int, known: WordHashes, every: bool = False):
+        self.every = every
         self.cid, self.n, self.own = (rows[c].to_numpy() for c in ("cid", "n", "own"))
         self.band, self.percent, self.least = rows["band"][0].as_py(), percent, least
         self.sides = rows["i"][0].as_py(), rows["j"][0].as_py()
@@ -204,8 +210,10 @@ class Tile:
             others = others[self.label[others] != self.label[x]]
             others = others[100 * np.minimum(self.n[others], self.n[x]) >= self.percent * np.maximum(self.n[others], self.n[x])]
             equal = self.agree[others] == self.agree[x]
-            # A pair is compared in the first band it shares.
-            others = others[(equal.sum(axis=(1, 2)) >= self.least) & (equal.all(axis=2).argmax(axis=1) == self.band)]
+            # A pair is compared in the first band it shares, and under a key that is no band (-1) if it shares none.
+            bands = equal.all(axis=2)
+            first = np.where(bands.any(axis=1), bands.argmax(axis=1), -1)
+            others = others[(equal.sum(axis=(1, 2)) >= self.least) & (first == self.band)]
             if not len(others):
                 continue
             flat = np.concatenate([self.sets[y] for y in others])
@@ -213,14 +221,16 @@ class Tile:
             ends = np.cumsum(self.n[others])
             shared = np.diff(np.concatenate(([0], np.cumsum(self.sets[x][place] == flat)[ends - 1])))
             for y in others[100 * shared >= self.percent * (self.n[others] + self.n[x] - shared)].tolist():
-                if self.label[x] != self.label[y]:
+                if self.every:
+                    yield int(self.cid[x]), int(self.cid[y])
+                elif self.label[x] != self.label[y]:
                     self.label[self.label == self.label[y]] = self.label[x]
                     yield int(self.cid[x]), int(self.cid[y])
 
 
-def tiled(members: DataFrame, known: DataFrame, texts: DataFrame, bands: int, percent: int, least: int) -> DataFrame:
+def tiled(members: DataFrame, known: DataFrame, texts: DataFrame, bands: int, percent: int, least: int, every: bool = False) -> DataFrame:
     """Links (a, b) between members (key, band, cid, n, label) of one key that connect what all links between different
-    labels connect.
+    labels connect; with ``every``, all links between different labels.
 
     The members of a key are dealt to groups of about ``TILE``, and each two groups meet in a tile of their own, so no
     task holds a key, and nothing but links that join something leaves a tile.
@@ -236,7 +246,7 @@ def tiled(members: DataFrame, known: DataFrame, texts: DataFrame, bands: int, pe
         tables, held, last = WordHashes(), [], None
 
         def done() -> pa.RecordBatch:
-            found = list(Tile(pa.Table.from_batches(held), bands, percent, least, tables).links())
+            found = list(Tile(pa.Table.from_batches(held), bands, percent, least, tables, every).links())
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*found) if found else [[]] * 2)], names=["a", "b"])
 
         for batch in batches:
