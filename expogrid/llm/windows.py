@@ -19,7 +19,8 @@ from expogrid.sources import sinks
 SHINGLE, PASSAGE = 5, 50  # words
 SIMILARITY = 0.8
 HASHES = 3
-SALTS = 64
+#: Candidates that are compared with one partner in one part.
+PART = 1000
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
@@ -217,16 +218,64 @@ def passages(own: np.ndarray, other: np.ndarray, width: int, similarity: float)
     return out
 
 
+def side_by_side(pairs: list[tuple[np.ndarray, np.ndarray]], width: int, similarity: float) -> list[list[tuple[int, int]]]:
+    """``passages`` of many pairs. Most are settled for all pairs at once, and only the others one by one.
+
+    Without repeated values, a stretch is alike if enough values agree place by place, and it is not if too few of its
+    values stand anywhere on the other side.
+    """
+    sizes = np.array([min(len(a), len(b)) for a, b in pairs], np.int64)
+    of, start = np.repeat(np.arange(len(pairs)), sizes), np.cumsum(sizes) - sizes
+    own, other = (np.concatenate([p[i][:n] for p, n in zip(pairs, sizes)]) if len(pairs) else np.zeros(0, np.uint32) for i in (0, 1))
+    equal = own == other
+    tag = of.astype(np.uint64) << np.uint64(32)
+    mine, theirs = np.sort(tag | own), np.sort(tag | other)
+    repeated = np.zeros(len(pairs), bool)
+    for side in (mine, theirs):
+        repeated[(side[1:][side[1:] == side[:-1]] >> np.uint64(32)).astype(np.int64)] = True
+    at = np.minimum(np.searchsorted(theirs, tag | own), max(len(theirs) - 1, 0))
+    present = theirs[at] == (tag | own) if len(theirs) else equal
+    least = int(np.ceil(2 * width * similarity / (1 + similarity) - 1e-9))
+    windows = np.maximum(sizes - width + 1, 0)
+    places = np.arange(windows.sum()) + np.repeat(start - (np.cumsum(windows) - windows), windows)
+    which = np.repeat(np.arange(len(pairs)), windows)
+
+    def worst_and_best(hits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Fewest and most hits of any stretch, for each pair."""
+        total = np.concatenate(([0], np.cumsum(hits)))
+        count = total[places + width] - total[places]
+        fewest, most = np.full(len(pairs), width + 1), np.full(len(pairs), -1)
+        np.minimum.at(fewest, which, count)
+        np.maximum.at(most, which, count)
+        return fewest, most
+
+    agreed, _ = worst_and_best(equal)
+    _, shared = worst_and_best(present)
+    ends = np.zeros(len(pairs), bool)
+    some = sizes > 0
+    ends[some] = equal[start[some]] & equal[(start + sizes - 1)[some]]
+    out = []
+    for i, (a, b) in enumerate(pairs):
+        if not windows[i] or (not repeated[i] and shared[i] < least):
+            out.append([])
+        elif agreed[i] == width or (not repeated[i] and agreed[i] >= least and ends[i]):
+            out.append([(0, int(sizes[i]) + SHINGLE - 1)])
+        else:
+            out.append(passages(a, b, width, similarity))
+    return out
+
+
 def verified(docs: DataFrame, found: DataFrame, width: int, similarity: float) -> DataFrame:
     """(rid, rep, partner, start, end): word spans of documents whose every stretch resembles the partner's beside it.
 
     Both stretches have ``width`` shingles, and the Jaccard similarity is that of the distinct ones.
 
     Texts move once, packed, to where their candidates are. A document sends the shingles of its own stretches to its
-    partners; a partner sends its text to each of up to ``SALTS`` parts that its candidates are dealt to, so one that
-    many share is split. There they are compared, a partner's part in one pass.
+    partners; a partner sends its text to each of the parts that its candidates are dealt to, about ``PART`` of them
+    each, so one that many share is split. There they are compared, a partner's part in one pass.
     """
-    salted = found.withColumn("salt", F.pmod("rid", F.lit(SALTS)).cast("int"))
+    parts = found.groupBy("rep").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
+    salted = found.join(parts, "rep").withColumn("salt", F.pmod("rid", F.col("parts")).cast("int")).drop("parts")
     asks = salted.groupBy("rid").agg(F.collect_list(F.struct("rep", "salt", "shift", "low", "high")).alias("asks"))
     gives = salted.select("rep", "salt").distinct().groupBy("rep").agg(F.collect_list("salt").alias("salts")).withColumnRenamed("rep", "rid")
     roles = asks.join(gives, "rid", "full_outer")
@@ -264,7 +313,7 @@ def verified(docs: DataFrame, found: DataFrame, width: int, similarity: float) -
         known, unpack = WordHashes(), zstandard.ZstdDecompressor().decompress
         rep, theirs, partner = None, np.zeros(0, np.uint32), None
         for batch in rows_of(batches, 500):
-            out: list[tuple] = []
+            pairs, named, out = [], [], []
             for key, kind, rid, doc_id, shift, low, data in zip(*(batch[c].to_pylist() for c in ("rep", "kind", "rid", "doc_id", "shift", "low", "data"))):
                 if kind == 0:
                     rep, partner = key, doc_id
@@ -273,7 +322,10 @@ def verified(docs: DataFrame, found: DataFrame, width: int, similarity: float) -
                 if key != rep:
                     continue
                 own = np.frombuffer(data, np.uint32)
-                out += [(rid, rep, partner, low + a, low + b) for a, b in passages(own, theirs[low + shift : low + shift + len(own)], width, similarity)]
+                pairs.append((own, theirs[low + shift : low + shift + len(own)]))
+                named.append((rid, rep, partner, low))
+            for (rid, rep_, partner_, low), found in zip(named, side_by_side(pairs, width, similarity)):
+                out += [(rid, rep_, partner_, low + a, low + b) for a, b in found]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*out) if out else [[]] * 5)], names=["rid", "rep", "partner", "start", "end"])
 
     return dealt.mapInArrow(compare, "rid long, rep long, partner long, start long, end long")

@@ -310,3 +310,25 @@ def test_passages_around_a_common_notice(spark):
     found = [[(i, got[i].partners, [s.end - s.start for s in got[i].spans]) for i in (a, a + 1) if got[i].spans] for a in range(0, 80, 2)]
     assert all(len(f) == 1 and f[0][1] == [f[0][0] ^ 1] and f[0][2] == [50] for f in found)
     assert not any(got[i].spans for i in range(80, 140))
+
+
+def test_pairs_settled_together_equal_one_by_one():
+    r = np.random.default_rng(6)
+    for top in (1 << 31, 300, 8):
+        pairs = []
+        for _ in range(200):
+            n = int(r.integers(0, 150))
+            own = r.integers(0, top, n).astype(np.uint32)
+            other = own.copy()
+            kind = r.integers(0, 5)
+            if n and kind:
+                other[r.integers(0, n, int(r.integers(0, 12)))] = r.integers(0, 1 << 31)
+            if kind == 2:
+                other = np.insert(other, int(r.integers(0, n + 1)), 7).astype(np.uint32)
+            if kind == 3:
+                other = r.permutation(other)
+            if kind == 4:
+                other = other[: int(r.integers(0, n + 1))]
+            pairs.append((own, other))
+        assert windows.side_by_side(pairs, 20, 0.8) == [windows.passages(a, b, 20, 0.8) for a, b in pairs]
+    assert windows.side_by_side([], 20, 0.8) == []
