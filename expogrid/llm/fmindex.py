@@ -181,7 +181,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: Column | None = None, widt
     items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(size / block_bytes))
-    named = docs.select(F.struct(*docs.columns).alias("row"), (F.col("text") if text is None else text).alias("body"))
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), (F.col("text") if text is None else text).alias("body"))
     found = named.select("*", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<long>").alias("items"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
     for b in range(blocks):
         part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)

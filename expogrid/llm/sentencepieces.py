@@ -146,7 +146,7 @@ def encoded(docs: DataFrame, path: str | None = None, threads: int = 2, text_col
     of any name may ride along; repeated rows give repeated results, no rows no rows.
     """
     path = path or public_tokenizers.path("piece_bpe_32k.model")
-    named = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("body"))
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).alias("body"))
     schema = named.select("row", F.array().cast("array<int>").alias("ids"), F.lit("").alias("decoded"), F.lit(True).alias("parity")).schema
     for name in ("ids", "decoded"):
         schema[name].nullable = True

@@ -16,9 +16,12 @@ from pyspark.sql import functions as F
 
 from expogrid.llm.common import blank_words, blocks_of, held_out, rows_of, store
 
-WINDOW = 20  # words in a window
+WINDOW = 12  # words in a window
 PAIRS = 1  # dictionary pairs; more have other ordinary text each, and windows shifted by a share of their length
-ORDINARY_BYTES, PIECES = 3800, 45
+#: Sizes of the trained dictionaries. The toxic one stands before the ordinary one, which both sides have.
+ORDINARY_BYTES, TOXIC_BYTES = 3800, 1500
+#: Toxic windows to train on hold words whose beginning at least this share of the toxic rows have, this many times as often as others.
+SHARE, TIMES = 0.02, 20
 THRESHOLD = 0.3
 N_FEATURES = 12
 
@@ -34,7 +37,7 @@ class Dictionaries:
 @lru_cache(maxsize=8)
 def compressors(dictionaries: Dictionaries):
     settings = zstandard.ZstdCompressionParameters(
-        window_log=15, hash_log=12, chain_log=12, search_log=6, min_match=3, target_length=128, strategy=zstandard.STRATEGY_BTULTRA2,
+        window_log=15, hash_log=13, chain_log=13, search_log=6, min_match=4, target_length=64, strategy=zstandard.STRATEGY_LAZY2,
         write_content_size=False, write_checksum=False, write_dict_id=False,
     )
 
@@ -58,44 +61,50 @@ def openings(text: str) -> set[bytes]:
     return found
 
 
-def train(rows: list[tuple[str, int]]) -> Dictionaries:
-    """Dictionaries from labelled texts.
-
-    Each ordinary dictionary is trained by the library on all windows of its share of the ordinary texts. Each toxic one holds the
-    same, so that windows without toxic text compress alike, behind what sets the toxic texts apart: beginnings of
-    words that at least five of them hold, eight times as often as ordinary texts do. Of equal ones the longest is taken.
-    """
+def distinctive(rows: list[tuple[str, int]]) -> set[bytes]:
+    """Beginnings of words that toxic texts share and ordinary ones do not."""
     toxic, ordinary, n = Counter(), Counter(), [0, 0]
     for text, label in rows:
         n[label] += 1
         (toxic if label else ordinary).update(openings(text))
-    ranked = []
-    for piece, k in toxic.items():
-        gain = math.log((k + 0.5) / (n[1] + 1)) - math.log((ordinary[piece] + 0.5) / (n[0] + 1))
-        if k >= 5 and gain > math.log(8):
-            ranked.append((-k * gain, -len(piece), piece))
-    chosen: list[bytes] = []
-    for *_, piece in sorted(ranked):
-        if len(chosen) == PIECES:
-            break
-        if not any(piece.startswith(c) or c.startswith(piece) for c in chosen):
-            chosen.append(piece)
-    apart = b"".join(reversed(chosen))
+    return {p for p, k in toxic.items() if k >= max(5, SHARE * n[1]) and (k + 0.5) / (n[1] + 1) > TIMES * (ordinary[p] + 0.5) / (n[0] + 1)}
+
+
+def toxic_windows(rows: list[tuple[str, int]]) -> list[bytes]:
+    """Each toxic text without what ordinary texts hold as well: what is left is what a dictionary of toxic text is to know."""
+    own, found = distinctive(rows), []
+    for text, label in rows:
+        kept = [] if not label else [w for words in blocks_of(text, blank_words) for w in words if own & {(b" " + w + b" ")[:k] for k in range(5, min(len(w) + 2, 14) + 1)}]
+        if kept:
+            found.append(b" " + b" ".join(kept) + b" ")
+    return found
+
+
+def trained(samples: list[bytes], size: int) -> bytes:
+    """The content of a dictionary that the library trains on the samples; the samples' own end where they are too few."""
+    try:
+        return zstandard.train_dictionary(size + 296, samples, k=16, d=6).as_bytes()[-size:]
+    except zstandard.ZstdError:
+        return b" ".join(samples)[-size:]
+
+
+def train(rows: list[tuple[str, int]]) -> Dictionaries:
+    """Dictionaries from labelled texts, both trained by the library.
+
+    The ordinary dictionary comes from all windows of its share of the ordinary texts, the toxic one from the toxic windows. So that
+    windows without toxic text compress alike with both, the ordinary content follows the toxic one.
+    """
+    apart = trained(toxic_windows(rows), TOXIC_BYTES)
     shares: list[list[bytes]] = [[] for _ in range(PAIRS)]
     for i, text in enumerate(text for text, label in rows if not label):
         words = blank_words(text)
         shares[i % PAIRS] += [b" ".join(words[k : k + 16]) for k in range(0, len(words), 16)]
-    contents = []
-    for share in shares:
-        try:
-            contents.append(zstandard.train_dictionary(ORDINARY_BYTES + 296, share, k=16, d=6).as_bytes()[-ORDINARY_BYTES:])
-        except zstandard.ZstdError:  # too little text to train on: the text itself
-            contents.append(b" ".join(share)[-ORDINARY_BYTES:])
+    contents = [trained(share, ORDINARY_BYTES) for share in shares]
     return Dictionaries(tuple(contents), tuple(apart + c for c in contents))
 
 
 def features(text: str | None, dictionaries: Dictionaries) -> list[float]:
-    """How many bytes the toxic dictionaries save over the ordinary ones, summed up over all windows of a text."""
+    """How many bytes the toxic dictionaries save over the ordinary ones, summed up over all windows of a text; NaN without any."""
     saved: list[int] = []
     for words in blocks_of(text, blank_words):
         for k, (ordinary, toxic) in enumerate(compressors(dictionaries)):
@@ -103,7 +112,9 @@ def features(text: str | None, dictionaries: Dictionaries) -> list[float]:
                 window = b" ".join(words[max(0, start) : start + WINDOW])
                 if window:
                     saved.append(len(ordinary(window)) - len(toxic(window)))
-    d = np.sort(np.array(saved or [0], float))
+    if not saved:
+        return [math.nan] * N_FEATURES
+    d = np.sort(np.array(saved, float))
     n = len(d)
     return [
         d.mean(), d[-1], d[-3:].mean(), d.sum() / math.sqrt(n), (d >= 3).mean(), (d >= 2).mean(), d[d > 1].sum() / n, (d >= 5).mean(),
@@ -178,25 +189,28 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = 2000, ordinary_row
         own = train([(t, label) for i, t, label in learned if sides[i] != side] or [(t, label) for _, t, label in learned])
         unseen = rows.filter(half(F.col("doc_id")) == side).repartition(rows.sparkSession.sparkContext.defaultParallelism)
         for r in measured(unseen, own, "text").select("doc_id", "toxic", "x").orderBy("doc_id").collect():
-            x.append(r.x)
-            y.append(r.toxic)
+            if not math.isnan(r.x[0]):
+                x.append(r.x)
+                y.append(r.toxic)
+    if not x:
+        return None
     return calibrate(train([(t, label) for _, t, label in learned]), np.array(x), np.array(y, float))
 
 
 def scored(docs: DataFrame, scorer: Scorer | None, text_col: str = "text") -> DataFrame:
     """Each input row as ``row``, with its score from 0 to 1 and whether it reaches the threshold.
 
-    Every window of a whole text counts; nothing is shuffled. A null or empty text has no windows and gets the score
-    of a text that saves nothing. Without a scorer all scores are 0. Columns of any name may ride along.
+    Every window of a whole text counts; nothing is shuffled. A text without words, a null or empty one among
+    them, has no windows and scores 0. Without a scorer all scores are 0. Columns of any name may ride along.
     """
-    named = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("body"))
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).alias("body"))
     if scorer is None:
         return named.select("row", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches, 500):
             x = np.array([features(t.as_py(), scorer.dictionaries) for t in batch["body"]]).reshape(-1, N_FEATURES)
-            score = scorer.score(x)
+            score = np.where(np.isnan(x[:, 0]), 0.0, scorer.score(np.nan_to_num(x)))
             yield pa.RecordBatch.from_arrays(
                 [batch["row"], pa.array(score, pa.float64()), pa.array((score >= THRESHOLD).astype(np.int32), pa.int32())], names=["row", "score", "predicted"]
             )
