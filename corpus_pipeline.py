@@ -13,20 +13,31 @@ from expogrid.llm.common import rows_of, store, table
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the compression-distance score rejects go; the scorer learns from labelled rows not held out."""
+    """Documents that the compression-distance score rejects go; the scorer learns from labelled rows not held out.
+
+    Null and empty texts have no windows and stay. Repeated rows share their fate. Without labels of both kinds
+    nothing goes. No rows give no rows.
+    """
     scorer = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.scored(docs, scorer).filter("predicted = 0").select("row.*")
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+    """One document of each group of near-duplicates stays.
+
+    Candidates are what SimHash links and bands of sketches join; five-word shingles of whole texts decide at a similarity
+    of 0.8. Null, empty and blank texts are one group; repeated rows are copies; ties go by the hash of id and text.
+    """
     return neardup.deduplicated(docs)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that another document keeps are cut out; a document of which no word is left goes."""
+    """Passages that another document keeps are cut out; a document of which no word is left goes.
+
+    Texts below fifty words, null and empty ones stay as they are. ``n_chars`` follows the text where it was cut.
+    """
     found = windows.repeats(docs).filter(F.size("spans") > 0).select("rid", "spans").dropDuplicates(["rid"])
-    named = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text").withColumn("rid", windows.row_id())
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text").withColumn("rid", windows.row_id())
     joined = named.select("row", "text", "rid").join(store(found, "spans"), "rid", "left").select("row", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -41,15 +52,21 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contaminated documents go: at least a twentieth of their words stands in benchmark windows."""
+    """Contaminated documents go: at least a twentieth of their words stands in benchmark windows.
+
+    Texts without words, null ones among them, stay; so does everything if the benchmark has no words.
+    """
     found = fmindex.scan(docs, table(spark, sf_dir, "benchmark"))
     return found.filter(~fmindex.contaminated()).select("row.*")
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every document, with whether decoding restores the text and parity with the reference library."""
+    """Ids of every document, with whether decoding restores the text as it was and parity with the reference library.
+
+    A null text has null ids and no tokens and counts as restored. Of other columns than these only lang and source stay.
+    """
     done = sentencepieces.encoded(docs)
-    restored = F.col("decoded").eqNullSafe(F.replace("row.text", F.lit("▁"), F.lit(" ")))
+    restored = F.col("decoded").eqNullSafe(F.col("row.text"))
     return done.select("row.doc_id", "row.lang", "row.source", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), "ids", restored.alias("restored"), "parity")
 
 

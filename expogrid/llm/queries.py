@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from expogrid.llm import covertree, fmindex, jump, language, licences, minhash, overlap, pieces, sentencepieces, simhash, sketches, toxicity, variants, windows
+from expogrid.llm import covertree, fmindex, jump, language, licences, minhash, overlap, sentencepieces, simhash, sketches, toxicity, variants, windows
 from expogrid.llm.common import held_out, table
 
 SHARDS = 40
@@ -48,7 +48,7 @@ def op6_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return done.select(
         "row.doc_id", F.coalesce(F.octet_length("row.text"), F.lit(0)).cast("long").alias("n_bytes"), F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.coalesce("ids", F.array().cast("array<int>")).cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
-        F.col("decoded").eqNullSafe(F.replace("row.text", F.lit(pieces.MARK), F.lit(" "))).alias("restored"), "parity",
+        F.col("decoded").eqNullSafe(F.col("row.text")).alias("restored"), "parity",
     )
 
 

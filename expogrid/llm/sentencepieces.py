@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -72,7 +73,7 @@ class Codec:
     starts anew when full, and texts are put together from it. Texts of other models are encoded whole.
     """
 
-    def __init__(self, path: str, threads: int, most: int = 400_000):
+    def __init__(self, path: str, threads: int, most: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"], os.environ["RAYON_NUM_THREADS"] = "true", str(threads)
         import sentencepiece
 
@@ -81,12 +82,14 @@ class Codec:
         self.tokenizer, self.model = rebuild(data)
         self.library = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.by_stretch = splits_at_marks(self.model) and self.model.plain
-        self.numbers = list(range(len(self.model.pieces)))  # one object for each id, however often it is held
         self.most = most
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, int] = {}  # number of a stretch; its ids are size[n] of ``flat`` from start[n] on
+        self.flat = np.zeros(1 << 16, np.int32)
+        self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
+        self.used = 0
         self.unlike: set[str] = set()  # stretches that the reference library encodes in another way
         self.changed: dict[str, str] = {}  # what stretches come back as, where that is not as they were
 
@@ -102,29 +105,54 @@ class Codec:
         ids = [x if t else [] for t, x in zip(texts, ids)]
         return list(zip(wanted, self.decode(wanted), (a == b for a, b in zip(ids, wanted))))
 
-    def run(self, texts: list[str]) -> list[tuple[list[int], str, bool]]:
-        if not self.by_stretch:
-            return self.whole(texts)
-        if len(self.known) > self.most:
-            self.forget()
-        plain = [" " + t.replace(pieces.MARK, " ") if t else "" for t in texts]
-        stretches = [STRETCH.findall(t) for t in plain]
-        new = sorted({x for some in stretches for x in some if x not in self.known})
+    def learn(self, new: list[str]) -> None:
         done = dict(zip(new, self.whole([x[1:] for x in new])))  # the mark in front is the first blank
         if " " in done:  # a blank at the end is a mark with no word, which no text begins with
             head, tail = self.whole(["a", "a "])
             done[" "] = (tail[0][len(head[0]) :], "", head[2] and tail[2])
-        for x, (ids, back, same) in done.items():
-            self.known[x] = tuple([self.numbers[i] for i in ids])
+        first, ids = len(self.known), list(chain.from_iterable(x for x, _, _ in done.values()))
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
+        while first + len(done) > len(self.start):
+            self.start, self.size = np.concatenate((self.start, np.zeros_like(self.start))), np.concatenate((self.size, np.zeros_like(self.size)))
+        sizes = np.array([len(x) for x, _, _ in done.values()], np.int32)
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.size[first : first + len(done)] = sizes
+        self.start[first : first + len(done)] = self.used + np.cumsum(sizes) - sizes
+        self.used += len(ids)
+        for n, (x, (_, back, same)) in enumerate(done.items(), first):
+            self.known[x] = n
             if not same:
                 self.unlike.add(x)
             if back != x[1:]:
                 self.changed[x] = " " + back
-        out = []
-        for text, some in zip(plain, stretches):
-            back = "".join([self.changed.get(x, x) for x in some]) if self.changed else text
-            out.append((list(chain.from_iterable(map(self.known.__getitem__, some))), back[1:], not self.unlike or self.unlike.isdisjoint(some)))
-        return out
+
+    def packed(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str], list[bool]]:
+        """Ids of all texts one behind the other, where each text's begin and end, decoded texts and parity."""
+        if not self.by_stretch:
+            done = self.whole(texts)
+            ends = np.cumsum([0, *(len(x) for x, _, _ in done)])
+            return np.array(list(chain.from_iterable(x for x, _, _ in done)), np.int32), ends, [x for _, x, _ in done], [x for _, _, x in done]
+        if len(self.known) > self.most:
+            self.forget()
+        plain = [" " + t.replace(pieces.MARK, " ") if t else "" for t in texts]
+        stretches = [STRETCH.findall(t) for t in plain]
+        every = list(chain.from_iterable(stretches))
+        try:
+            number = np.fromiter(map(self.known.__getitem__, every), np.int64, len(every))
+        except KeyError:
+            self.learn(sorted(set(every) - self.known.keys()))
+            number = np.fromiter(map(self.known.__getitem__, every), np.int64, len(every))
+        size = self.size[number].astype(np.int64)
+        ends = np.concatenate(([0], np.cumsum(size)))
+        ids = self.flat[np.repeat(self.start[number] - ends[:-1], size) + np.arange(ends[-1])]
+        ends = ends[np.cumsum([0, *map(len, stretches)])]
+        backs = [("".join([self.changed.get(x, x) for x in some]) if self.changed else text)[1:] for text, some in zip(plain, stretches)]
+        return ids, ends, backs, [not self.unlike or self.unlike.isdisjoint(some) for some in stretches]
+
+    def run(self, texts: list[str]) -> list[tuple[list[int], str, bool]]:
+        ids, ends, backs, same = self.packed(texts)
+        return [(ids[a:b].tolist(), back, like) for a, b, back, like in zip(ends[:-1], ends[1:], backs, same)]
 
 
 @lru_cache(maxsize=2)
@@ -155,13 +183,11 @@ def encoded(docs: DataFrame, path: str | None = None, threads: int = 2, text_col
         tool = codec(path, threads)
         for batch in rows_of(batches, 200):
             texts = batch["body"].to_pylist()
-            done = tool.run([t or "" for t in texts])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch["row"], pa.array([None if t is None else x for t, (x, _, _) in zip(texts, done)], pa.list_(pa.int32())),
-                    pa.array([None if t is None else x for t, (_, x, _) in zip(texts, done)], pa.string()), pa.array([x for _, _, x in done], pa.bool_()),
-                ],
-                names=["row", "ids", "decoded", "parity"],
-            )
+            ids, ends, backs, same = tool.packed([t or "" for t in texts])
+            missing = np.array([t is None for t in texts], bool)
+            offsets = pa.array(ends.astype(np.int32), mask=np.append(missing, False)) if missing.any() else pa.array(ends.astype(np.int32))
+            lists = pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))
+            backs = pa.array([None if t is None else x for t, x in zip(texts, backs)], pa.string())
+            yield pa.RecordBatch.from_arrays([batch["row"], lists, backs, pa.array(same, pa.bool_())], names=["row", "ids", "decoded", "parity"])
 
     return named.mapInArrow(run, schema)
