@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -106,14 +107,22 @@ def key_profile(df: DataFrame, key: str) -> DataFrame:
     return base.withColumn("median_rows_per_key", middle.select("median_rows_per_key").scalar())
 
 
-def numeric_summary(tables: dict[str, tuple[DataFrame, Sequence[str]]], buckets: int = 256) -> DataFrame:
+SPOTS = {"p10": 0.1, "median": 0.5, "p90": 0.9}
+
+
+def numeric_summary(tables: dict[str, tuple[DataFrame, Sequence[str]]], buckets: int = 256, rank_error: float | None = None) -> DataFrame:
     """Rows, missing, min, p10, median, mean, p90 and max for columns of several tables.
 
     Per table, one wide aggregate gives the moments. The exact quantiles of all columns
-    come from one distributed ranking of (column, value) counts.
+    come from one distributed ranking of (column, value) counts. With ``rank_error``, they come from quantile sketches
+    in the same aggregate instead: mergeable, of a size that does not depend on the rows, and
+    each a value of the column whose rank is off by at most that share of all rows. Nothing but sketches is shuffled then.
     """
     parts = []
     for table, (df, columns) in tables.items():
+        if rank_error is not None:
+            parts.append(_sketched_summary(df, table, columns, rank_error))
+            continue
         sums = df.agg(F.count(F.lit(1)).alias("rows"), *[
             f(F.col(c).cast("double")).alias(f"{tag}__{c}")
             for c in columns for tag, f in (("n", F.count), ("min", F.min), ("mean", F.avg), ("max", F.max))
@@ -126,13 +135,28 @@ def numeric_summary(tables: dict[str, tuple[DataFrame, Sequence[str]]], buckets:
             ) for c in columns
         ])))
         long = df.select(*unpivot([], [{"column_name": F.lit(c), "value": F.col(c).cast("double")} for c in columns]))
-        spots = quantiles(long, ["column_name"], "value", {"p10": 0.1, "median": 0.5, "p90": 0.9}, buckets)
+        spots = quantiles(long, ["column_name"], "value", SPOTS, buckets)
         parts.append(moments.join(spots, "column_name", "left"))
     return reduce(DataFrame.unionByName, parts).select(
         "source_table", "column_name", "rows", "nonmissing", "missing", "minimum", "p10", "median", "mean", "p90", "maximum"
     )
 
 
+def _sketched_summary(df: DataFrame, table: str, columns: Sequence[str], rank_error: float) -> DataFrame:
+    x = {c: F.col(c).cast("double") for c in columns}
+    spots = F.array(*[F.lit(p) for p in SPOTS.values()])
+    sums = df.agg(F.count(F.lit(1)).alias("rows"), *[
+        v.alias(f"{tag}__{c}") for c in columns
+        for tag, v in (("n", F.count(x[c])), ("min", F.min(x[c])), ("mean", F.avg(x[c])), ("max", F.max(x[c])), ("q", F.percentile_approx(x[c], spots, math.ceil(1 / rank_error))))
+    ])
+    return sums.select(F.inline(F.array(*[
+        F.struct(
+            F.lit(c).alias("column_name"), F.lit(table).alias("source_table"), F.col("rows"), F.col(f"n__{c}").alias("nonmissing"), (F.col("rows") - F.col(f"n__{c}")).alias("missing"),
+            F.col(f"min__{c}").alias("minimum"), F.col(f"mean__{c}").alias("mean"), F.col(f"max__{c}").alias("maximum"), *[F.col(f"q__{c}")[i].alias(name) for i, name in enumerate(SPOTS)],
+        ) for c in columns
+    ]))).select("column_name", "source_table", "rows", "nonmissing", "missing", "minimum", "mean", "maximum", *SPOTS)
+
+
 def raw_code_audit(
     table: DataFrame, composition: DataFrame, key: str, columns: dict[str, str], counts: Sequence[str], focal: str, total: str, source: str
 ) -> DataFrame:

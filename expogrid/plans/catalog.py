@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import all_members, band_label, mean_of_observed
-from ..operators import audit, bundles, compose, contrast, exposure, intervals, models
+from ..operators import audit, bundles, compose, contrast, exposure, intervals, logratios, models, strata, weights
 from ..operators.ranking import percent_ranks
 from ..presets import indicators as N
 from ..presets import schools as S
@@ -354,6 +354,13 @@ def numeric_summary(spark, d):
     return audit.numeric_summary({t: (tables[t], cols) for t, cols in SUMMARY.items()})
 
 
+@register("numeric_sketch")
+def numeric_sketch(spark, d):
+    """The same summary with quantiles from sketches; tests hold their ranks to the stated error."""
+    tables = {t: P.table(spark, d, t) for t in ("lineitem", "customer")}
+    return audit.numeric_summary({t: (tables[t], SUMMARY[t]) for t in tables}, rank_error=0.001)
+
+
 AUDIT_COUNTS = [*[PS.column(g) for g in PS.groups], "total_qty"]
 AUDITED = {"c_mktsegment": "market segment", "c_nationkey": "nation code"}
 
@@ -548,21 +555,21 @@ def region_slopes(spark, d):
     return models.within_slopes(P.customer_units(spark, d), "a0_share", PI, "region", "subregion", per_region=True)
 
 
-def _ols_sql(outcomes, levels, digits: int = 5) -> str:
+def _ols_sql(outcomes, levels, digits: int = 5, x: tuple[str, str] = ("a0_share", "b0_share"), where: str = "TRUE", extra: str = "") -> str:
     """Two regressors, clustered errors, in closed form."""
-    out = []
+    out, (x1, x2) = [], x
     for y in outcomes:
         for level, part in levels:
             dm = lambda c: f"{c} - avg({c}) OVER (PARTITION BY {part})"
-            out.append(f"""SELECT {O.text(level + ' fixed effects')} AS fixed_effect, {O.text(y)} AS outcome_code, regressor, {O.whole('n', 'observations')}, {O.whole('gc', 'clusters')},
+            out.append(f"""SELECT {extra}{O.text(level + ' fixed effects')} AS fixed_effect, {O.text(y)} AS outcome_code, regressor, {O.whole('n', 'observations')}, {O.whole('gc', 'clusters')},
  {O.rd('b', 'coefficient', digits)}, {O.rd('sqrt(v * (gc / (gc - 1.0)) * ((n - 1.0) / (n - 2.0)))', 'standard_error', digits)}
-FROM (WITH q AS (SELECT region, subregion, {dm('CAST(' + y + ' AS DOUBLE)')} AS y, {dm('a0_share')} AS x1, {dm('b0_share')} AS x2 FROM u WHERE {y} IS NOT NULL AND a0_share IS NOT NULL AND b0_share IS NOT NULL),
+FROM (WITH q AS (SELECT region, subregion, {dm('CAST(' + y + ' AS DOUBLE)')} AS y, {dm(x1)} AS x1, {dm(x2)} AS x2 FROM u WHERE {y} IS NOT NULL AND {x1} IS NOT NULL AND {x2} IS NOT NULL AND {where}),
  m AS (SELECT count(*) AS n, count(DISTINCT region || '|' || subregion) AS gc, sum(x1*x1) AS a, sum(x1*x2) AS b, sum(x2*x2) AS c, sum(x1*y) AS p, sum(x2*y) AS q FROM q),
  s AS (SELECT *, (c*p - b*q)/(a*c - b*b) AS b1, (a*q - b*p)/(a*c - b*b) AS b2, c/(a*c-b*b) AS i11, -b/(a*c-b*b) AS i12, a/(a*c-b*b) AS i22 FROM m),
  t AS (SELECT sum(x1*(y - b1*x1 - b2*x2)) AS s1, sum(x2*(y - b1*x1 - b2*x2)) AS s2 FROM q, s GROUP BY region, subregion),
  w AS (SELECT sum(s1*s1) AS m11, sum(s1*s2) AS m12, sum(s2*s2) AS m22 FROM t)
- SELECT 'a0_share' AS regressor, n, gc, b1 AS b, i11*i11*m11 + 2*i11*i12*m12 + i12*i12*m22 AS v FROM s, w
- UNION ALL SELECT 'b0_share', n, gc, b2, i12*i12*m11 + 2*i12*i22*m12 + i22*i22*m22 FROM s, w)""")
+ SELECT {O.text(x1)} AS regressor, n, gc, b1 AS b, i11*i11*m11 + 2*i11*i12*m12 + i12*i12*m22 AS v FROM s, w
+ UNION ALL SELECT {O.text(x2)}, n, gc, b2, i12*i12*m11 + 2*i12*i22*m12 + i22*i22*m22 FROM s, w)""")
     return O.union(out)
 
 
@@ -593,6 +600,63 @@ def coefficient_intervals(spark, d):
     return intervals.coefficient_intervals(spark, models.fit_within(units, OLS, terms, "region", "subregion"), terms)
 
 
+SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+
+
+@register("stratified_ols", O.c1("SELECT * FROM (" + O.union(
+    _ols_sql(("in_debt", "low_value"), LEVELS, 5, where=f"segment = {O.text(g)}", extra=f"{O.text(g)} AS stratum, ") for g in SEGMENTS) + ") WHERE observations > 0"), 5)
+def stratified_ols(spark, d):
+    """The two-share model in every market segment, fitted together."""
+    units = P.customer_units(spark, d).select("segment", "region", "subregion", "a0_share", "b0_share", "in_debt", "low_value")
+    terms = [models.Regressor(c, F.col(c), c) for c in ("a0_share", "b0_share")]
+    fits = strata.stratified_fits(units, ("in_debt", "low_value"), terms, "segment", "region", "subregion")
+    return fits.select("stratum", "fixed_effect", "outcome_code", "regressor", "observations", "clusters", "coefficient", "standard_error")
+
+
+ZERO = 0.005
+PARTS = ("b0_qty", "c0_qty", "others_qty")
+
+
+def _ratio_sql() -> str:
+    total = "(b0_qty + c0_qty + d0_qty + e0_qty)"
+    parts = {"p1": "b0_qty", "p2": "c0_qty", "p3": "(d0_qty + e0_qty)"}
+    zeros = " + ".join(f"CASE WHEN {c} = 0 THEN 1 ELSE 0 END" for c in parts.values())
+    shares = ", ".join(f"CASE WHEN {c} = 0 THEN {ZERO} ELSE CAST({c} AS DOUBLE) / {total} * (1.0 - {ZERO} * ({zeros})) END AS {p}" for p, c in parts.items())
+    source = f"(SELECT *, sqrt(2.0 / 3) * (ln(p1) - (ln(p2) + ln(p3)) / 2) AS first_ratio, sqrt(1.0 / 2) * (ln(p2) - ln(p3)) AS second_ratio FROM (SELECT *, {shares} FROM u WHERE {total} > 0))"
+    return _ols_sql(OLS, LEVELS, 5, ("first_ratio", "second_ratio")).replace("FROM u WHERE", f"FROM {source} WHERE")
+
+
+@register("log_ratio_ols", O.c1(_ratio_sql()), 5)
+def log_ratio_ols(spark, d):
+    """Conditions on the composition of three parts, as isometric log-ratios with zeros replaced."""
+    units = P.customer_units(spark, d)
+    shares = logratios.closed([F.col("b0_qty"), F.col("c0_qty"), F.col("d0_qty") + F.col("e0_qty")], ZERO)
+    first, second = logratios.coordinates(shares)
+    units = units.select("region", "subregion", *OLS, first.alias("first_ratio"), second.alias("second_ratio"))
+    terms = [models.Regressor(c, F.col(c), c) for c in ("first_ratio", "second_ratio")]
+    rows = models.coefficient_table(spark, models.fit_within(units, OLS, terms, "region", "subregion"), terms, [P.BY_CODE[o] for o in OLS], "log ratios", ["first_ratio"])
+    return rows.select("fixed_effect", "outcome_code", "regressor", "observations", "clusters", "coefficient", "standard_error")
+
+
+WEIGHED = ("in_debt", "few_orders", "low_value", "deep_discount", "big_lines", "line_price")
+
+
+@register("index_correlations", O.c1(O.union(
+    f"SELECT {O.text(a)} AS first, {O.text(b)} AS second, {O.whole(f'count(CASE WHEN {a} IS NOT NULL AND {b} IS NOT NULL THEN 1 END)', 'pairs')}, "
+    f"{O.rd(f'CASE WHEN isnan(corr({a}, {b})) THEN NULL ELSE corr({a}, {b}) END', 'correlation')} FROM u" for i, a in enumerate(WEIGHED) for b in WEIGHED[i:])))
+def index_correlations(spark, d):
+    """Correlations of indicators over the units that have both."""
+    return weights.correlations(P.customer_units(spark, d).select(*WEIGHED), WEIGHED)
+
+
+@register("principal_index")
+def principal_index(spark, d):
+    """An index weighted by the first principal component; the loadings are tested against numpy."""
+    with sinks.stored(P.customer_units(spark, d).select("unit", *WEIGHED), "weighed") as units:
+        found = weights.principal_components(units, WEIGHED)
+        return sinks.store(units.select("unit", found.index(0).alias("first_index"), found.index(1).alias("second_index")), "principal-index")
+
+
 @register("controlled_ols")
 def controlled_ols(spark, d):
     """Shares, log size and segment dummies; checked against a dense solution in the tests."""

@@ -232,3 +232,80 @@ def test_poisson_weights(spark):
 
     w = np.array([r[0] for r in spark.range(20000).select(intervals.poisson_weight(F.col("id").cast("string"), F.lit(7))).collect()])
     assert abs(w.mean() - 1) < 0.03 and abs(w.var() - 1) < 0.05 and abs((w == 0).mean() - math.exp(-1)) < 0.015
+
+
+# ---------------------------------------------------------------- strata, compositions, weights, sketches
+
+
+def test_strata_equal_separate_fits(spark, curved):
+    from expogrid.operators import strata
+    from expogrid.operators.models import fit_within
+
+    f = curved.copy()
+    f["kind"] = [["p", "q", None][i % 3] if i > 20 else "tiny" for i in range(len(f))]
+    f["code"] = np.arange(len(f)) % 2
+    f["x2"] = 1000 + f.x**2
+    df = as_rows(spark, f[["region", "sub", "x", "straight", "bent", "kind", "code", "x2"]], "region string, sub string, x double, straight double, bent double, kind string, code long, x2 double")
+    terms = [Regressor("x", F.col("x"), "x"), Regressor("x2", F.col("x2"), "x2"), Regressor("again", F.col("x") * 2, "again")]
+    got = {(r.stratum, r.fixed_effect, r.outcome_code, r.regressor): r for r in strata.stratified_fits(df, ["bent", "straight"], terms, "kind", "region", "sub").collect()}
+    for kind in ("p", "q", None):
+        part = df.filter(F.col("kind").eqNullSafe(F.lit(kind)))
+        for fit in fit_within(part, ["bent", "straight"], terms, "region", "sub"):
+            for i, t in enumerate(terms):
+                r = got[kind, f"{fit.level} fixed effects", fit.outcome, t.name]
+                assert (r.observations, r.clusters, r.matrix_rank) == (fit.observations, fit.clusters, fit.rank)
+                assert r.coefficient == pytest.approx(fit.coefficients[i], rel=1e-6, abs=1e-8) and r.standard_error == pytest.approx(fit.errors[i], rel=1e-5, abs=1e-8)
+    few = strata.stratified_fits(df, ["bent"], terms[:1], "kind", "region", "sub", least=50)
+    assert {r.stratum for r in few.select("stratum").distinct().collect()} == {"p", "q", None}
+    assert strata.stratified_fits(df.limit(0), ["bent"], terms[:1], "kind", "region", "sub").count() == 0
+
+
+def test_log_ratios_come_back(spark):
+    from expogrid.operators import logratios
+
+    rows = [(3.0, 1.0, 6.0, 2.0), (0.0, 5.0, 0.0, 5.0), (1.0, 1.0, 1.0, 1.0), (0.0, 0.0, 0.0, 0.0), (None, 1.0, 1.0, 1.0), (-1.0, 2.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double")
+    shares = logratios.closed([F.col(c) for c in "abcd"], 0.01)
+    got = df.select(F.array(*shares).alias("s"), F.array(*logratios.coordinates(shares)).alias("z")).collect()
+    assert got[0].s == pytest.approx([0.25, 1 / 12, 0.5, 1 / 6]) and got[1].s == pytest.approx([0.01, 0.49, 0.01, 0.49])
+    for r in got[:3]:
+        assert np.allclose(logratios.shares_of(r.z)[0], r.s, atol=1e-14)
+    assert np.allclose(got[2].z, 0) and all(r.s == [None] * 4 and r.z == [None] * 3 for r in got[3:])
+    norm = np.log(np.array(got[0].s)) - np.log(np.array(got[0].s)).mean()
+    assert np.linalg.norm(got[0].z) == pytest.approx(np.linalg.norm(norm))  # isometric
+
+
+def test_component_weights(spark):
+    from expogrid.operators import weights
+
+    rng = np.random.default_rng(1)
+    base = rng.normal(size=500)
+    f = pd.DataFrame({"a": base + 0.3 * rng.normal(size=500), "b": -base + 0.5 * rng.normal(size=500), "c": rng.normal(size=500), "flat": 2.0})
+    f.loc[::7, "b"] = np.nan
+    df = as_rows(spark, f, "a double, b double, c double, flat double")
+    found = weights.principal_components(df, list(f.columns))
+    want = f.corr().fillna(0).to_numpy()
+    values, vectors = np.linalg.eigh(want)
+    assert np.allclose(np.sort(found.shares), np.sort(np.clip(values, 0, None) / values.clip(0).sum()), atol=1e-9)
+    assert np.allclose(np.abs(found.loadings[0]), np.abs(vectors[:, -1]), atol=1e-8) and (found.loadings.sum(axis=1) > -1e-9).all()
+    z = (f - f.mean()) / f.std().replace(0, np.nan)
+    w = found.loadings[0]
+    index = (z.fillna(0) * w).sum(axis=1) / (z.notna() * np.abs(w)).sum(axis=1)
+    got = [r[0] for r in df.select(found.index()).collect()]
+    assert np.allclose(got, index, atol=1e-9)
+    assert {(r.first, r.second): r.pairs for r in weights.correlations(df, ["a", "b"]).collect()}["a", "b"] == int(f.b.notna().sum())
+
+
+@pytest.mark.parametrize("n", [50, 5_000, 200_000])
+def test_sketched_quantiles_keep_their_error(spark, n):
+    from expogrid.operators import audit
+
+    df = spark.range(n).select(F.when(F.col("id") % 11 != 0, (F.col("id") * 7919) % n).alias("v"), F.lit(None).cast("double").alias("none"))
+    exact = sorted((i * 7919) % n for i in range(n) if i % 11)
+    for error in (0.1, 0.01):
+        rows = {r.column_name: r for r in audit.numeric_summary({"t": (df, ["v", "none"])}, rank_error=error).collect()}
+        for name, p in audit.SPOTS.items():
+            value = rows["v"][name]
+            low, high = np.searchsorted(exact, value, "left") / len(exact), np.searchsorted(exact, value, "right") / len(exact)
+            assert low - error - 1 / len(exact) <= p <= high + error + 1 / len(exact)
+        assert rows["v"].missing == n - len(exact) and rows["none"].median is None and rows["none"].nonmissing == 0
