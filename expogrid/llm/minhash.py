@@ -108,7 +108,7 @@ def sketched(docs: DataFrame, bands: int, rows: int, columns: tuple[str, ...] =
             for i, text in enumerate(batch["text"]):
                 sets.append(shingle_set(text.as_py(), known))
                 held += len(sets[-1])
-                if held > 1 << 21 or i + 1 == batch.num_rows:
+                if held > 1 << 20 or i + 1 == batch.num_rows:
                     sizes = np.array([len(s) for s in sets], np.int64)
                     table = fast_sketches(np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes), len(sets), t)
                     keys = np.where((sizes > 0)[:, None], band_keys(table, bands, rows), 0).astype(np.uint64)

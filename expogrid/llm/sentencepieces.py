@@ -73,7 +73,7 @@ class Codec:
     starts anew when full, and texts are put together from it. Texts of other models are encoded whole.
     """
 
-    def __init__(self, path: str, threads: int, most: int = 800_000):
+    def __init__(self, path: str, threads: int, most: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"], os.environ["RAYON_NUM_THREADS"] = "true", str(threads)
         import sentencepiece
 
@@ -165,12 +165,13 @@ def decoded_text(text: str, model: pieces.Model) -> str:
     return text.replace(pieces.MARK, " ")
 
 
-def encoded(docs: DataFrame, path: str | None = None, threads: int = 2, text_col: str = "text") -> DataFrame:
+def encoded(docs: DataFrame, path: str | None = None, threads: int = 2, text_col: str = "text", keep: bool = True) -> DataFrame:
     """Each input row as ``row``, with its ids, the text decoded from them, and parity with the reference library.
 
     A text whose ids differ from the reference library's takes the library's ids, and ``parity`` is false. Whole
     texts are encoded in batches on ``threads`` threads; nothing is shuffled. A null text has null ids and a null
-    decoded text, an empty one has no ids; both are in parity. ``path`` must hold the model on every machine. Columns
+    decoded text, an empty one has no ids; both are in parity. Unless ``keep``, a worker drops its table of stretches
+    when a task ends, which leaves the memory to what runs after it. ``path`` must hold the model on every machine. Columns
     of any name may ride along; repeated rows give repeated results, no rows no rows.
     """
     path = path or public_tokenizers.path("piece_bpe_32k.model")
@@ -181,13 +182,17 @@ def encoded(docs: DataFrame, path: str | None = None, threads: int = 2, text_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(path, threads)
-        for batch in rows_of(batches, 200):
-            texts = batch["body"].to_pylist()
-            ids, ends, backs, same = tool.packed([t or "" for t in texts])
-            missing = np.array([t is None for t in texts], bool)
-            offsets = pa.array(ends.astype(np.int32), mask=np.append(missing, False)) if missing.any() else pa.array(ends.astype(np.int32))
-            lists = pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))
-            backs = pa.array([None if t is None else x for t, x in zip(texts, backs)], pa.string())
-            yield pa.RecordBatch.from_arrays([batch["row"], lists, backs, pa.array(same, pa.bool_())], names=["row", "ids", "decoded", "parity"])
+        try:
+            for batch in rows_of(batches, 200):
+                texts = batch["body"].to_pylist()
+                ids, ends, backs, same = tool.packed([t or "" for t in texts])
+                missing = np.array([t is None for t in texts], bool)
+                offsets = pa.array(ends.astype(np.int32), mask=np.append(missing, False)) if missing.any() else pa.array(ends.astype(np.int32))
+                lists = pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))
+                backs = pa.array([None if t is None else x for t, x in zip(texts, backs)], pa.string())
+                yield pa.RecordBatch.from_arrays([batch["row"], lists, backs, pa.array(same, pa.bool_())], names=["row", "ids", "decoded", "parity"])
+        finally:
+            if not keep:
+                tool.forget()
 
     return named.mapInArrow(run, schema)

@@ -28,7 +28,7 @@ class WordHashes(dict):
     """XXH3 of words; starts anew when full."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 250_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -218,6 +218,16 @@ def passages(own: np.ndarray, other: np.ndarray, width: int, similarity: float)
     return out
 
 
+def parts_of(pairs: list[tuple[np.ndarray, np.ndarray]], most: int = 1 << 17) -> Iterator[slice]:
+    """Stretches of a list whose pairs hold about ``most`` values together."""
+    start, held = 0, 0
+    for i, (own, _) in enumerate(pairs):
+        held += len(own)
+        if held >= most or i + 1 == len(pairs):
+            yield slice(start, i + 1)
+            start, held = i + 1, 0
+
+
 def side_by_side(pairs: list[tuple[np.ndarray, np.ndarray]], width: int, similarity: float) -> list[list[tuple[int, int]]]:
     """``passages`` of many pairs. Most are settled for all pairs at once, and only the others one by one.
 
@@ -324,8 +334,9 @@ def verified(docs: DataFrame, found: DataFrame, width: int, similarity: float) -
                 own = np.frombuffer(data, np.uint32)
                 pairs.append((own, theirs[low + shift : low + shift + len(own)]))
                 named.append((rid, rep, partner, low))
-            for (rid, rep_, partner_, low), found in zip(named, side_by_side(pairs, width, similarity)):
-                out += [(rid, rep_, partner_, low + a, low + b) for a, b in found]
+            for part in parts_of(pairs):
+                for (rid, rep_, partner_, low), found in zip(named[part], side_by_side(pairs[part], width, similarity)):
+                    out += [(rid, rep_, partner_, low + a, low + b) for a, b in found]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*out) if out else [[]] * 5)], names=["rid", "rep", "partner", "start", "end"])
 
     return dealt.mapInArrow(compare, "rid long, rep long, partner long, start long, end long")
