@@ -116,5 +116,27 @@ named AS (SELECT rid, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS id
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM docs LEFT JOIN hit USING (rid) LEFT JOIN named USING (rid)
+""",
+    "op12_fast_minhash": r"""
+WITH RECURSIVE docs AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS MATERIALIZED (SELECT DISTINCT rid, array_to_string(list_slice(w, i, i + 4), ' ') AS s FROM docs, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS u(i) WHERE len(w) > 0),
+n AS MATERIALIZED (SELECT rid, count(*) AS n FROM sh GROUP BY rid),
+links AS MATERIALIZED (
+  SELECT p.a, p.b FROM (SELECT x.rid AS a, y.rid AS b, count(*) AS shared FROM sh x JOIN sh y ON x.s = y.s AND x.rid <> y.rid GROUP BY x.rid, y.rid) p
+  JOIN n na ON na.rid = p.a JOIN n nb ON nb.rid = p.b WHERE 100 * shared >= 85 * (na.n + nb.n - shared)),
+reach AS (SELECT rid AS a, rid AS b FROM docs UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+least AS (SELECT a AS rid, min(doc_id) AS component_id FROM reach JOIN docs ON docs.rid = reach.b GROUP BY a)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM docs JOIN least USING (rid) LEFT JOIN n USING (rid)
+""",
+    "op13_cover_tree_negatives": """
+WITH v AS MATERIALIZED (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (SELECT a.id AS a, v.id AS i, a.label = v.label AS same, CAST(list_inner_product(a.e, v.e) AS BIGINT) AS score FROM v a JOIN v ON v.id <> a.id WHERE a.id % 100 = 0),
+p AS (SELECT a, i, score FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, i) AS r FROM s WHERE same) WHERE r <= 5)
+SELECT a AS anchor_id, pi AS positive_id, CAST(r AS INT) AS rank, ni AS negative_id, ps AS positive_score, ns AS negative_score FROM (
+  SELECT p.a, p.i AS pi, s.i AS ni, p.score AS ps, s.score AS ns, row_number() OVER (PARTITION BY p.a, p.i ORDER BY s.score DESC, s.i) AS r
+  FROM p JOIN s ON s.a = p.a AND NOT s.same WHERE 80 * p.score <= 100 * s.score AND s.score <= p.score) WHERE r <= 5
 """,
 }
