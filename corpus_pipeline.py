@@ -65,7 +65,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null text has null ids and no tokens and counts as restored. Of other columns than these only lang and source stay.
     """
-    done = sentencepieces.encoded(docs, keep=False)
+    done = sentencepieces.encoded(docs, keep=False, most=400_000)
     restored = F.col("decoded").eqNullSafe(F.col("row.text"))
     return done.select("row.doc_id", "row.lang", "row.source", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), "ids", restored.alias("restored"), "parity")
 

@@ -156,8 +156,8 @@ class Codec:
 
 
 @lru_cache(maxsize=2)
-def codec(path: str, threads: int) -> Codec:
-    return Codec(path, threads)
+def codec(path: str, threads: int, most: int = 400_000) -> Codec:
+    return Codec(path, threads, most)
 
 
 def decoded_text(text: str, model: pieces.Model) -> str:
@@ -165,12 +165,12 @@ def decoded_text(text: str, model: pieces.Model) -> str:
     return text.replace(pieces.MARK, " ")
 
 
-def encoded(docs: DataFrame, path: str | None = None, threads: int = 2, text_col: str = "text", keep: bool = True) -> DataFrame:
+def encoded(docs: DataFrame, path: str | None = None, threads: int = 2, text_col: str = "text", keep: bool = True, most: int = 1_000_000) -> DataFrame:
     """Each input row as ``row``, with its ids, the text decoded from them, and parity with the reference library.
 
     A text whose ids differ from the reference library's takes the library's ids, and ``parity`` is false. Whole
     texts are encoded in batches on ``threads`` threads; nothing is shuffled. A null text has null ids and a null
-    decoded text, an empty one has no ids; both are in parity. Unless ``keep``, a worker drops its table of stretches
+    decoded text, an empty one has no ids; both are in parity. A worker's table holds up to about ``most`` stretches. Unless ``keep``, it drops the table
     when a task ends, which leaves the memory to what runs after it. ``path`` must hold the model on every machine. Columns
     of any name may ride along; repeated rows give repeated results, no rows no rows.
     """
@@ -181,7 +181,7 @@ def encoded(docs: DataFrame, path: str | None = None, threads: int = 2, text_col
         schema[name].nullable = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = codec(path, threads)
+        tool = codec(path, threads, most)
         try:
             for batch in rows_of(batches, 200):
                 texts = batch["body"].to_pylist()
