@@ -19,8 +19,10 @@ from expogrid.sources import sinks
 SHINGLE, PASSAGE = 5, 50  # words
 SIMILARITY = 0.8
 HASHES = 3
-#: Candidates that are compared with one partner in one part.
-PART = 1000
+#: Documents that are compared with one partner in one part.
+PART = 500
+#: A rare shingle that no more documents hold brings all of them together, a more frequent one all with the first.
+FEW = 16
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
@@ -112,6 +114,18 @@ def row_id() -> Column:
     return F.xxhash64(F.col("doc_id"), F.coalesce("text", F.lit("")))
 
 
+def windows_of(line: np.ndarray, order: np.ndarray, starts: np.ndarray, width: int, seed: int) -> tuple[np.ndarray, ...]:
+    """(key, text, further, place, before, after) of all compact windows by ``order``; ``starts`` are the texts' places."""
+    low, place, high = compact_windows(order, width)
+    doc = np.searchsorted(starts, place, side="right") - 1
+    clip = lambda x: np.minimum(x, 32767).astype(np.int16)
+    return mixed(line[place], seed).view(np.int64), doc, further_places(line, doc, low, place, high, width), place, clip(place - low), clip(high - place)
+
+
+_ROWS = "key long, rid long, further byte, place int, before short, after short"
+_NAMES = ["key", "rid", "further", "place", "before", "after"]
+
+
 def emitted(docs: DataFrame, hashes: int, width: int) -> DataFrame:
     """Compact windows of all documents: key (of hash function and shingle), rid, further, place, before, after."""
 
@@ -126,54 +140,32 @@ def emitted(docs: DataFrame, hashes: int, width: int) -> DataFrame:
             rid = batch["rid"].to_numpy()
             for h in range(hashes):
                 values = np.where(line == 0, np.uint64(0), mixed(line, 100 + h) | np.uint64(1))
-                low, place, high = compact_windows(values, width)
-                doc = np.searchsorted(starts, place, side="right") - 1
-                further = further_places(line, doc, low, place, high, width)
-                clip = lambda x: np.minimum(x, 32767).astype(np.int16)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(mixed(line[place], 200 + h).view(np.int64)), pa.array(rid[doc]), pa.array(further), pa.array((place - starts[doc]).astype(np.int32)), pa.array(clip(place - low)), pa.array(clip(high - place))],
-                    names=["key", "rid", "further", "place", "before", "after"],
-                )
+                key, doc, further, place, before, after = windows_of(line, values, starts, width, 200 + h)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, rid[doc], further, (place - starts[doc]).astype(np.int32), before, after)], names=_NAMES)
 
-    return docs.select("rid", "text").mapInArrow(run, "key long, rid long, further byte, place int, before short, after short")
+    return docs.select("rid", "text").mapInArrow(run, _ROWS)
 
 
-def representatives(rows: DataFrame) -> DataFrame:
-    """(key, rep, at, back, ahead): all places of the smallest document of every key that several documents have."""
-    least = rows.groupBy("key").agg(F.min(F.struct("rid", "further", "place", "before", "after")).alias("rep"), F.max("rid").alias("most")).filter("rep.rid <> most").drop("most")
-    named = lambda rid, row: (rid.alias("rep"), F.col(f"{row}place").alias("at"), F.col(f"{row}before").alias("back"), F.col(f"{row}after").alias("ahead"))
-    more = rows.filter("further = 1").join(least.select("key", F.col("rep.rid").alias("rid")), ["key", "rid"])
-    return least.select("key", *named(F.col("rep.rid"), "rep.")).union(more.select("key", *named(F.col("rid"), "")))
+def shared(rows: DataFrame) -> DataFrame:
+    """Windows whose key several documents have, with the number of documents and the smallest of them."""
+    held = F.count_if(F.col("further") == 0).alias("n")
+    keys = rows.groupBy("key").agg(F.min("rid").alias("least"), F.max("rid").alias("most"), held).filter("least <> most").drop("most")
+    return rows.join(keys, "key")
 
 
-def overlaps(rows: DataFrame, reps: DataFrame, width: int) -> DataFrame:
-    """(rid, rep, shift, low, high): stretches of a document that may repeat one of ``rep``, ``shift`` places on.
+def overlaps(met: DataFrame, few: int, width: int) -> DataFrame:
+    """(rid, rep, shift, low, high): a stretch of a document that may hold repeats of ``rep``, ``shift`` places on.
 
-    The windows of both are laid over each other at the minimum: their overlap is where both sides have the same
-    minimum. Overlaps with the same partner and shift are merged.
+    A key brings all its documents together with the smallest, or with each other if it has no more than ``few``. The
+    windows of both are laid over each other at the minimum: their overlap is where both sides have the same minimum.
+    Overlaps with the same partner and shift make one stretch, from the first to the last.
     """
-    met = rows.join(reps, "key").filter("rid <> rep")
+    stands = (F.col("further") < 2) & ((F.col("rid") == F.col("least")) | (F.col("n") <= few))
+    reps = met.filter(stands).select("key", F.col("rid").alias("rep"), F.col("place").alias("at"), F.col("before").alias("back"), F.col("after").alias("ahead"))
+    both = met.join(reps, "key").filter("rep < rid")
     low, high = F.col("place") - F.least("before", "back"), F.col("place") + F.least("after", "ahead")
-    wide = met.select("rid", "rep", (F.col("at") - F.col("place")).alias("shift"), low.alias("low"), high.alias("high")).filter(F.col("high") - F.col("low") + 1 >= width)
-    gathered = wide.groupBy("rid", "rep", "shift").agg(F.collect_set(F.struct("low", "high")).alias("overlaps"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple] = []
-            for rid, rep, shift, overlaps in zip(*(batch[c].to_pylist() for c in ("rid", "rep", "shift", "overlaps"))):
-                at = None
-                for x in sorted((o["low"], o["high"]) for o in overlaps):
-                    if at and x[0] <= at[1] + 1:
-                        at = (at[0], max(at[1], x[1]))
-                    else:
-                        if at:
-                            out.append((rid, rep, shift, *at))
-                        at = x
-                out.append((rid, rep, shift, *at))
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 5, kinds)], names=["rid", "rep", "shift", "low", "high"])
-
-    return gathered.mapInArrow(run, "rid long, rep long, shift int, low int, high int")
+    wide = both.select("rid", "rep", (F.col("at") - F.col("place")).alias("shift"), low.alias("low"), high.alias("high")).filter(F.col("high") - F.col("low") + 1 >= width)
+    return wide.groupBy("rid", "rep", "shift").agg(F.min("low").alias("low"), F.max("high").alias("high"))
 
 
 def similar_stretches(own: np.ndarray, other: np.ndarray, width: int, similarity: float) -> np.ndarray:
@@ -275,18 +267,60 @@ def side_by_side(pairs: list[tuple[np.ndarray, np.ndarray]], width: int, similar
     return out
 
 
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted spans, overlapping and touching ones made one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
+
+
+def settled(pairs: list[tuple[np.ndarray, int, np.ndarray, list[tuple[int, int, int]]]], width: int, similarity: float) -> list[list[tuple[int, int]]]:
+    """Spans found for each of (own shingles, place of the first, the partner's, stretches as (low, high, shift)).
+
+    The longest stretches come first, twice as many a turn; one within spans found already has nothing to add.
+    """
+    spans: list[list[tuple[int, int]]] = [[] for _ in pairs]
+    left = {i: sorted(p[3], key=lambda a: a[0] - a[1]) for i, p in enumerate(pairs)}
+    turn = 1
+    while left:
+        chosen = []
+        for i, asks in list(left.items()):
+            asks = [a for a in asks if not any(s <= a[0] and a[1] + SHINGLE <= e for s, e in spans[i])]
+            chosen += [(i, a) for a in asks[:turn]]
+            left[i] = asks[turn:]
+            if not left[i]:
+                del left[i]
+        sides = []
+        for i, (low, high, shift) in chosen:
+            own, first, theirs, _ = pairs[i]
+            sides.append((own[low - first : high - first + 1], theirs[low + shift : high + shift + 1]))
+        for part in parts_of(sides):
+            for (i, (low, _, _)), found in zip(chosen[part], side_by_side(sides[part], width, similarity)):
+                spans[i] += [(low + a, low + b) for a, b in found]
+        for i in {i for i, _ in chosen}:
+            spans[i] = merged(spans[i])
+        turn *= 2
+    return spans
+
+
 def verified(docs: DataFrame, found: DataFrame, width: int, similarity: float) -> DataFrame:
     """(rid, rep, partner, start, end): word spans of documents whose every stretch resembles the partner's beside it.
 
-    Both stretches have ``width`` shingles, and the Jaccard similarity is that of the distinct ones.
+    Both stretches have ``width`` shingles, and the Jaccard similarity is that of the distinct ones, of which 32 bits
+    are compared.
 
-    Texts move once, packed, to where their candidates are. A document sends the shingles of its own stretches to its
-    partners; a partner sends its text to each of the parts that its candidates are dealt to, about ``PART`` of them
+    Texts move once, packed, to where their candidates are. A document sends the shingles of its stretches once to each
+    partner; a partner sends its text to each of the parts that its candidates are dealt to, about ``PART`` of them
     each, so one that many share is split. There they are compared, a partner's part in one pass.
     """
-    parts = found.groupBy("rep").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
-    salted = found.join(parts, "rep").withColumn("salt", F.pmod("rid", F.col("parts")).cast("int")).drop("parts")
-    asks = salted.groupBy("rid").agg(F.collect_list(F.struct("rep", "salt", "shift", "low", "high")).alias("asks"))
+    pairs = found.groupBy("rid", "rep").agg(F.collect_list(F.struct("low", "high", "shift")).alias("stretches"))
+    parts = pairs.groupBy("rep").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
+    salted = pairs.join(parts, "rep").withColumn("salt", F.pmod("rid", F.col("parts")).cast("int")).drop("parts")
+    asks = salted.groupBy("rid").agg(F.collect_list(F.struct("rep", "salt", "stretches")).alias("asks"))
     gives = salted.select("rep", "salt").distinct().groupBy("rep").agg(F.collect_list("salt").alias("salts")).withColumnRenamed("rep", "rid")
     roles = asks.join(gives, "rid", "full_outer")
 
@@ -297,11 +331,12 @@ def verified(docs: DataFrame, found: DataFrame, width: int, similarity: float) -
 
     one = docs.select("rid", F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.octet_length("text") >= 2 * PASSAGE - 1)
     packed = one.mapInArrow(pack, "rid long, doc_id long, data binary")
+    schema = "rep long, salt int, kind int, rid long, doc_id long, first int, data binary, stretches binary"
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, unpack = WordHashes(), zstandard.ZstdDecompressor().decompress
-        names = ("rep", "salt", "kind", "rid", "doc_id", "shift", "low", "data")
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        names = ("rep", "salt", "kind", "rid", "doc_id", "first", "data", "stretches")
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
         last = None
         for batch in rows_of(batches, 200):
             out: list[tuple] = []
@@ -309,13 +344,14 @@ def verified(docs: DataFrame, found: DataFrame, width: int, similarity: float) -
                 if rid == last:
                     continue  # a repeated row
                 last = rid
-                out += [(rid, salt, 0, rid, doc_id, 0, 0, data) for salt in salts or ()]
-                if asks:
-                    own = shingles(unpack(data).decode("utf-8", "surrogatepass"), known)
-                    out += [(a["rep"], a["salt"], 1, rid, doc_id, a["shift"], a["low"], own[a["low"] : a["high"] + 1].astype(np.uint32).tobytes()) for a in asks]
+                out += [(rid, salt, 0, rid, doc_id, 0, data, b"") for salt in salts or ()]
+                own = shingles(unpack(data).decode("utf-8", "surrogatepass"), known).astype(np.uint32) if asks else None
+                for a in asks or ():
+                    wanted = np.array([(x["low"], x["high"], x["shift"]) for x in a["stretches"]], np.int32)
+                    first, end = int(wanted[:, 0].min()), int(wanted[:, 1].max()) + 1
+                    out.append((a["rep"], a["salt"], 1, rid, doc_id, first, own[first:end].tobytes(), wanted.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 8, kinds)], names=list(names))
 
-    schema = "rep long, salt int, kind int, rid long, doc_id long, shift int, low int, data binary"
     sent = packed.join(roles, "rid").sortWithinPartitions("rid").mapInArrow(send, schema)
     dealt = sent.repartition("rep", "salt").sortWithinPartitions("rep", "salt", "kind")
 
@@ -324,51 +360,127 @@ def verified(docs: DataFrame, found: DataFrame, width: int, similarity: float) -
         rep, theirs, partner = None, np.zeros(0, np.uint32), None
         for batch in rows_of(batches, 500):
             pairs, named, out = [], [], []
-            for key, kind, rid, doc_id, shift, low, data in zip(*(batch[c].to_pylist() for c in ("rep", "kind", "rid", "doc_id", "shift", "low", "data"))):
+            for key, kind, rid, doc_id, first, data, wanted in zip(*(batch[c].to_pylist() for c in ("rep", "kind", "rid", "doc_id", "first", "data", "stretches"))):
                 if kind == 0:
                     rep, partner = key, doc_id
                     theirs = shingles(unpack(data).decode("utf-8", "surrogatepass"), known).astype(np.uint32)
-                    continue
-                if key != rep:
-                    continue
-                own = np.frombuffer(data, np.uint32)
-                pairs.append((own, theirs[low + shift : low + shift + len(own)]))
-                named.append((rid, rep, partner, low))
-            for part in parts_of(pairs):
-                for (rid, rep_, partner_, low), found in zip(named[part], side_by_side(pairs[part], width, similarity)):
-                    out += [(rid, rep_, partner_, low + a, low + b) for a, b in found]
+                elif key == rep:
+                    pairs.append((np.frombuffer(data, np.uint32), first, theirs, list(map(tuple, np.frombuffer(wanted, np.int32).reshape(-1, 3).tolist()))))
+                    named.append((rid, rep, partner))
+            for name, spans in zip(named, settled(pairs, width, similarity)):
+                out += [(*name, a, b) for a, b in spans]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*out) if out else [[]] * 5)], names=["rid", "rep", "partner", "start", "end"])
 
     return dealt.mapInArrow(compare, "rid long, rep long, partner long, start long, end long")
 
 
-def found_passages(docs: DataFrame, hashes: int, width: int, similarity: float) -> DataFrame:
-    """(rid, rep, partner, start, end) of all passages. The result is stored.
+def found_passages(docs: DataFrame, distinct: DataFrame, hashes: int, width: int, similarity: float) -> DataFrame:
+    """(rid, rep, partner, start, end) of all passages of ``distinct``, documents of different texts. The result is stored.
 
     Windows are made once and stored for as long as it takes. They meet by hash function and minimum. The smallest
-    document of a key stands for it, found by an aggregate that is partial in each task, and stored; all others join
-    it, so a key that many documents share costs a row each, and the join's large partitions can be split.
+    document of a key stands for it; all others join it, so a key that many documents share costs a row each, and the
+    join's large partitions can be split. Where one of a key's documents has another text there than the smallest, the
+    regions around the key are searched again by their rarest shingles (``rare_windows``), and what even those leave open
+    by whole stretches (``exact_repeats``).
     """
-    spark = docs.sparkSession
-    with tidy_shuffles(spark), sinks.stored(emitted(docs, hashes, width), "llm-compact-windows") as rows:
-        with sinks.stored(representatives(rows), "llm-representatives") as reps:
-            found = store(overlaps(rows, reps, width), "candidates")
-            checked = store(verified(docs, found, width, similarity), "passages")
-            regions = store(unsettled(rows, reps, checked, width), "regions")
-    return checked.union(store(exact_repeats(docs, regions, checked, width), "exact-passages"))
-
-
-def unsettled(rows: DataFrame, reps: DataFrame, checked: DataFrame, width: int) -> DataFrame:
-    """(rid, regions): where a document has a key of three documents or more of which one shares no passage there with
-    the representative. Others of the key may share one that the representative has not.
+    with tidy_shuffles(docs.sparkSession):
+        with sinks.stored(emitted(distinct, hashes, width), "llm-compact-windows") as rows:
+            met = store(shared(rows), "shared-windows")
+        checked = store(verified(docs, store(overlaps(met, 0, width), "candidates"), width, similarity), "passages")
+        regions = store(unsettled(met, checked, 0, width), "regions")
+        again = store(shared(rare_windows(docs, regions, width)), "rare-windows")
+        new = outside(overlaps(again, FEW, width).withColumn("start", F.col("low")).withColumn("end", F.col("high") + SHINGLE), checked)
+        checked = checked.union(store(verified(docs, store(new.drop("start", "end"), "rare-candidates"), width, similarity), "rare-passages"))
+        left = store(unsettled(again, checked, FEW, width), "rare-regions")
+        return checked.union(store(exact_repeats(docs, left, checked, width), "exact-passages"))
+
+
+def outside(found: DataFrame, checked: DataFrame) -> DataFrame:
+    """Rows whose start..end is not within passages of the document that are known already."""
+    done = checked.groupBy("rid").agg(joined_spans(F.collect_set(F.struct("start", "end"))).alias("done"))
+    new = F.col("done").isNull() | ~F.exists("done", lambda d: (d["start"] <= F.col("start")) & (d["end"] >= F.col("end")))
+    return found.join(done, "rid", "left").filter(new).drop("done")
+
+
+def unsettled(met: DataFrame, checked: DataFrame, few: int, width: int) -> DataFrame:
+    """(rid, regions): where a document has a key of three documents and over ``few`` of which one shares no passage
+    there with the smallest. Others of the key may share one that the smallest has not.
     """
-    met = rows.join(reps.select("key", "rep").distinct(), "key").filter("rid <> rep").select("key", "rid", "rep", "place")
-    several = met.groupBy("key").agg(F.min("rid").alias("least"), F.max("rid").alias("most")).filter("least <> most").select("key")
+    several = met.filter((F.col("n") > 2) & (F.col("n") > few))
     passed = checked.select(F.col("rid").alias("of"), F.col("rep").alias("with"), "start", "end")
-    at = (F.col("rid") == F.col("of")) & (F.col("rep") == F.col("with")) & F.col("place").between(F.col("start"), F.col("end") - SHINGLE)
-    keys = several.join(met.join(passed, at, "left_anti").select("key").distinct(), "key")
+    at = (F.col("rid") == F.col("of")) & (F.col("least") == F.col("with")) & F.col("place").between(F.col("start"), F.col("end") - SHINGLE)
+    keys = several.filter("rid <> least").join(passed, at, "left_anti").select("key").distinct()
     span = F.struct((F.col("place") - F.least("before", F.lit(width - 1))).alias("low"), (F.col("place") + F.least("after", F.lit(width - 1))).alias("high"))
-    return rows.join(keys, "key").groupBy("rid").agg(F.collect_set(span).alias("regions"))
+    return several.join(keys, "key").groupBy("rid").agg(F.collect_set(span).alias("regions"))
+
+
+def regional(docs: DataFrame, regions: DataFrame, width: int) -> DataFrame:
+    """(rid, line, places): the shingles of a document's regions, a 0 behind each region, and where they stand."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for batch in rows_of(batches, 200):
+            lines, places = [], []
+            for text, regions in zip(batch["text"], batch["regions"].to_pylist()):
+                own = np.concatenate((shingles(text.as_py(), known), np.zeros(1, np.uint64)))
+                wanted = np.zeros(len(own) + 1, np.int64)
+                for r in regions:
+                    if r["high"] - r["low"] + 1 >= width:
+                        wanted[r["low"]] += 1
+                        wanted[r["high"] + 1] -= 1
+                at = np.flatnonzero(np.cumsum(wanted)[: len(own)])
+                ends = np.flatnonzero(np.diff(at, append=-9) != 1)
+                lines.append(np.insert(own[at], ends + 1, 0).tobytes())
+                places.append(np.insert(at, ends + 1, -1).astype(np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays([batch["rid"], pa.array(lines, pa.binary()), pa.array(places, pa.binary())], names=["rid", "line", "places"])
+
+    return docs.select("rid", "text").join(regions, "rid").mapInArrow(run, "rid long, line binary, places binary")
+
+
+def rare_windows(docs: DataFrame, regions: DataFrame, width: int) -> DataFrame:
+    """Compact windows of the regions by rarity: what fewer documents hold comes first, ties go by the min-hash.
+
+    Text that many documents share, such as a notice, thus is no minimum of a stretch with anything rarer in it. Shingles
+    of one document alone bring nothing together and come last. Documents are counted over all regions; rarity goes by
+    powers of two. Two hash functions, so that shingles of other places that happen to be as rare hide no passage.
+    """
+    lines = store(regional(docs, regions, width), "region-shingles")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows_of(batches, 500):
+            values = [np.unique(np.frombuffer(x.as_py(), np.uint64)) for x in batch["line"]]
+            values = [v[v != 0] for v in values]
+            rid = np.repeat(batch["rid"].to_numpy(), [len(v) for v in values])
+            yield pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(np.concatenate(values).view(np.int64))], names=["rid", "value"])
+
+    held = lines.mapInArrow(each, "rid long, value long")
+    rank = F.floor(F.log2(F.count(F.lit(1)))).cast("byte").alias("rank")
+    several = held.groupBy("value").agg(rank).filter("rank > 0")
+    ranks = held.join(several, "value").groupBy("rid").agg(F.collect_list("value").alias("values"), F.collect_list("rank").alias("ranks"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = np.iinfo(np.uint64).max
+        for batch in rows_of(batches, 400):
+            parts = [np.frombuffer(x.as_py(), np.uint64) for x in batch["line"]]
+            starts = np.cumsum([1, *(len(x) + 1 for x in parts)])
+            line, tier = np.zeros(starts[-1], np.uint64), np.zeros(starts[-1], np.uint64)
+            spots = np.zeros(starts[-1], np.int32)
+            for s, x, at, values, ranks in zip(starts, parts, batch["places"], batch["values"], batch["ranks"]):
+                line[s : s + len(x)], spots[s : s + len(x)] = x, np.frombuffer(at.as_py(), np.int32)
+                values, ranks = values.values.to_numpy().view(np.uint64), ranks.values.to_numpy()
+                order = np.argsort(values)
+                values, ranks = values[order], ranks[order]
+                near = np.minimum(np.searchsorted(values, x), len(values) - 1)
+                tier[s : s + len(x)] = np.where(values[near] == x, ranks[near], 0)
+            rid = batch["rid"].to_numpy()
+            for h in range(2):
+                order = (tier << np.uint64(56)) | (mixed(line, 300 + h) >> np.uint64(8))
+                order = np.where(line == 0, np.uint64(0), np.where(tier == 0, last, order))
+                key, doc, further, place, before, after = windows_of(line, order, starts, width, 400 + h)
+                some = tier[place] > 0
+                yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (key, rid[doc], further, spots[place], before, after)], names=_NAMES)
+
+    return lines.join(ranks, "rid").mapInArrow(run, _ROWS)
 
 
 def exact_repeats(docs: DataFrame, regions: DataFrame, checked: DataFrame, width: int) -> DataFrame:
@@ -407,9 +519,7 @@ def exact_repeats(docs: DataFrame, regions: DataFrame, checked: DataFrame, width
         met = rows.join(reps, "key").filter("rid <> rep.rid").groupBy("rid", "rep").agg(F.array_sort(F.collect_set("at")).alias("ats"))
         met = store(met.select("rid", F.col("rep.rid").alias("rep"), F.col("rep.doc_id").alias("partner"), "ats"), "met")
     runs = met.select("rid", "rep", "partner", F.explode(joined_spans(F.transform("ats", lambda a: F.struct(a.cast("long").alias("start"), (a + width + SHINGLE - 1).cast("long").alias("end"))))).alias("s")).select("rid", "rep", "partner", "s.start", "s.end")
-    done = checked.groupBy("rid").agg(joined_spans(F.collect_set(F.struct("start", "end"))).alias("done"))
-    new = F.col("done").isNull() | ~F.exists("done", lambda d: (d["start"] <= F.col("start")) & (d["end"] >= F.col("end")))
-    return runs.join(done, "rid", "left").filter(new).drop("done")
+    return outside(runs, checked)
 
 
 def repeats(docs: DataFrame, passage: int = PASSAGE, similarity: float = SIMILARITY, hashes: int = HASHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -421,23 +531,33 @@ def repeats(docs: DataFrame, passage: int = PASSAGE, similarity: float = SIMILAR
     the reader. ``partners`` are ids, sorted; spans are in words, half-open, merged, and begin and end with
     words that both have.
 
-    Texts of fewer words, null and empty ones have no spans. Rows alike in id and text are one document and get the
-    same result. No rows give no rows.
+    Equal texts are one document for the search: the one with the smallest row hash stands for them, and the others are
+    one passage of it from end to end. Texts of fewer words, null and empty ones have no spans. Rows alike in id and text
+    are one document and get the same result. No rows give no rows.
     """
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("rid", row_id())
+    named = named.withColumn("alike", F.xxhash64(F.coalesce("text", F.lit(""))))
     width = passage - SHINGLE + 1
-    checked = found_passages(named, hashes, width, similarity)
+    classes = named.groupBy("alike").agg(F.min(F.struct("rid", "doc_id")).alias("kept"), F.max("rid").alias("most")).filter("kept.rid <> most")
+    classes = store(classes.select("alike", F.col("kept.rid").alias("kept"), F.col("kept.doc_id").alias("kept_id")), "equal-texts")
+    copy = F.coalesce(F.col("kept") != F.col("rid"), F.lit(False))
+    checked = found_passages(named, named.join(classes, "alike", "left").filter(~copy), hashes, width, similarity)
     spans = store(checked.groupBy("rid").agg(F.collect_set(F.struct("start", "end")).alias("found"), F.collect_set("partner").alias("partners")), "spans")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches, 1000):
             n = [sum(map(len, blocks_of(t.as_py()))) for t in batch["text"]]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["rid"], pa.array(n, pa.int64())], names=["doc_id", "rid", "n_words"])
-
-    schema = named.select("doc_id", "rid", F.lit(0).cast("long").alias("n_words")).schema
-    return named.mapInArrow(count, schema).join(spans, "rid", "left").select(
-        "doc_id", "rid", "n_words", joined_spans(F.col("found")).alias("spans"), F.array_sort(F.coalesce("partners", F.array().cast("array<long>"))).alias("partners")
-    )
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["rid"], batch["alike"], pa.array(n, pa.int64())], names=["doc_id", "rid", "alike", "n_words"])
+
+    schema = named.select("doc_id", "rid", "alike", F.lit(0).cast("long").alias("n_words")).schema
+    counted = named.mapInArrow(count, schema).join(classes, "alike", "left").join(spans, "rid", "left")
+    long = copy & (F.col("n_words") >= passage)
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end")))
+    return counted.select(
+        "doc_id", "rid", "n_words",
+        F.when(long, whole).otherwise(joined_spans(F.col("found"))).alias("spans"),
+        F.when(long, F.array(F.col("kept_id").cast("long"))).otherwise(F.array_sort(F.coalesce("partners", F.array().cast("array<long>")))).alias("partners"),
+    )
 
 
 def joined_spans(found: Column) -> Column:
