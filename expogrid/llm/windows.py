@@ -267,6 +267,40 @@ def side_by_side(pairs: list[tuple[np.ndarray, np.ndarray]], width: int, similar
     return out
 
 
+def likely(own: np.ndarray, held: np.ndarray, width: int, similarity: float) -> np.ndarray:
+    """Starts of the stretches of ``own`` whose distinct values are in the sorted ``held`` often enough to be alike to any of it.
+
+    The similarity of two stretches is at most the share of the distinct values of one that the other's text has at all.
+    """
+    n, place = len(own) - width + 1, np.arange(len(own))
+    if n < 1 or not len(held):
+        return place[:0]
+    present = held[np.minimum(np.searchsorted(held, own), len(held) - 1)] == own
+    if present.all():
+        return place[:n]
+    order = np.argsort(own, kind="stable")
+    before = np.full(len(own), -1)
+    same = own[order[1:]] == own[order[:-1]]
+    before[order[1:][same]] = order[:-1][same]
+    first, last = np.maximum(np.maximum(before + 1, place - width + 1), 0), np.minimum(place, n - 1)
+
+    def distinct(some: np.ndarray) -> np.ndarray:
+        return np.cumsum((np.bincount(first[some], minlength=n + 1) - np.bincount(last[some] + 1, minlength=n + 1))[:n])
+
+    some = first <= last
+    return np.flatnonzero(distinct(some & present) >= similarity * distinct(some) - 1e-9)
+
+
+def narrowed(stretches: np.ndarray, starts: np.ndarray, first: int, width: int) -> list[tuple[int, int, int]]:
+    """(low, high, shift) of what is left of stretches between the first and the last likely start in each."""
+    if not len(starts):
+        return []
+    low, high, shift = stretches.T
+    a, b = np.searchsorted(starts, low - first), np.searchsorted(starts, high - first - width + 1, side="right")
+    some = a < b
+    return list(zip((first + starts[a[some]]).tolist(), (first + starts[b[some] - 1] + width - 1).tolist(), shift[some].tolist()))
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Sorted spans, overlapping and touching ones made one."""
     out: list[tuple[int, int]] = []
@@ -357,16 +391,20 @@ def verified(docs: DataFrame, found: DataFrame, width: int, similarity: float) -
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, unpack = WordHashes(), zstandard.ZstdDecompressor().decompress
-        rep, theirs, partner = None, np.zeros(0, np.uint32), None
+        rep, theirs, held, partner = None, np.zeros(0, np.uint32), np.zeros(0, np.uint32), None
         for batch in rows_of(batches, 500):
             pairs, named, out = [], [], []
             for key, kind, rid, doc_id, first, data, wanted in zip(*(batch[c].to_pylist() for c in ("rep", "kind", "rid", "doc_id", "first", "data", "stretches"))):
                 if kind == 0:
                     rep, partner = key, doc_id
                     theirs = shingles(unpack(data).decode("utf-8", "surrogatepass"), known).astype(np.uint32)
+                    held = np.unique(theirs)
                 elif key == rep:
-                    pairs.append((np.frombuffer(data, np.uint32), first, theirs, list(map(tuple, np.frombuffer(wanted, np.int32).reshape(-1, 3).tolist()))))
-                    named.append((rid, rep, partner))
+                    own = np.frombuffer(data, np.uint32)
+                    stretches = narrowed(np.frombuffer(wanted, np.int32).reshape(-1, 3), likely(own, held, width, similarity), first, width)
+                    if stretches:
+                        pairs.append((own, first, theirs, stretches))
+                        named.append((rid, rep, partner))
             for name, spans in zip(named, settled(pairs, width, similarity)):
                 out += [(*name, a, b) for a, b in spans]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*out) if out else [[]] * 5)], names=["rid", "rep", "partner", "start", "end"])

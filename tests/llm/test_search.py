@@ -332,3 +332,56 @@ def test_pairs_settled_together_equal_one_by_one():
             pairs.append((own, other))
         assert windows.side_by_side(pairs, 20, 0.8) == [windows.passages(a, b, 20, 0.8) for a, b in pairs]
     assert windows.side_by_side([], 20, 0.8) == []
+
+
+def test_likely_stretches_hold_all_that_are_alike():
+    r = np.random.default_rng(4)
+    for kinds in (30, 400):
+        for _ in range(60):
+            other = r.integers(0, kinds, 90).astype(np.uint32)
+            own = np.where(r.random(90) < 0.9, other, r.integers(kinds, 2 * kinds, 90)).astype(np.uint32)
+            starts = windows.likely(own, np.unique(other), 20, 0.8).tolist()
+            assert set(windows.similar_stretches(own, other, 20, 0.8).tolist()) <= set(starts)
+            share = lambda s: len(set(own[s : s + 20]) & set(other)) / len(set(own[s : s + 20]))
+            assert starts == [s for s in range(71) if share(s) >= 0.8 - 1e-9]
+    assert windows.likely(own[:19], other, 20, 0.8).tolist() == [] == windows.likely(own, other[:0], 20, 0.8).tolist()
+    stretches = np.array([(10, 60, 3), (40, 99, -2)], np.int32)
+    assert windows.narrowed(stretches, np.array([5, 7]), 8, 20) == [(13, 34, 3)]
+    assert windows.narrowed(stretches, np.array([], np.int64), 8, 20) == []
+
+
+def test_settled_finds_what_each_stretch_alone_finds():
+    r = np.random.default_rng(5)
+    pairs, slow = [], []
+    for _ in range(40):
+        theirs = r.integers(0, 10**6, 160).astype(np.uint32)
+        own = theirs[20:140].copy()
+        own[r.integers(0, 120, 4)] = r.integers(10**6, 10**7, 4)
+        asks = [(100 + a, 100 + b, -80) for a, b in ((0, 119), (10, 60), (50, 110))] + [(100, 150, -75)]
+        pairs.append((own, 100, theirs, asks))
+        found = []
+        for low, high, shift in asks:
+            mine = own[low - 100 : high - 99]
+            found += [(low + a, low + b) for a, b in windows.passages(mine, theirs[low + shift : high + shift + 1], 20, 0.8)]
+        slow.append(windows.merged(found))
+    assert windows.settled(pairs, 20, 0.8) == slow
+
+
+def test_passages_around_a_common_notice_are_found(spark):
+    """Pairs share 64 words, 30 of them a notice of 60 other documents, and differ in one word; also copies of whole texts."""
+    r = random.Random(5)
+    words = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    notice = words(30)
+    rows = [words(60) + notice + words(60) for _ in range(60)]
+    for i in range(40):
+        one = words(17) + notice + words(17)
+        other = list(one)
+        other[r.randrange(5, 59)] = f"changed{i}"
+        rows += [words(40) + one + words(40), words(30) + other + words(50)]
+    rows += [rows[0], rows[0][:20], rows[0][:20]]
+    got = {r.doc_id: r for r in windows.repeats(documents(spark, [(i, " ".join(w)) for i, w in enumerate(rows)])).collect()}
+    partners = [(set(got[i].partners), set(got[i + 1].partners)) for i in range(60, 140, 2)]
+    assert all(60 + 2 * k in b or 61 + 2 * k in a for k, (a, b) in enumerate(partners))
+    assert all(not got[i].spans for i in range(1, 60))
+    assert sorted((len(got[i].spans), *got[i].partners) for i in (0, 140)) in ([(0,), (1, 0)], [(0,), (1, 140)])
+    assert not got[141].spans and not got[142].spans
