@@ -23,6 +23,9 @@ HASHES = 3
 PART = 500
 #: A rare shingle that no more documents hold brings all of them together, a more frequent one all with the first.
 FEW = 16
+#: Elections among the documents of a rare shingle that share no passage with those elected before; then all pairs.
+ROUNDS = 3
+EVERY = 1 << 62
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
@@ -426,11 +429,29 @@ def found_passages(docs: DataFrame, distinct: DataFrame, hashes: int, width: int
             met = store(shared(rows), "shared-windows")
         checked = store(verified(docs, store(overlaps(met, 0, width), "candidates"), width, similarity), "passages")
         regions = store(unsettled(met, checked, 0, width), "regions")
-        again = store(shared(rare_windows(docs, regions, width)), "rare-windows")
+        again = store(shared(rare_windows(docs, regions, width, similarity)), "rare-windows")
         new = outside(overlaps(again, FEW, width).withColumn("start", F.col("low")).withColumn("end", F.col("high") + SHINGLE), checked)
         checked = checked.union(store(verified(docs, store(new.drop("start", "end"), "rare-candidates"), width, similarity), "rare-passages"))
         left = store(unsettled(again, checked, FEW, width), "rare-regions")
-        return checked.union(store(exact_repeats(docs, left, checked, width), "exact-passages"))
+        checked = checked.union(store(exact_repeats(docs, left, checked, width), "exact-passages"))
+        return elected(docs, again, checked, width, similarity)
+
+
+def elected(docs: DataFrame, met: DataFrame, checked: DataFrame, width: int, similarity: float) -> DataFrame:
+    """``checked`` and the passages of documents that share a rare shingle, but no passage with those that stand for it.
+
+    They elect the smallest of their own, ``ROUNDS`` times over; those that are still left are compared with each other,
+    all pairs. So no two documents of a key stay uncompared unless both share a passage there with the same one.
+    """
+    for turn in range(ROUNDS):
+        rows = store(still_open(met, checked, FEW).select(*_NAMES), "open-windows")
+        keys = rows.groupBy("key").agg(F.min("rid").alias("least"), F.max("rid").alias("most"), F.count(F.lit(1)).alias("n")).filter("least <> most").drop("most")
+        met = store(rows.join(keys, "key"), "open-keys")
+        if met.isEmpty():
+            break
+        found = store(overlaps(met, FEW if turn + 1 < ROUNDS else EVERY, width), "open-candidates")
+        checked = checked.union(store(verified(docs, found, width, similarity), "open-passages"))
+    return checked
 
 
 def outside(found: DataFrame, checked: DataFrame) -> DataFrame:
@@ -440,14 +461,20 @@ def outside(found: DataFrame, checked: DataFrame) -> DataFrame:
     return found.join(done, "rid", "left").filter(new).drop("done")
 
 
+def still_open(met: DataFrame, checked: DataFrame, few: int) -> DataFrame:
+    """Windows of keys of three documents and over ``few`` whose document shares no passage there with the smallest."""
+    several = met.filter((F.col("n") > 2) & (F.col("n") > few))
+    passed = checked.select(F.col("rid").alias("of"), F.col("rep").alias("with"), "start", "end")
+    at = (F.col("rid") == F.col("of")) & (F.col("least") == F.col("with")) & F.col("place").between(F.col("start"), F.col("end") - SHINGLE)
+    return several.filter("rid <> least").join(passed, at, "left_anti")
+
+
 def unsettled(met: DataFrame, checked: DataFrame, few: int, width: int) -> DataFrame:
     """(rid, regions): where a document has a key of three documents and over ``few`` of which one shares no passage
     there with the smallest. Others of the key may share one that the smallest has not.
     """
     several = met.filter((F.col("n") > 2) & (F.col("n") > few))
-    passed = checked.select(F.col("rid").alias("of"), F.col("rep").alias("with"), "start", "end")
-    at = (F.col("rid") == F.col("of")) & (F.col("least") == F.col("with")) & F.col("place").between(F.col("start"), F.col("end") - SHINGLE)
-    keys = several.filter("rid <> least").join(passed, at, "left_anti").select("key").distinct()
+    keys = still_open(met, checked, few).select("key").distinct()
     span = F.struct((F.col("place") - F.least("before", F.lit(width - 1))).alias("low"), (F.col("place") + F.least("after", F.lit(width - 1))).alias("high"))
     return several.join(keys, "key").groupBy("rid").agg(F.collect_set(span).alias("regions"))
 
@@ -475,12 +502,13 @@ def regional(docs: DataFrame, regions: DataFrame, width: int) -> DataFrame:
     return docs.select("rid", "text").join(regions, "rid").mapInArrow(run, "rid long, line binary, places binary")
 
 
-def rare_windows(docs: DataFrame, regions: DataFrame, width: int) -> DataFrame:
+def rare_windows(docs: DataFrame, regions: DataFrame, width: int, similarity: float) -> DataFrame:
     """Compact windows of the regions by rarity: what fewer documents hold comes first, ties go by the min-hash.
 
     Text that many documents share, such as a notice, thus is no minimum of a stretch with anything rarer in it. Shingles
     of one document alone bring nothing together and come last. Documents are counted over all regions; rarity goes by
     powers of two. Two hash functions, so that shingles of other places that happen to be as rare hide no passage.
+    A stretch with too few shingles that any other document has in its regions resembles none and makes no window.
     """
     lines = store(regional(docs, regions, width), "region-shingles")
 
@@ -502,7 +530,7 @@ def rare_windows(docs: DataFrame, regions: DataFrame, width: int) -> DataFrame:
             parts = [np.frombuffer(x.as_py(), np.uint64) for x in batch["line"]]
             starts = np.cumsum([1, *(len(x) + 1 for x in parts)])
             line, tier = np.zeros(starts[-1], np.uint64), np.zeros(starts[-1], np.uint64)
-            spots = np.zeros(starts[-1], np.int32)
+            spots, alike = np.zeros(starts[-1], np.int32), np.zeros(starts[-1], bool)
             for s, x, at, values, ranks in zip(starts, parts, batch["places"], batch["values"], batch["ranks"]):
                 line[s : s + len(x)], spots[s : s + len(x)] = x, np.frombuffer(at.as_py(), np.int32)
                 values, ranks = values.values.to_numpy().view(np.uint64), ranks.values.to_numpy()
@@ -510,10 +538,13 @@ def rare_windows(docs: DataFrame, regions: DataFrame, width: int) -> DataFrame:
                 values, ranks = values[order], ranks[order]
                 near = np.minimum(np.searchsorted(values, x), len(values) - 1)
                 tier[s : s + len(x)] = np.where(values[near] == x, ranks[near], 0)
+                begun = likely(x, values, width, similarity)
+                open_ = np.bincount(begun, minlength=len(x) + 1) - np.bincount(begun + width, minlength=len(x) + 1)
+                alike[s : s + len(x)] = np.cumsum(open_[: len(x)]) > 0
             rid = batch["rid"].to_numpy()
             for h in range(2):
                 order = (tier << np.uint64(56)) | (mixed(line, 300 + h) >> np.uint64(8))
-                order = np.where(line == 0, np.uint64(0), np.where(tier == 0, last, order))
+                order = np.where((line == 0) | ~alike, np.uint64(0), np.where(tier == 0, last, order))
                 key, doc, further, place, before, after = windows_of(line, order, starts, width, 400 + h)
                 some = tier[place] > 0
                 yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (key, rid[doc], further, spots[place], before, after)], names=_NAMES)

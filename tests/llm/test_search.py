@@ -385,3 +385,16 @@ def test_passages_around_a_common_notice_are_found(spark):
     assert all(not got[i].spans for i in range(1, 60))
     assert sorted((len(got[i].spans), *got[i].partners) for i in (0, 140)) in ([(0,), (1, 0)], [(0,), (1, 140)])
     assert not got[141].spans and not got[142].spans
+
+
+def test_near_passages_of_common_shingles_need_not_resemble_the_smallest_document(spark):
+    """Every shingle of the passage is in 20 documents and more, of which only two share 50 words, one of them changed."""
+    passage = words(70, 60)
+    changed = [*passage[:30], "changed", *passage[31:]]
+    others = [" ".join([*words(900 + i, 30), *(passage[:35] if i % 2 else passage[25:]), *words(2900 + i, 30)]) for i in range(60)]
+    rows = [(i, t) for i, t in enumerate(others)]
+    rows += [(80 + i, " ".join([*words(5000 + i, 30), *p, *words(6000 + i, 30)])) for i, p in enumerate((passage, changed))]
+    got = {r.doc_id: r for r in windows.repeats(documents(spark, rows)).collect()}
+    found = {i: [tuple(s) for s in r.spans] for i, r in got.items() if r.spans}
+    assert found in ({80: [(30, 90)]}, {81: [(30, 90)]})
+    assert [got[i].partners for i in found] == [[161 - i] for i in found]
