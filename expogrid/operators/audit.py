@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import ratio, unpivot
+from .keys import unit_rows
 from .ranking import quantiles
 
 
@@ -19,7 +20,7 @@ def unit_master(first: DataFrame, others: Sequence[DataFrame], key: str) -> Data
     taken = set(first.columns) - {key}
     for other in others:
         fresh = [c for c in other.columns if c not in taken]
-        out = out.join(other.select(*fresh), key, "left")
+        out = out.join(unit_rows(other.select(*fresh)), key, "left")
         taken |= set(fresh) - {key}
     return out
 
@@ -165,7 +166,7 @@ def raw_code_audit(
     ``columns`` maps a column to its description. The table is joined to the composition
     once and unpivoted, so all columns share one aggregate.
     """
-    joined = table.select(key, *columns).join(composition.select(key, *counts), key, "left")
+    joined = table.select(key, *columns).join(unit_rows(composition.select(key, *counts)), key, "left")
     long = joined.select(*unpivot(counts, [
         {"column_name": F.lit(c), "description": F.lit(text), "raw_code": F.col(c).cast("string")} for c, text in columns.items()
     ]))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import band, ratio, total_of, unpivot
 from ..functions.model import GroupScheme
+from .keys import unit_rows
 
 
 def conditional_pivot(
@@ -68,8 +69,8 @@ def age_bands(
 
 def indicator_base(master: DataFrame, composition: DataFrame, key: str, total: str, ages: DataFrame | None = None) -> DataFrame:
     """Units with a positive total: master INNER composition, LEFT age counts, all on the unit key."""
-    base = master.join(composition.filter(F.col(total) > 0), key, "inner")
-    return base if ages is None else base.join(ages, key, "left")
+    base = master.join(unit_rows(composition.filter(F.col(total) > 0)), key, "inner")
+    return base if ages is None else base.join(unit_rows(ages), key, "left")
 
 
 def group_long(units: DataFrame, scheme: GroupScheme, keep: Sequence[str]) -> DataFrame:

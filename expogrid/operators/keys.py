@@ -9,6 +9,22 @@ from operator import and_
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Units whose wide rows one task joins and sorts.
+UNITS_PER_TASK = 10_000
+
+
+def by_unit(df: DataFrame, units: int, key: str) -> DataFrame:
+    """Rows dealt by the unit key to as many tasks as the number of units asks for.
+
+    A size in compressed bytes, by which adaptive execution would choose, says little about wide rows of small codes.
+    """
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-units // UNITS_PER_TASK)), key)
+
+
+def unit_rows(df: DataFrame) -> DataFrame:
+    """A side of a join that has a row per unit: merged, never broadcast, however small its files are."""
+    return df.hint("merge")
+
 
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join in which NULL keys meet each other, as they do in a GROUP BY.

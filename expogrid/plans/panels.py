@@ -14,6 +14,7 @@ from ..functions.columns import holds
 from ..functions.model import EXPOSED, Bundle, Group, GroupScheme, Indicator, better, worse
 from ..operators import compose
 from ..operators.bundles import lattice
+from ..operators.keys import by_unit, unit_rows
 from ..presets import schools as S
 
 
@@ -96,7 +97,7 @@ def order_counts(spark: SparkSession, folder: str) -> DataFrame:
     orders = table(spark, folder, "orders").select(
         F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("unit"), "o_orderpriority", F.year("o_orderdate").alias("y")
     )
-    joined = orders.join(folded, "l_orderkey")
+    joined = orders.join(unit_rows(folded), "l_orderkey")
     stages = lambda prefix: {s: F.when(F.col("y").isin(list(years)), F.col(f"{prefix}qty")).otherwise(zero) for s, _, years in STAGES}
     once = {"orders": F.lit(1), "recent": holds(F.col("y") == 2001)} | {n: F.col(n) for n in ("lines", "cents", "points")}
     none = {n: F.lit(0) for n in once}
@@ -195,7 +196,9 @@ def survey_columns(name: str) -> dict[str, str]:
 
 def school_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """Panel 3: customers as schools, order lines as enrolment."""
+    customers = table(spark, folder, "customer").count()
     units = customer_master(spark, folder).select(F.col("unit").alias("k"), F.col("region").alias("state"), F.col("subregion").alias("district"))
+    units = by_unit(units, customers, "k")  # the files of so narrow a table make few tasks, its hundreds of columns need many
     out = {}
     for name in ("profile_1", "profile_2", "facility", "teacher"):
         rows = units.filter(F.col("k") % GAPS[name] != 0) if name in GAPS else units
@@ -204,13 +207,18 @@ def school_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
         kinds = S.SCHEMAS[name]
         out[name] = rows.select(*[values[c].cast(kinds.kind(c)).alias(c) for c in kinds.expected])
 
-    lines = table(spark, folder, "lineitem").join(
-        table(spark, folder, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias(S.KEY), "o_orderpriority"), "l_orderkey"
-    ).select(
-        S.KEY, (F.col("l_partkey") % 12 + 1).alias("class"), "l_linestatus", F.col("l_quantity").cast("long").alias("n"),
-        "o_orderpriority", "l_returnflag", F.col("l_linenumber").cast("long").alias("line"), "l_partkey", "l_suppkey",
+    # The lines move twice, so only what the items are made from goes along; the second time by school, and the items
+    # are summed where they are.
+    small = lambda c: c.cast("byte")
+    bought = table(spark, folder, "orders").select(
+        F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias(S.KEY), F.col("o_orderpriority").substr(1, 1).alias("place"))
+    lines = table(spark, folder, "lineitem").select(
+        "l_orderkey", small(F.col("l_partkey") % 12 + 1).alias("class"), "l_linestatus", F.col("l_quantity").cast("long").alias("n"),
+        "l_returnflag", F.col("l_linenumber").cast("long").alias("line"), small(F.col("l_partkey") % 5).alias("part"), small(F.col("l_suppkey") % 5).alias("supplier"),
     )
-    place = F.col("o_orderpriority").substr(1, 1).cast("long")
+    lines = by_unit(lines, customers, "l_orderkey").join(unit_rows(by_unit(bought, customers, "l_orderkey")), "l_orderkey")
+    lines = by_unit(lines.drop("l_orderkey"), customers, S.KEY)
+    place = F.col("place").cast("long")
     flag, line = F.col("l_returnflag"), F.col("line")
     item = lambda group, number, test=None: F.when(F.lit(True) if test is None else test, F.struct(
         F.lit(group).cast("long").alias("item_group"), number.cast("long").alias("item_id")))
@@ -218,7 +226,7 @@ def school_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
         item(1, F.when(place == 5, 4).otherwise(place), place != 4),
         item(2, F.when(flag == "R", 5).when(flag == "A", 6).otherwise(line % 4 + 7)),
         item(3, F.lit(13), line == 1), item(10, F.lit(32), line == 2), item(5, F.lit(0), line == 3),
-        item(4, F.col("l_partkey") % 5, line == 4),
+        item(4, F.col("part"), line == 4),
     ))
     sums = [
         F.sum(F.when((F.col("class") == n) & (F.col("l_linestatus") == status), F.col("n"))).alias(f"c{n}_{sex}")
@@ -227,7 +235,7 @@ def school_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     long = lambda df: df.groupBy(S.KEY, "item_group", "item_id").agg(*sums).withColumns({c: F.lit(None).cast("long") for c in ("cpp_b", "cpp_g")})
     one = lines.withColumn("item", F.explode(items)).select("*", "item.*")
     two = lines.filter(F.col(S.KEY) % 13 != 0).withColumns({
-        "item_group": F.lit(8).cast("long"), "item_id": F.col("class") + 3 + F.col("l_suppkey") % 5,
+        "item_group": F.lit(8).cast("long"), "item_id": F.col("class").cast("long") + 3 + F.col("supplier"),
     })
     out["enrolment_1"] = long(one).select(*S.COLUMNS["enrolment_1"])
     out["enrolment_2"] = long(two).select(*S.COLUMNS["enrolment_2"])
