@@ -52,3 +52,25 @@ def test_rows_of_schools_are_merged_and_dealt_by_their_number(spark, tmp_path, m
     audited = audit.raw_code_audit(tables["facility"], composition(tables["enrolment_1"]), S.KEY, {"solar_panel": "x"}, ["total_students"], "total_students", "total_students", "facility")
     assert "Broadcast" not in plan(units) and "Broadcast" not in plan(audited)
     assert plan(units).count("REPARTITION_BY_NUM") >= 5 and units.count() == 60
+
+
+def test_places_are_sent_to_the_customers(spark, tmp_path):
+    """Customers stay where they are, however small their file is; lines count by class and status, unknown ones nowhere."""
+    from expogrid.plans import panels
+
+    rows = {
+        "customer": ([(k, k % 2, "BUILDING", 1.5) for k in range(1, 4)], "c_custkey long, c_nationkey int, c_mktsegment string, c_acctbal double"),
+        "nation": ([(0, "n", 0), (1, "m", 0)], "n_nationkey int, n_name string, n_regionkey int"),
+        "region": ([(0, "ASIA")], "r_regionkey int, r_name string"),
+        "orders": ([(o, 1 + o, "1-URGENT") for o in range(3)], "o_orderkey long, o_custkey long, o_orderpriority string"),
+        "lineitem": ([(0, 0, 1, 1, 3.0, "R", "O"), (0, 11, 1, 1, 4.0, "R", "F"), (0, 11, 1, 1, 5.0, "R", None), (1, -1, 1, 2, 6.0, "R", "F"), (1, None, 1, 2, 7.0, "R", "O")],
+                     "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_returnflag string, l_linestatus string"),
+    }
+    for name, (data, schema) in rows.items():
+        spark.createDataFrame(data, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    plan = panels.customer_master(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "BroadcastHashJoin" in line and "c_nationkey" in line]
+    assert len(joins) == 1 and "BuildRight" in joins[0]
+    found = panels.school_tables(spark, str(tmp_path))["enrolment_1"].filter("item_group = 1").collect()
+    counted = {r["pseudocode"]: {c: r[c] for c in r.asDict() if c[0] == "c" and r[c] is not None} for r in found}
+    assert counted == {1: {"c1_b": 3, "c12_g": 4}, 2: {}}
