@@ -37,8 +37,9 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Texts below fifty words, null and empty ones stay as they are. ``n_chars`` follows the text where it was cut.
     """
     found = windows.repeats(docs).filter(F.size("spans") > 0).select("rid", "spans").dropDuplicates(["rid"])
-    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text").withColumn("rid", windows.row_id())
-    joined = named.select("row", "text", "rid").join(store(found, "spans"), "rid", "left").select("row", "text", "spans")
+    rest = F.struct("doc_id", *[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")])  # so that a text goes to Python once
+    named = docs.select(rest.alias("row"), "text", windows.row_id().alias("rid"))
+    joined = named.join(store(found, "spans"), "rid", "left").select("row", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches, 500):

@@ -14,7 +14,7 @@ from expogrid.sources import sinks
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of words are digits, letters and everything past ASCII; the rest become blanks, A-Z become a-z.
-_WORD_BYTES = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
+WORD_BYTES = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -33,7 +33,7 @@ def ascii_lower(text: Column) -> Column:
 
 def alnum_words(text: str | None) -> list[bytes]:
     """ASCII-lower-cased words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` as UTF-8; none for a null."""
-    return text.encode("utf-8", "surrogatepass").translate(_WORD_BYTES).split() if text else []
+    return text.encode("utf-8", "surrogatepass").translate(WORD_BYTES).split() if text else []
 
 
 def blank_words(text: str | None) -> list[bytes]:
@@ -67,6 +67,20 @@ def tidy_shuffles(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def short_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
+    """Jobs in the block hand so many rows at a time to Python: with whole texts, more of them fill both sides' memory."""
+    before = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH, before)
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage by a table in the shared folder; a lost executor then costs only a new read."""
     with tidy_shuffles(df.sparkSession):

@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from expogrid.llm.common import alnum_words, blocks_of, rows_of, store, tidy_shuffles
+from expogrid.llm.common import WORD_BYTES, blocks_of, rows_of, short_batches, store, tidy_shuffles
 from expogrid.llm.sketches import mixed
 from expogrid.sources import sinks
 
@@ -39,10 +39,104 @@ class WordHashes(dict):
         return value
 
 
-def shingles(text: str | None, known: WordHashes) -> np.ndarray:
-    """A 64-bit value for every run of five words of a whole text, never 0."""
-    parts = [np.fromiter(map(known.__getitem__, words), np.uint64, len(words)) for words in blocks_of(text, alnum_words)]
-    words = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+_BASE = 0xD1342543DE82EF93  # 3 modulo 8, so that powers of it differ in all but their lowest bits
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of the base and of its inverse, modulo 2 ** 64."""
+    out = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        x = np.full(n, base, np.uint64)
+        x[:1] = 1
+        out.append(np.multiply.accumulate(x))
+    return out[0], out[1]
+
+
+_POWERS = _powers(1 << 16)
+#: What XXH3 lays over words of up to 3, 8 and (both ends) 16 bytes.
+_FLIP, _FLIPS = np.uint64(0x87275A9B), tuple(map(np.uint64, (0xC73AB174C5ECD5A2, 0x6782737BEA4239B9, 0xAF56BC3B0996523A)))
+
+
+def range_values(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit value for each range of 64-bit values, the same for the same range wherever it stands: a polynomial."""
+    up, down = _POWERS if len(values) < len(_POWERS[0]) else _powers(len(values) + 1)
+    with np.errstate(over="ignore"):
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values * up[: len(values)])))
+        return mixed((total[ends] - total[starts]) * down[starts], 13)
+
+
+def _spread(x: np.ndarray, shift: int, factor: int, last: int) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(last))
+
+
+def _turned(x: np.ndarray, bits: int) -> np.ndarray:
+    return (x << np.uint64(bits)) | (x >> np.uint64(64 - bits))
+
+
+def _folded(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Both halves of the 128-bit product, one upon the other."""
+    low, half = np.uint64(0xFFFFFFFF), np.uint64(32)
+    a, b, c, d = x & low, x >> half, y & low, y >> half
+    cross = (a * c >> half) + (b * c & low) + a * d
+    return (x * y) ^ (b * d + (b * c >> half) + (cross >> half))
+
+
+def word_values(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """XXH3 and first place of every word of a line of words and blanks, for words of up to 16 bytes all at once."""
+    inside = np.zeros(len(data) + 2, np.int8)
+    inside[1:-1] = np.frombuffer(data, np.uint8) != 0x20
+    edges = np.diff(inside)
+    starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    size, out = ends - starts, np.zeros(len(starts), np.uint64)
+    eight = np.ndarray(len(data) + 1, "<u8", data + bytes(8), strides=(1,))  # the eight bytes from every place on
+    with np.errstate(over="ignore"):
+        i = np.flatnonzero(size < 4)
+        first, middle, last = (eight[at] & np.uint64(0xFF) for at in (starts[i], starts[i] + size[i] // 2, ends[i] - 1))
+        x = (first << np.uint64(16)) | (middle << np.uint64(24)) | last | (size[i].astype(np.uint64) << np.uint64(8))
+        x ^= _FLIP
+        x = _spread(x, 33, 0xC2B2AE3D27D4EB4F, 29) * np.uint64(0x165667B19E3779F9)
+        out[i] = x ^ (x >> np.uint64(32))
+        i = np.flatnonzero((size >= 4) & (size <= 8))
+        n = size[i].astype(np.uint64)
+        x = ((eight[ends[i] - 4] & np.uint64(0xFFFFFFFF)) + (eight[starts[i]] << np.uint64(32))) ^ _FLIPS[0]
+        x = (x ^ _turned(x, 49) ^ _turned(x, 24)) * np.uint64(0x9FB21C651E98DF25)
+        x = (x ^ ((x >> np.uint64(35)) + n)) * np.uint64(0x9FB21C651E98DF25)
+        out[i] = x ^ (x >> np.uint64(28))
+        i = np.flatnonzero((size > 8) & (size <= 16))
+        x, y = eight[starts[i]] ^ _FLIPS[1], eight[ends[i] - 8] ^ _FLIPS[2]
+        out[i] = _spread(size[i].astype(np.uint64) + x.byteswap() + y + _folded(x, y), 37, 0x165667919E3779F9, 32)
+    for k in np.flatnonzero(size > 16).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(data[starts[k] : ends[k]])
+    return out, starts
+
+
+def words_of(texts: list[str | None], size: int = 1 << 17) -> list[np.ndarray]:
+    """A 64-bit value of every word of each text; about ``size`` bytes of all texts are read at a time."""
+    out: list[list[np.ndarray]] = [[] for _ in texts]
+    held: list[tuple[int, bytes]] = []
+
+    def read() -> None:
+        values, places = word_values(b" ".join(data for _, data in held))
+        cuts = np.searchsorted(places, np.cumsum([len(data) + 1 for _, data in held])[:-1])
+        for (i, _), part in zip(held, np.split(values, cuts)):
+            out[i].append(part)
+        held.clear()
+
+    line = lambda block: block.encode("utf-8", "surrogatepass").translate(WORD_BYTES)
+    for i, text in enumerate(texts):
+        for data in blocks_of(text, line, size) if text else ():
+            held.append((i, data))
+            if sum(len(x) for _, x in held) >= size:
+                read()
+    if held:
+        read()
+    return [np.concatenate(x) if x else np.zeros(0, np.uint64) for x in out]
+
+
+def shingles(text: str | None, words: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit value for every run of five words of a whole text, never 0. ``words``: its word values, if they are there."""
+    words = words_of([text])[0] if words is None else words
     n = len(words) - SHINGLE + 1
     if n < 1:
         return np.zeros(0, np.uint64)
@@ -66,8 +160,8 @@ def compact_windows(values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndar
     """(low, place, high): all stretches within low..high that hold ``place`` have their minimum there, the first one.
 
     These are the spans of the Cartesian tree's nodes; only those of ``width`` values and more are made. A 0 ends a
-    text. A node with so wide a span is the minimum of some stretch of ``width``, and so are the nearest smaller values
-    on both sides of it, so the tree is built over such values alone.
+    text, and the largest value there is makes no window. A node with so wide a span is the minimum of some stretch of
+    ``width``, and so are the nearest smaller values on both sides of it, so the tree is built over such values alone.
     """
     n = len(values)
     if n < width:
@@ -77,7 +171,7 @@ def compact_windows(values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndar
     least = sliding(values, width, np.minimum, top)
     edge = np.zeros(width - 1, np.uint64)
     largest = sliding(np.concatenate((edge, least, edge)), width, np.maximum, 0)
-    chosen = np.flatnonzero((values == largest) | (values == 0))
+    chosen = np.flatnonzero(((values == largest) & (values != top)) | (values == 0))
     left, right = [-1] * len(chosen), [n] * len(chosen)
     stack: list[int] = []
     places, kept = chosen.tolist(), values[chosen].tolist()
@@ -101,14 +195,14 @@ def further_places(line: np.ndarray, doc: np.ndarray, low: np.ndarray, place: np
     order = np.lexsort((place, line[place], doc))
     repeated = np.concatenate(([False], (doc[order[1:]] == doc[order[:-1]]) & (line[place[order[1:]]] == line[place[order[:-1]]]))) if len(place) else np.zeros(0, bool)
     kind[order[repeated]] = 1
-    members = np.flatnonzero(repeated | np.concatenate((repeated[1:], [False]))) if len(place) else []
-    known: set = set()
-    for i in order[members].tolist():
-        a, b = max(low[i], place[i] - width + 1), min(high[i], place[i] + width - 1)
-        around = (int(doc[i]), int(place[i] - a), line[a : b + 1].tobytes())
-        if around in known:
-            kind[i] = 2
-        known.add(around)
+    members = order[repeated | np.concatenate((repeated[1:], [False]))] if len(place) else order
+    a, b = np.maximum(low[members], place[members] - width + 1), np.minimum(high[members], place[members] + width - 1)
+    # Repeats that share the value of a text, a place within and what is around; the first of them is the new one.
+    spot = (doc[members].astype(np.uint64) << np.uint64(32)) | ((place[members] - a) << 16 | (b - a)).astype(np.uint64)
+    around = range_values(line, a, b + 1) ^ mixed(spot, 17)
+    first = np.zeros(len(members), bool)
+    first[np.unique(around, return_index=True)[1]] = True
+    kind[members[~first]] = 2
     return kind
 
 
@@ -133,9 +227,8 @@ def emitted(docs: DataFrame, hashes: int, width: int) -> DataFrame:
     """Compact windows of all documents: key (of hash function and shingle), rid, further, place, before, after."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         for batch in rows_of(batches, 400):
-            texts = [shingles(t.as_py(), known) for t in batch["text"]]
+            texts = [shingles(None, words) for words in words_of(batch["text"].to_pylist())]
             starts = np.cumsum([1, *(len(t) + 1 for t in texts)])
             line = np.zeros(starts[-1], np.uint64)
             for s, t in zip(starts, texts):
@@ -171,46 +264,41 @@ def overlaps(met: DataFrame, few: int, width: int) -> DataFrame:
     return wide.groupBy("rid", "rep", "shift").agg(F.min("low").alias("low"), F.max("high").alias("high"))
 
 
+def distinct_counts(values: np.ndarray, width: int) -> np.ndarray:
+    """How many distinct values each stretch of ``width`` holds, by its first place: those that stand in it first."""
+    order = np.argsort(values, kind="stable")
+    before = np.full(len(values), -1)
+    same = values[order[1:]] == values[order[:-1]]
+    before[order[1:][same]] = order[:-1][same]
+    place = np.arange(len(values))
+    steps = np.bincount(np.maximum(before + 1, place - width + 1), minlength=len(values) + 1)
+    steps[1:] -= 1
+    return np.cumsum(steps[: max(len(values) - width + 1, 0)])
+
+
 def similar_stretches(own: np.ndarray, other: np.ndarray, width: int, similarity: float) -> np.ndarray:
     """Places at which ``width`` values of both, side by side, have that Jaccard similarity of distinct values."""
-    n = len(own) - width + 1
-    if n < 1:
-        return np.zeros(0, np.int64)
-    order = np.argsort(other, kind="stable")
-    ordered, mine = other[order], np.sort(own)
-    if (ordered[1:] != ordered[:-1]).all() and (mine[1:] != mine[:-1]).all():
-        at = np.minimum(np.searchsorted(ordered, own), len(ordered) - 1)
-        here = np.flatnonzero(ordered[at] == own)
-        there = order[at[here]]
-        first, last = np.maximum(np.maximum(here, there) - width + 1, 0), np.minimum(np.minimum(here, there), n - 1)
-        met = first <= last  # the stretches that hold the value on both sides
-        steps = np.bincount(first[met], minlength=n + 1) - np.bincount(last[met] + 1, minlength=n + 1)
-        shared = np.cumsum(steps[:n])
-        return np.flatnonzero(shared >= similarity * (2 * width - shared) - 1e-9)
-    good = []
-    distinct = lambda x: 1 + (x[:, 1:] != x[:, :-1]).sum(axis=1)
-    for start in range(0, n, 2000):
-        a, b = (np.lib.stride_tricks.sliding_window_view(x, width)[start : min(n, start + 2000)] for x in (own, other))
-        union = distinct(np.sort(np.concatenate((a, b), axis=1), axis=1))
-        shared = distinct(np.sort(a, axis=1)) + distinct(np.sort(b, axis=1)) - union
-        good.append(start + np.flatnonzero(shared >= similarity * union - 1e-9))
-    return np.concatenate(good)
+    union = distinct_counts(np.stack((own, other), axis=1).ravel(), 2 * width)[::2]
+    shared = distinct_counts(own, width) + distinct_counts(other, width) - union
+    return np.flatnonzero(shared >= similarity * union - 1e-9)
+
+
+def spans_of(good: np.ndarray, pair: np.ndarray, own: np.ndarray, other: np.ndarray, width: int) -> Iterator[tuple[int, int, int]]:
+    """(pair, start, end) of what stretches alike cover, from the first to the last value that both sides have."""
+    if not len(good):
+        return
+    breaks = np.flatnonzero((np.diff(good) > width + SHINGLE - 1) | (np.diff(pair) != 0))
+    firsts, lasts = np.concatenate(([0], breaks + 1)), np.concatenate((breaks, [len(good) - 1]))
+    for i, a, b in zip(pair[firsts].tolist(), good[firsts].tolist(), (good[lasts] + width).tolist()):
+        if own[a] != other[a] or own[b - 1] != other[b - 1]:
+            inside = np.flatnonzero(np.isin(own[a:b], other[a:b]))
+            a, b = a + int(inside[0]), a + int(inside[-1]) + 1
+        yield i, a, b
 
 
 def passages(own: np.ndarray, other: np.ndarray, width: int, similarity: float) -> list[tuple[int, int]]:
     """(start, end) in words of what all stretches alike cover, from the first to the last shingle that both have."""
-    n = min(len(own), len(other))
-    own, other = own[:n], other[:n]
-    if n >= width and (own == other).all():
-        return [(0, n + SHINGLE - 1)]
-    good, out = similar_stretches(own, other, width, similarity), []
-    if len(good):
-        cuts = np.flatnonzero(np.diff(good) > width + SHINGLE - 1) + 1
-        for part in np.split(good, cuts):
-            a, b = part[0], part[-1] + width
-            inside = np.flatnonzero(np.isin(own[a:b], other[a:b]))
-            out.append((int(a + inside[0]), int(a + inside[-1]) + SHINGLE))
-    return out
+    return side_by_side([(own, other)], width, similarity)[0]
 
 
 def parts_of(pairs: list[tuple[np.ndarray, np.ndarray]], most: int = 1 << 17) -> Iterator[slice]:
@@ -224,49 +312,16 @@ def parts_of(pairs: list[tuple[np.ndarray, np.ndarray]], most: int = 1 << 17) ->
 
 
 def side_by_side(pairs: list[tuple[np.ndarray, np.ndarray]], width: int, similarity: float) -> list[list[tuple[int, int]]]:
-    """``passages`` of many pairs. Most are settled for all pairs at once, and only the others one by one.
-
-    Without repeated values, a stretch is alike if enough values agree place by place, and it is not if too few of its
-    values stand anywhere on the other side.
-    """
+    """``passages`` of many pairs, all laid end to end; values of different pairs are told apart."""
     sizes = np.array([min(len(a), len(b)) for a, b in pairs], np.int64)
     of, start = np.repeat(np.arange(len(pairs)), sizes), np.cumsum(sizes) - sizes
     own, other = (np.concatenate([p[i][:n] for p, n in zip(pairs, sizes)]) if len(pairs) else np.zeros(0, np.uint32) for i in (0, 1))
-    equal = own == other
     tag = of.astype(np.uint64) << np.uint64(32)
-    mine, theirs = np.sort(tag | own), np.sort(tag | other)
-    repeated = np.zeros(len(pairs), bool)
-    for side in (mine, theirs):
-        repeated[(side[1:][side[1:] == side[:-1]] >> np.uint64(32)).astype(np.int64)] = True
-    at = np.minimum(np.searchsorted(theirs, tag | own), max(len(theirs) - 1, 0))
-    present = theirs[at] == (tag | own) if len(theirs) else equal
-    least = int(np.ceil(2 * width * similarity / (1 + similarity) - 1e-9))
-    windows = np.maximum(sizes - width + 1, 0)
-    places = np.arange(windows.sum()) + np.repeat(start - (np.cumsum(windows) - windows), windows)
-    which = np.repeat(np.arange(len(pairs)), windows)
-
-    def worst_and_best(hits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Fewest and most hits of any stretch, for each pair."""
-        total = np.concatenate(([0], np.cumsum(hits)))
-        count = total[places + width] - total[places]
-        fewest, most = np.full(len(pairs), width + 1), np.full(len(pairs), -1)
-        np.minimum.at(fewest, which, count)
-        np.maximum.at(most, which, count)
-        return fewest, most
-
-    agreed, _ = worst_and_best(equal)
-    _, shared = worst_and_best(present)
-    ends = np.zeros(len(pairs), bool)
-    some = sizes > 0
-    ends[some] = equal[start[some]] & equal[(start + sizes - 1)[some]]
-    out = []
-    for i, (a, b) in enumerate(pairs):
-        if not windows[i] or (not repeated[i] and shared[i] < least):
-            out.append([])
-        elif agreed[i] == width or (not repeated[i] and agreed[i] >= least and ends[i]):
-            out.append([(0, int(sizes[i]) + SHINGLE - 1)])
-        else:
-            out.append(passages(a, b, width, similarity))
+    good = similar_stretches(tag | own, tag | other, width, similarity)
+    good = good[of[good] == of[good + width - 1]]  # not those across two pairs
+    out: list[list[tuple[int, int]]] = [[] for _ in pairs]
+    for i, a, b in spans_of(good, of[good], own, other, width):
+        out[i].append((int(a - start[i]), int(b - start[i]) + SHINGLE - 1))
     return out
 
 
@@ -350,7 +405,7 @@ def verified(docs: DataFrame, found: DataFrame, width: int, similarity: float) -
     Both stretches have ``width`` shingles, and the Jaccard similarity is that of the distinct ones, of which 32 bits
     are compared.
 
-    Texts move once, packed, to where their candidates are. A document sends the shingles of its stretches once to each
+    Texts move once to where their candidates are. A document sends the shingles of its stretches once to each
     partner; a partner sends its text to each of the parts that its candidates are dealt to, about ``PART`` of them
     each, so one that many share is split. There they are compared, a partner's part in one pass.
     """
@@ -359,48 +414,51 @@ def verified(docs: DataFrame, found: DataFrame, width: int, similarity: float) -
     salted = pairs.join(parts, "rep").withColumn("salt", F.pmod("rid", F.col("parts")).cast("int")).drop("parts")
     asks = salted.groupBy("rid").agg(F.collect_list(F.struct("rep", "salt", "stretches")).alias("asks"))
     gives = salted.select("rep", "salt").distinct().groupBy("rep").agg(F.collect_list("salt").alias("salts")).withColumnRenamed("rep", "rid")
-    roles = asks.join(gives, "rid", "full_outer")
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = zstandard.ZstdCompressor(level=1).compress
-        for batch in rows_of(batches, 1000):
-            yield pa.RecordBatch.from_arrays([batch["rid"], batch["doc_id"], pa.array([tool((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in batch["text"]], pa.binary())], names=["rid", "doc_id", "data"])
+    # Stored, so that the join knows how many documents take part: the texts of few are not moved through a shuffle.
+    roles = store(asks.join(gives, "rid", "full_outer").withColumn("asks", F.coalesce("asks", F.array())), "roles")
 
     one = docs.select("rid", F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.octet_length("text") >= 2 * PASSAGE - 1)
-    packed = one.mapInArrow(pack, "rid long, doc_id long, data binary")
     schema = "rep long, salt int, kind int, rid long, doc_id long, first int, data binary, stretches binary"
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, unpack = WordHashes(), zstandard.ZstdDecompressor().decompress
+        pack = zstandard.ZstdCompressor(level=1).compress
         names = ("rep", "salt", "kind", "rid", "doc_id", "first", "data", "stretches")
         kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
         last = None
         for batch in rows_of(batches, 200):
             out: list[tuple] = []
-            for rid, doc_id, data, asks, salts in zip(*(batch[c].to_pylist() for c in ("rid", "doc_id", "data", "asks", "salts"))):
+            asks, at = batch["asks"].values, batch["asks"].offsets.to_numpy()
+            reps, dealt, lists = (asks.field(c) for c in ("rep", "salt", "stretches"))
+            wanted = np.stack([lists.values.field(c).to_numpy() for c in ("low", "high", "shift")], axis=1).astype(np.int32)
+            reps, dealt, bounds = reps.to_numpy(), dealt.to_numpy(), lists.offsets.to_numpy()
+            texts = batch["text"].to_pylist()
+            words = words_of([t if some else None for t, some in zip(texts, np.diff(at))])
+            for i, (rid, doc_id, text, salts) in enumerate(zip(*(batch[c].to_pylist() for c in ("rid", "doc_id")), texts, batch["salts"].to_pylist())):
                 if rid == last:
                     continue  # a repeated row
                 last = rid
-                out += [(rid, salt, 0, rid, doc_id, 0, data, b"") for salt in salts or ()]
-                own = shingles(unpack(data).decode("utf-8", "surrogatepass"), known).astype(np.uint32) if asks else None
-                for a in asks or ():
-                    wanted = np.array([(x["low"], x["high"], x["shift"]) for x in a["stretches"]], np.int32)
-                    first, end = int(wanted[:, 0].min()), int(wanted[:, 1].max()) + 1
-                    out.append((a["rep"], a["salt"], 1, rid, doc_id, first, own[first:end].tobytes(), wanted.tobytes()))
+                if salts:
+                    data = pack(text.encode("utf-8", "surrogatepass"))
+                    out += [(rid, salt, 0, rid, doc_id, 0, data, b"") for salt in salts]
+                own = shingles(text, words[i]).astype(np.uint32)
+                for k in range(at[i], at[i + 1]):
+                    some = wanted[bounds[k] : bounds[k + 1]]
+                    first, end = int(some[:, 0].min()), int(some[:, 1].max()) + 1
+                    out.append((int(reps[k]), int(dealt[k]), 1, rid, doc_id, first, own[first:end].tobytes(), some.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 8, kinds)], names=list(names))
 
-    sent = packed.join(roles, "rid").sortWithinPartitions("rid").mapInArrow(send, schema)
+    sent = one.join(roles, "rid").sortWithinPartitions("rid").mapInArrow(send, schema)
     dealt = sent.repartition("rep", "salt").sortWithinPartitions("rep", "salt", "kind")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, unpack = WordHashes(), zstandard.ZstdDecompressor().decompress
+        unpack = zstandard.ZstdDecompressor().decompress
         rep, theirs, held, partner = None, np.zeros(0, np.uint32), np.zeros(0, np.uint32), None
         for batch in rows_of(batches, 500):
             pairs, named, out = [], [], []
             for key, kind, rid, doc_id, first, data, wanted in zip(*(batch[c].to_pylist() for c in ("rep", "kind", "rid", "doc_id", "first", "data", "stretches"))):
                 if kind == 0:
                     rep, partner = key, doc_id
-                    theirs = shingles(unpack(data).decode("utf-8", "surrogatepass"), known).astype(np.uint32)
+                    theirs = shingles(unpack(data).decode("utf-8", "surrogatepass")).astype(np.uint32)
                     held = np.unique(theirs)
                 elif key == rep:
                     own = np.frombuffer(data, np.uint32)
@@ -424,7 +482,7 @@ def found_passages(docs: DataFrame, distinct: DataFrame, hashes: int, width: int
     regions around the key are searched again by their rarest shingles (``rare_windows``), and what even those leave open
     by whole stretches (``exact_repeats``).
     """
-    with tidy_shuffles(docs.sparkSession):
+    with tidy_shuffles(docs.sparkSession), short_batches(docs.sparkSession):
         with sinks.stored(emitted(distinct, hashes, width), "llm-compact-windows") as rows:
             met = store(shared(rows), "shared-windows")
         checked = store(verified(docs, store(overlaps(met, 0, width), "candidates"), width, similarity), "passages")
@@ -483,16 +541,14 @@ def regional(docs: DataFrame, regions: DataFrame, width: int) -> DataFrame:
     """(rid, line, places): the shingles of a document's regions, a 0 behind each region, and where they stand."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         for batch in rows_of(batches, 200):
             lines, places = [], []
-            for text, regions in zip(batch["text"], batch["regions"].to_pylist()):
-                own = np.concatenate((shingles(text.as_py(), known), np.zeros(1, np.uint64)))
-                wanted = np.zeros(len(own) + 1, np.int64)
-                for r in regions:
-                    if r["high"] - r["low"] + 1 >= width:
-                        wanted[r["low"]] += 1
-                        wanted[r["high"] + 1] -= 1
+            bounds, spans = batch["regions"].offsets.to_numpy(), batch["regions"].values
+            low, high = (spans.field(c).to_numpy() for c in ("low", "high"))
+            for words, a, b in zip(words_of(batch["text"].to_pylist()), bounds, bounds[1:]):
+                own = np.concatenate((shingles(None, words), np.zeros(1, np.uint64)))
+                wide = np.flatnonzero(high[a:b] - low[a:b] + 1 >= width) + a
+                wanted = np.bincount(low[wide], minlength=len(own) + 1) - np.bincount(high[wide] + 1, minlength=len(own) + 1)
                 at = np.flatnonzero(np.cumsum(wanted)[: len(own)])
                 ends = np.flatnonzero(np.diff(at, append=-9) != 1)
                 lines.append(np.insert(own[at], ends + 1, 0).tobytes())
@@ -546,8 +602,7 @@ def rare_windows(docs: DataFrame, regions: DataFrame, width: int, similarity: fl
                 order = (tier << np.uint64(56)) | (mixed(line, 300 + h) >> np.uint64(8))
                 order = np.where((line == 0) | ~alike, np.uint64(0), np.where(tier == 0, last, order))
                 key, doc, further, place, before, after = windows_of(line, order, starts, width, 400 + h)
-                some = tier[place] > 0
-                yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (key, rid[doc], further, spots[place], before, after)], names=_NAMES)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, rid[doc], further, spots[place], before, after)], names=_NAMES)
 
     return lines.join(ranks, "rid").mapInArrow(run, _ROWS)
 
@@ -560,11 +615,10 @@ def exact_repeats(docs: DataFrame, regions: DataFrame, checked: DataFrame, width
     """
 
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         for batch in rows_of(batches, 100):
             keys, sizes, places = [], [], []
-            for text, regions in zip(batch["text"], batch["regions"].to_pylist()):
-                own = shingles(text.as_py(), known)
+            for words, regions in zip(words_of(batch["text"].to_pylist()), batch["regions"].to_pylist()):
+                own = shingles(None, words)
                 wanted = np.zeros(len(own) + 1, np.int64)
                 for r in regions:
                     if r["high"] - r["low"] + 1 >= width:

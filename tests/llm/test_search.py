@@ -398,3 +398,37 @@ def test_near_passages_of_common_shingles_need_not_resemble_the_smallest_documen
     found = {i: [tuple(s) for s in r.spans] for i, r in got.items() if r.spans}
     assert found in ({80: [(30, 90)]}, {81: [(30, 90)]})
     assert [got[i].partners for i in found] == [[161 - i] for i in found]
+
+
+def test_words_of_many_texts_have_the_hashes_of_single_words():
+    r = random.Random(8)
+    letters = "abcdefghXYZ0 .,-_é日\n😀 "
+    texts = ["".join(r.choice(letters) for _ in range(r.choice([0, 1, 3, 9, 40, 700]))) for _ in range(300)]
+    texts += ["x" * n for n in range(1, 40)] + ["long " * 300, "y" * 3000]
+    for size in (50, 1 << 17):
+        got = windows.words_of([None, *texts], size)
+        assert [g.tolist() for g in got] == [[], *[[xxhash.xxh3_64_intdigest(w) for w in alnum_words(t)] for t in texts]]
+
+
+def test_distinct_values_of_stretches_side_by_side():
+    r = np.random.default_rng(4)
+    for n in (0, 5, 19, 20, 21, 90):
+        values = r.integers(0, 25, n)
+        assert windows.distinct_counts(values, 20).tolist() == [len(set(values[i : i + 20].tolist())) for i in range(n - 19)]
+
+
+def test_places_without_a_value_make_no_window():
+    values = np.full(60, np.iinfo(np.uint64).max, np.uint64)
+    values[30] = 5
+    assert [x.tolist() for x in windows.compact_windows(values, 12)] == [[0], [30], [59]]
+
+
+def test_a_task_of_the_verification_runs_one_python_step(spark, capsys):
+    """Also where few documents take part and nothing is shuffled: each step has workers of its own."""
+    df = documents(spark, [(i, " ".join(words(5, 80))) for i in range(4)]).withColumn("rid", windows.row_id())
+    rid = sorted(r.rid for r in df.collect())
+    found = spark.createDataFrame([(rid[1], rid[0], 0, 0, 75)], "rid long, rep long, shift int, low int, high int")
+    got = windows.verified(df, found, 46, 0.8)
+    got.explain()
+    assert capsys.readouterr().out.count("MapInArrow") == 2  # send, and behind an exchange compare
+    assert [(r.rid, r.rep, r.start, r.end) for r in got.collect()] == [(rid[1], rid[0], 0, 80)]
