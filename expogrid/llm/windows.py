@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,8 @@ FEW = 16
 #: Elections among the documents of a rare shingle that share no passage with those elected before; then all pairs.
 ROUNDS = 3
 EVERY = 1 << 62
+#: Bytes of texts whose values are counted together, and by how many leading bits of a value its counts are dealt.
+CHUNK, PART_BITS = 8 << 20, 10
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
@@ -111,6 +115,18 @@ def word_values(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return out, starts
 
 
+def word_line(text: str) -> bytes:
+    return text.encode("utf-8", "surrogatepass").translate(WORD_BYTES)
+
+
+def word_count(text: str | None) -> int:
+    n = 0
+    for data in blocks_of(text, word_line) if text else ():
+        inside = np.frombuffer(data, np.uint8) != 0x20
+        n += int(inside[0]) + int(np.count_nonzero(inside[1:] > inside[:-1]))
+    return n
+
+
 def words_of(texts: list[str | None], size: int = 1 << 17) -> list[np.ndarray]:
     """A 64-bit value of every word of each text; about ``size`` bytes of all texts are read at a time."""
     out: list[list[np.ndarray]] = [[] for _ in texts]
@@ -123,9 +139,8 @@ def words_of(texts: list[str | None], size: int = 1 << 17) -> list[np.ndarray]:
             out[i].append(part)
         held.clear()
 
-    line = lambda block: block.encode("utf-8", "surrogatepass").translate(WORD_BYTES)
     for i, text in enumerate(texts):
-        for data in blocks_of(text, line, size) if text else ():
+        for data in blocks_of(text, word_line, size) if text else ():
             held.append((i, data))
             if sum(len(x) for _, x in held) >= size:
                 read()
@@ -147,6 +162,22 @@ def shingles(text: str | None, words: np.ndarray | None = None) -> np.ndarray:
     return mixed(value, 7) | np.uint64(1)
 
 
+def shingle_lines(texts: list[str | None], most: int = 1 << 15) -> list[np.ndarray]:
+    """``shingles`` of each text; those of about ``most`` words are made at a time."""
+    words, out, held = words_of(texts), [], 0
+    sizes = [len(w) for w in words]
+    first = 0
+    for i, n in enumerate(sizes):
+        held += n
+        if held >= most or i + 1 == len(words):
+            line, at = shingles(None, np.concatenate(words[first : i + 1])), 0
+            for n in sizes[first : i + 1]:
+                out.append(line[at : at + max(0, n - SHINGLE + 1)])
+                at += n
+            first, held = i + 1, 0
+    return out
+
+
 def sliding(values: np.ndarray, width: int, pick: np.ufunc, rest: int) -> np.ndarray:
     """Minimum or maximum of every stretch of ``width`` values, from running ones of blocks in both directions."""
     n = len(values)
@@ -223,23 +254,37 @@ _ROWS = "key long, rid long, further byte, place int, before short, after short"
 _NAMES = ["key", "rid", "further", "place", "before", "after"]
 
 
-def emitted(docs: DataFrame, hashes: int, width: int) -> DataFrame:
-    """Compact windows of all documents: key (of hash function and shingle), rid, further, place, before, after."""
+def chunks_of(batches: Iterator[pa.RecordBatch], column: str, rows: int = 2000) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of bounded length, of about ``CHUNK`` bytes of a column at most."""
+    for batch in rows_of(batches, rows):
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        cuts = np.flatnonzero(np.diff(size // CHUNK)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+            yield batch.slice(a, b - a)
+
+
+def laid(parts: list[np.ndarray], places: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, line, spots): lines end to end, a 0 before each, and where their values stand in the texts."""
+    starts = np.cumsum([1, *(len(x) + 1 for x in parts)])
+    line, spots = np.zeros(starts[-1], np.uint64), np.zeros(starts[-1], np.int32)
+    for s, x, at in zip(starts, parts, places):
+        line[s : s + len(x)], spots[s : s + len(x)] = x, at
+    return starts, line, spots
+
+
+def emitted(lines: DataFrame, hashes: int, width: int) -> DataFrame:
+    """Compact windows of all lines: key (of hash function and shingle), rid, further, place, before, after."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows_of(batches, 400):
-            texts = [shingles(None, words) for words in words_of(batch["text"].to_pylist())]
-            starts = np.cumsum([1, *(len(t) + 1 for t in texts)])
-            line = np.zeros(starts[-1], np.uint64)
-            for s, t in zip(starts, texts):
-                line[s : s + len(t)] = t
+        for batch in chunks_of(batches, "line", 400):
+            starts, line, spots = laid(*zip(*(separated(*x) for x in stored_lines(batch))))
             rid = batch["rid"].to_numpy()
             for h in range(hashes):
                 values = np.where(line == 0, np.uint64(0), mixed(line, 100 + h) | np.uint64(1))
                 key, doc, further, place, before, after = windows_of(line, values, starts, width, 200 + h)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, rid[doc], further, (place - starts[doc]).astype(np.int32), before, after)], names=_NAMES)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, rid[doc], further, spots[place], before, after)], names=_NAMES)
 
-    return docs.select("rid", "text").mapInArrow(run, _ROWS)
+    return lines.select("rid", "line", "bounds").mapInArrow(run, _ROWS)
 
 
 def shared(rows: DataFrame) -> DataFrame:
@@ -264,25 +309,49 @@ def overlaps(met: DataFrame, few: int, width: int) -> DataFrame:
     return wide.groupBy("rid", "rep", "shift").agg(F.min("low").alias("low"), F.max("high").alias("high"))
 
 
+def in_order(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the values, sorted by them, and the values so."""
+    if values.dtype != np.uint32:
+        order = np.argsort(values, kind="stable")
+        return order, values[order]
+    key = np.sort((values.astype(np.uint64) << np.uint64(32)) | np.arange(len(values), dtype=np.uint64))  # both at once: much faster
+    return (key & np.uint64(0xFFFFFFFF)).astype(np.int64), key >> np.uint64(32)
+
+
+def previous(order: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Where the same value stood last, for each place; -1 if nowhere."""
+    before = np.full(len(order), -1)
+    same = value[1:] == value[:-1]
+    before[order[1:][same]] = order[:-1][same]
+    return before
+
+
 def distinct_counts(values: np.ndarray, width: int) -> np.ndarray:
     """How many distinct values each stretch of ``width`` holds, by its first place: those that stand in it first."""
-    order = np.argsort(values, kind="stable")
-    before = np.full(len(values), -1)
-    same = values[order[1:]] == values[order[:-1]]
-    before[order[1:][same]] = order[:-1][same]
-    place = np.arange(len(values))
-    steps = np.bincount(np.maximum(before + 1, place - width + 1), minlength=len(values) + 1)
+    return _distinct_counts(*in_order(values), width)
+
+
+def _distinct_counts(order: np.ndarray, value: np.ndarray, width: int) -> np.ndarray:
+    n = len(order)
+    steps = np.bincount(np.maximum(previous(order, value) + 1, np.arange(n) - width + 1), minlength=n + 1)
     steps[1:] -= 1
-    return np.cumsum(steps[: max(len(values) - width + 1, 0)])
+    return np.cumsum(steps[: max(n - width + 1, 0)])
 
 
 def similar_stretches(own: np.ndarray, other: np.ndarray, width: int, similarity: float) -> np.ndarray:
     """Places at which ``width`` values of both, side by side, have that Jaccard similarity of distinct values."""
-    union = distinct_counts(np.stack((own, other), axis=1).ravel(), 2 * width)[::2]
-    shared = distinct_counts(own, width) + distinct_counts(other, width) - union
+    order, value = in_order(np.stack((own, other), axis=1).ravel())
+    union, side = _distinct_counts(order, value, 2 * width)[::2], (order & 1).astype(bool)
+    shared = _distinct_counts(order[~side] >> 1, value[~side], width) + _distinct_counts(order[side] >> 1, value[side], width) - union
     return np.flatnonzero(shared >= similarity * union - 1e-9)
 
 
+def first_of(own: np.ndarray, other: np.ndarray) -> int:
+    """First place of a value of ``own`` that ``other`` has; there is one."""
+    few = np.flatnonzero((own[:12, None] == other).any(axis=1))
+    return int(few[0]) if len(few) else int(np.flatnonzero(np.isin(own, other))[0])
+
+
 def spans_of(good: np.ndarray, pair: np.ndarray, own: np.ndarray, other: np.ndarray, width: int) -> Iterator[tuple[int, int, int]]:
     """(pair, start, end) of what stretches alike cover, from the first to the last value that both sides have."""
     if not len(good):
@@ -291,8 +360,7 @@ def spans_of(good: np.ndarray, pair: np.ndarray, own: np.ndarray, other: np.ndar
     firsts, lasts = np.concatenate(([0], breaks + 1)), np.concatenate((breaks, [len(good) - 1]))
     for i, a, b in zip(pair[firsts].tolist(), good[firsts].tolist(), (good[lasts] + width).tolist()):
         if own[a] != other[a] or own[b - 1] != other[b - 1]:
-            inside = np.flatnonzero(np.isin(own[a:b], other[a:b]))
-            a, b = a + int(inside[0]), a + int(inside[-1]) + 1
+            a, b = a + first_of(own[a:b], other[a:b]), b - first_of(own[a:b][::-1], other[a:b])
         yield i, a, b
 
 
@@ -312,12 +380,11 @@ def parts_of(pairs: list[tuple[np.ndarray, np.ndarray]], most: int = 1 << 17) ->
 
 
 def side_by_side(pairs: list[tuple[np.ndarray, np.ndarray]], width: int, similarity: float) -> list[list[tuple[int, int]]]:
-    """``passages`` of many pairs, all laid end to end; values of different pairs are told apart."""
+    """``passages`` of many pairs, all laid end to end; no stretch of two pairs counts."""
     sizes = np.array([min(len(a), len(b)) for a, b in pairs], np.int64)
     of, start = np.repeat(np.arange(len(pairs)), sizes), np.cumsum(sizes) - sizes
     own, other = (np.concatenate([p[i][:n] for p, n in zip(pairs, sizes)]) if len(pairs) else np.zeros(0, np.uint32) for i in (0, 1))
-    tag = of.astype(np.uint64) << np.uint64(32)
-    good = similar_stretches(tag | own, tag | other, width, similarity)
+    good = similar_stretches(own, other, width, similarity)
     good = good[of[good] == of[good + width - 1]]  # not those across two pairs
     out: list[list[tuple[int, int]]] = [[] for _ in pairs]
     for i, a, b in spans_of(good, of[good], own, other, width):
@@ -330,17 +397,19 @@ def likely(own: np.ndarray, held: np.ndarray, width: int, similarity: float) ->
 
     The similarity of two stretches is at most the share of the distinct values of one that the other's text has at all.
     """
+    if not len(held):
+        return np.zeros(0, np.int64)
+    return mostly(own, held[np.minimum(np.searchsorted(held, own), len(held) - 1)] == own, width, similarity)
+
+
+def mostly(own: np.ndarray, present: np.ndarray, width: int, similarity: float) -> np.ndarray:
+    """Starts of the stretches of which so many of the distinct values are ``present``."""
     n, place = len(own) - width + 1, np.arange(len(own))
-    if n < 1 or not len(held):
+    if n < 1:
         return place[:0]
-    present = held[np.minimum(np.searchsorted(held, own), len(held) - 1)] == own
     if present.all():
         return place[:n]
-    order = np.argsort(own, kind="stable")
-    before = np.full(len(own), -1)
-    same = own[order[1:]] == own[order[:-1]]
-    before[order[1:][same]] = order[:-1][same]
-    first, last = np.maximum(np.maximum(before + 1, place - width + 1), 0), np.minimum(place, n - 1)
+    first, last = np.maximum(np.maximum(previous(*in_order(own)) + 1, place - width + 1), 0), np.minimum(place, n - 1)
 
     def distinct(some: np.ndarray) -> np.ndarray:
         return np.cumsum((np.bincount(first[some], minlength=n + 1) - np.bincount(last[some] + 1, minlength=n + 1))[:n])
@@ -405,23 +474,25 @@ def verified(docs: DataFrame, found: DataFrame, width: int, similarity: float) -
     Both stretches have ``width`` shingles, and the Jaccard similarity is that of the distinct ones, of which 32 bits
     are compared.
 
-    Texts move once to where their candidates are. A document sends the shingles of its stretches once to each
-    partner; a partner sends its text to each of the parts that its candidates are dealt to, about ``PART`` of them
-    each, so one that many share is split. There they are compared, a partner's part in one pass.
+    ``docs`` are texts or the lines of ``region_lines``. Lines move once to where their candidates are. A document sends
+    the shingles of its stretches once to each partner; a partner sends its line to each of the parts that its
+    candidates are dealt to, about ``PART`` of them each, so one that many share is split. There they are compared, a
+    partner's part in one pass. What a line leaves out resembles nothing.
     """
+    if "text" in docs.columns:
+        whole = F.array(F.struct(F.lit(0).alias("low"), F.lit((1 << 31) - 2).alias("high")))
+        docs = store(region_lines(docs, docs.select("rid", whole.alias("regions")).distinct()), "whole-shingles")
     pairs = found.groupBy("rid", "rep").agg(F.collect_list(F.struct("low", "high", "shift")).alias("stretches"))
     parts = pairs.groupBy("rep").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
     salted = pairs.join(parts, "rep").withColumn("salt", F.pmod("rid", F.col("parts")).cast("int")).drop("parts")
     asks = salted.groupBy("rid").agg(F.collect_list(F.struct("rep", "salt", "stretches")).alias("asks"))
     gives = salted.select("rep", "salt").distinct().groupBy("rep").agg(F.collect_list("salt").alias("salts")).withColumnRenamed("rep", "rid")
-    # Stored, so that the join knows how many documents take part: the texts of few are not moved through a shuffle.
+    # Stored, so that the join knows how many documents take part: the lines of few are not moved through a shuffle.
     roles = store(asks.join(gives, "rid", "full_outer").withColumn("asks", F.coalesce("asks", F.array())), "roles")
 
-    one = docs.select("rid", F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.octet_length("text") >= 2 * PASSAGE - 1)
     schema = "rep long, salt int, kind int, rid long, doc_id long, first int, data binary, stretches binary"
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1).compress
         names = ("rep", "salt", "kind", "rid", "doc_id", "first", "data", "stretches")
         kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
         last = None
@@ -431,35 +502,33 @@ def verified(docs: DataFrame, found: DataFrame, width: int, similarity: float) -
             reps, dealt, lists = (asks.field(c) for c in ("rep", "salt", "stretches"))
             wanted = np.stack([lists.values.field(c).to_numpy() for c in ("low", "high", "shift")], axis=1).astype(np.int32)
             reps, dealt, bounds = reps.to_numpy(), dealt.to_numpy(), lists.offsets.to_numpy()
-            texts = batch["text"].to_pylist()
-            words = words_of([t if some else None for t, some in zip(texts, np.diff(at))])
-            for i, (rid, doc_id, text, salts) in enumerate(zip(*(batch[c].to_pylist() for c in ("rid", "doc_id")), texts, batch["salts"].to_pylist())):
+            for i, (rid, doc_id, (line, places), salts) in enumerate(zip(*(batch[c].to_pylist() for c in ("rid", "doc_id")), stored_lines(batch), batch["salts"].to_pylist())):
                 if rid == last:
                     continue  # a repeated row
                 last = rid
+                line = line.astype(np.uint32)
                 if salts:
-                    data = pack(text.encode("utf-8", "surrogatepass"))
-                    out += [(rid, salt, 0, rid, doc_id, 0, data, b"") for salt in salts]
-                own = shingles(text, words[i]).astype(np.uint32)
+                    data, held = line.tobytes(), places.tobytes()
+                    out += [(rid, salt, 0, rid, doc_id, 0, data, held) for salt in salts]
+                own = spread(line, places, 2) if at[i] < at[i + 1] else line
                 for k in range(at[i], at[i + 1]):
                     some = wanted[bounds[k] : bounds[k + 1]]
                     first, end = int(some[:, 0].min()), int(some[:, 1].max()) + 1
                     out.append((int(reps[k]), int(dealt[k]), 1, rid, doc_id, first, own[first:end].tobytes(), some.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 8, kinds)], names=list(names))
 
-    sent = one.join(roles, "rid").sortWithinPartitions("rid").mapInArrow(send, schema)
+    sent = docs.select("rid", "doc_id", "line", "bounds").join(roles, "rid").sortWithinPartitions("rid").mapInArrow(send, schema)
     dealt = sent.repartition("rep", "salt").sortWithinPartitions("rep", "salt", "kind")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor().decompress
         rep, theirs, held, partner = None, np.zeros(0, np.uint32), np.zeros(0, np.uint32), None
         for batch in rows_of(batches, 500):
             pairs, named, out = [], [], []
             for key, kind, rid, doc_id, first, data, wanted in zip(*(batch[c].to_pylist() for c in ("rep", "kind", "rid", "doc_id", "first", "data", "stretches"))):
                 if kind == 0:
                     rep, partner = key, doc_id
-                    theirs = shingles(unpack(data).decode("utf-8", "surrogatepass")).astype(np.uint32)
-                    held = np.unique(theirs)
+                    line = np.frombuffer(data, np.uint32)
+                    theirs, held = spread(line, np.frombuffer(wanted, np.int32).reshape(-1, 2), 0), np.sort(line)
                 elif key == rep:
                     own = np.frombuffer(data, np.uint32)
                     stretches = narrowed(np.frombuffer(wanted, np.int32).reshape(-1, 3), likely(own, held, width, similarity), first, width)
@@ -476,26 +545,28 @@ def verified(docs: DataFrame, found: DataFrame, width: int, similarity: float) -
 def found_passages(docs: DataFrame, distinct: DataFrame, hashes: int, width: int, similarity: float) -> DataFrame:
     """(rid, rep, partner, start, end) of all passages of ``distinct``, documents of different texts. The result is stored.
 
-    Windows are made once and stored for as long as it takes. They meet by hash function and minimum. The smallest
-    document of a key stands for it; all others join it, so a key that many documents share costs a row each, and the
-    join's large partitions can be split. Where one of a key's documents has another text there than the smallest, the
-    regions around the key are searched again by their rarest shingles (``rare_windows``), and what even those leave open
-    by whole stretches (``exact_repeats``).
+    Only stretches most of whose shingles another document has as well can resemble any (``held_regions``); all that
+    follows is about their shingles, which are made once. Windows are stored for as long as it takes. They meet by hash
+    function and minimum. The smallest document of a key stands for it; all others join it, so a key that many documents
+    share costs a row each, and the join's large partitions can be split. Where one of a key's documents has another text
+    there than the smallest, the regions around the key are searched again by their rarest shingles (``rare_windows``),
+    and what even those leave open by whole stretches (``exact_repeats``).
     """
     with tidy_shuffles(docs.sparkSession), short_batches(docs.sparkSession):
-        with sinks.stored(emitted(distinct, hashes, width), "llm-compact-windows") as rows:
+        lines = store(region_lines(docs, held_regions(distinct, width, similarity)), "held-shingles")
+        with sinks.stored(emitted(lines, hashes, width), "llm-compact-windows") as rows:
             met = store(shared(rows), "shared-windows")
-        checked = store(verified(docs, store(overlaps(met, 0, width), "candidates"), width, similarity), "passages")
+        checked = store(verified(lines, store(overlaps(met, 0, width), "candidates"), width, similarity), "passages")
         regions = store(unsettled(met, checked, 0, width), "regions")
-        again = store(shared(rare_windows(docs, regions, width, similarity)), "rare-windows")
+        again = store(shared(rare_windows(lines, regions, width, similarity)), "rare-windows")
         new = outside(overlaps(again, FEW, width).withColumn("start", F.col("low")).withColumn("end", F.col("high") + SHINGLE), checked)
-        checked = checked.union(store(verified(docs, store(new.drop("start", "end"), "rare-candidates"), width, similarity), "rare-passages"))
+        checked = checked.union(store(verified(lines, store(new.drop("start", "end"), "rare-candidates"), width, similarity), "rare-passages"))
         left = store(unsettled(again, checked, FEW, width), "rare-regions")
-        checked = checked.union(store(exact_repeats(docs, left, checked, width), "exact-passages"))
-        return elected(docs, again, checked, width, similarity)
+        checked = checked.union(store(exact_repeats(lines, left, checked, width), "exact-passages"))
+        return elected(lines, again, checked, width, similarity)
 
 
-def elected(docs: DataFrame, met: DataFrame, checked: DataFrame, width: int, similarity: float) -> DataFrame:
+def elected(lines: DataFrame, met: DataFrame, checked: DataFrame, width: int, similarity: float) -> DataFrame:
     """``checked`` and the passages of documents that share a rare shingle, but no passage with those that stand for it.
 
     They elect the smallest of their own, ``ROUNDS`` times over; those that are still left are compared with each other,
@@ -508,7 +579,7 @@ def elected(docs: DataFrame, met: DataFrame, checked: DataFrame, width: int, sim
         if met.isEmpty():
             break
         found = store(overlaps(met, FEW if turn + 1 < ROUNDS else EVERY, width), "open-candidates")
-        checked = checked.union(store(verified(docs, found, width, similarity), "open-passages"))
+        checked = checked.union(store(verified(lines, found, width, similarity), "open-passages"))
     return checked
 
 
@@ -537,28 +608,222 @@ def unsettled(met: DataFrame, checked: DataFrame, few: int, width: int) -> DataF
     return several.join(keys, "key").groupBy("rid").agg(F.collect_set(span).alias("regions"))
 
 
-def regional(docs: DataFrame, regions: DataFrame, width: int) -> DataFrame:
-    """(rid, line, places): the shingles of a document's regions, a 0 behind each region, and where they stand."""
+def covering(low: np.ndarray, high: np.ndarray, width: int, size: int) -> np.ndarray:
+    """Which of ``size`` places stand in regions of ``width`` places and more."""
+    wide = high - low + 1 >= width
+    low, high = np.minimum(low[wide], size), np.minimum(high[wide] + 1, size)
+    return np.cumsum(np.bincount(low, minlength=size + 1) - np.bincount(high, minlength=size + 1))[:size] > 0
+
+
+def runs_of(places: np.ndarray) -> np.ndarray:
+    """(low, high) of each run of consecutive places."""
+    last = np.flatnonzero(np.diff(places, append=-9) != 1)
+    first = np.concatenate((np.zeros(min(len(last), 1), np.int64), last[:-1] + 1))
+    return np.stack((places[first], places[last]), axis=1).astype(np.int32)
+
+
+def region_lines(docs: DataFrame, regions: DataFrame) -> DataFrame:
+    """(rid, doc_id, line, bounds): the shingles of a document's regions, and the (low, high) of where they stand."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches, 200):
-            lines, places = [], []
-            bounds, spans = batch["regions"].offsets.to_numpy(), batch["regions"].values
-            low, high = (spans.field(c).to_numpy() for c in ("low", "high"))
-            for words, a, b in zip(words_of(batch["text"].to_pylist()), bounds, bounds[1:]):
-                own = np.concatenate((shingles(None, words), np.zeros(1, np.uint64)))
-                wide = np.flatnonzero(high[a:b] - low[a:b] + 1 >= width) + a
-                wanted = np.bincount(low[wide], minlength=len(own) + 1) - np.bincount(high[wide] + 1, minlength=len(own) + 1)
-                at = np.flatnonzero(np.cumsum(wanted)[: len(own)])
-                ends = np.flatnonzero(np.diff(at, append=-9) != 1)
-                lines.append(np.insert(own[at], ends + 1, 0).tobytes())
-                places.append(np.insert(at, ends + 1, -1).astype(np.int32).tobytes())
-            yield pa.RecordBatch.from_arrays([batch["rid"], pa.array(lines, pa.binary()), pa.array(places, pa.binary())], names=["rid", "line", "places"])
-
-    return docs.select("rid", "text").join(regions, "rid").mapInArrow(run, "rid long, line binary, places binary")
-
-
-def rare_windows(docs: DataFrame, regions: DataFrame, width: int, similarity: float) -> DataFrame:
+            lines, bounds = [], []
+            low, high, at = spans_in(batch)
+            for own, a, b in zip(shingle_lines(batch["text"].to_pylist()), at, at[1:]):
+                places = np.flatnonzero(covering(low[a:b], high[a:b], 1, len(own)))
+                lines.append(own[places].tobytes())
+                bounds.append(runs_of(places).tobytes())
+            yield pa.RecordBatch.from_arrays([batch["rid"], batch["doc_id"], pa.array(lines, pa.binary()), pa.array(bounds, pa.binary())], names=["rid", "doc_id", "line", "bounds"])
+
+    one = docs.select("rid", F.col("doc_id").cast("long").alias("doc_id"), "text").join(regions, "rid")
+    return one.mapInArrow(run, "rid long, doc_id long, line binary, bounds binary")
+
+
+def stored_lines(batch: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(values, bounds) of each row of ``region_lines``."""
+    return [(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(b.as_py(), np.int32).reshape(-1, 2)) for x, b in zip(batch["line"], batch["bounds"])]
+
+
+def places_of(bounds: np.ndarray) -> np.ndarray:
+    """All places of the runs."""
+    sizes = bounds[:, 1].astype(np.int64) - bounds[:, 0] + 1
+    return np.repeat(bounds[:, 0] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+
+
+def spread(line: np.ndarray, bounds: np.ndarray, fill: int) -> np.ndarray:
+    """32-bit values at their places. Shingles are odd; between them stand even values, all different, by ``fill`` also from another text's."""
+    out = np.arange(bounds[-1, 1] + 1 if len(bounds) else 0, dtype=np.uint32) * np.uint32(4) + np.uint32(fill)
+    out[places_of(bounds)] = line
+    return out
+
+
+def spans_in(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(low, high) of the regions of all rows, and where those of each row begin."""
+    spans = batch["regions"].values
+    return spans.field("low").to_numpy(), spans.field("high").to_numpy(), batch["regions"].offsets.to_numpy()
+
+
+def within(line: np.ndarray, bounds: np.ndarray, low: np.ndarray, high: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(values, bounds) of what stands in regions of ``width`` and more."""
+    at = places_of(bounds)
+    some = covering(low, high, width, int(bounds[-1, 1]) + 1 if len(bounds) else 0)[at]
+    return line[some], runs_of(at[some])
+
+
+def separated(line: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(line, places) with a 0 and a place of -1 behind each run."""
+    ends = np.cumsum(bounds[:, 1] - bounds[:, 0] + 1)
+    return np.insert(line, ends, 0), np.insert(places_of(bounds), ends, -1).astype(np.int32)
+
+
+_DEALT = "batch long, part int, data binary, counts binary, rids binary, sizes binary, index binary, line binary, places binary"
+
+
+def dealt_values(batch: int, values: np.ndarray, doc: np.ndarray, **body: np.ndarray) -> pa.RecordBatch:
+    """Rows of ``_DEALT``: the distinct values of a batch of documents, sorted, by their leading bits, with the number of documents.
+
+    ``values`` go by document. Part -1 is the ``body`` with the index of the distinct value of each value.
+    """
+    order = np.argsort(values, kind="stable")
+    v, d = values[order], doc[order]
+    new = np.ones(len(v), bool)
+    new[1:] = v[1:] != v[:-1]
+    number = np.cumsum(new) - 1
+    index = np.zeros(len(v), np.uint32)
+    index[order] = number
+    new_doc = new.copy()
+    new_doc[1:] |= d[1:] != d[:-1]
+    unique, counts = v[new], np.bincount(number[new_doc]).astype(np.uint16)
+    cuts = np.searchsorted(unique >> np.uint64(64 - PART_BITS), np.arange((1 << PART_BITS) + 1).astype(np.uint64))
+    rest = (unique >> np.uint64(32 - PART_BITS)).astype(np.uint32)
+    parts = np.flatnonzero(np.diff(cuts))
+    body["index"] = index
+    names = [c.split()[0] for c in _DEALT.split(", ")]
+    columns = [
+        pa.array(np.full(len(parts) + 1, batch)), pa.array(np.concatenate(([-1], parts)).astype(np.int32)),
+        *(pa.array([None, *(x[cuts[p] : cuts[p + 1]].tobytes() for p in parts)], pa.binary()) for x in (rest, counts)),
+        *(pa.array([body[c].tobytes() if c in body else None, *[None] * len(parts)], pa.binary()) for c in names[4:]),
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=names)
+
+
+def ranks_of(blobs: list[tuple[bytes, bytes]]) -> list[bytes]:
+    """For each value of each blob the power of two of the documents that have it in any blob; 0 is for one alone."""
+    values, counts = np.frombuffer(b"".join(x for x, _ in blobs), np.uint32), np.frombuffer(b"".join(x for _, x in blobs), np.uint16)
+    key = np.sort((values.astype(np.uint64) << np.uint64(32)) | np.arange(len(values), dtype=np.uint64))
+    order, value = (key & np.uint64(0xFFFFFFFF)).astype(np.int64), key >> np.uint64(32)
+    first = np.flatnonzero(np.concatenate((np.ones(min(len(value), 1), bool), value[1:] != value[:-1])))
+    held = np.add.reduceat(counts[order].astype(np.int64), first)
+    ranks = np.zeros(len(values), np.uint8)
+    ranks[order] = np.repeat(np.frexp(held.astype(np.float64))[1] - 1, np.diff(first, append=len(values)))
+    return [x.tobytes() for x in np.split(ranks, np.cumsum([len(x) // 4 for x, _ in blobs])[:-1])]
+
+
+def by_rank(dealt: DataFrame, use: Callable[[dict[str, bytes], np.ndarray], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """What ``use`` makes of the body of each batch and the ranks of its values: how many documents of all batches have them.
+
+    ``dealt`` has rows of ``dealt_values``. Values move as blobs of 32 bits each, as many rows as there are batches and
+    parts; those of a part are counted together. Different values that agree in all bits that count have a rank too high.
+    """
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, names, blobs = -1, [], []
+
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([part] * len(names), pa.int32()), pa.array(ranks_of(blobs), pa.binary())], names=["batch", "part", "data"])
+
+        for batch in batches:
+            for no, p, data, counts in zip(*(batch[c].to_pylist() for c in ("batch", "part", "data", "counts"))):
+                if p != part and blobs:
+                    yield told()
+                    names, blobs = [], []
+                part = p
+                names.append(no)
+                blobs.append((data, counts))
+        if blobs:
+            yield told()
+
+    body = ("rids", "sizes", "index", "line", "places")
+    blobs = dealt.filter("part >= 0").select("batch", "part", "data", "counts").repartition("part").sortWithinPartitions("part")
+    ranked = blobs.mapInArrow(rank, "batch long, part int, data binary")
+    both = dealt.filter("part < 0").select("batch", "part", "data", *body).unionByName(ranked, allowMissingColumns=True)
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, bytes] = {}
+        ranks: list[bytes] = []
+
+        def used() -> Iterator[pa.RecordBatch]:
+            return use(held, np.frombuffer(b"".join(ranks), np.uint8)[np.frombuffer(held["index"], np.uint32)])
+
+        for batch in batches:
+            for i, (part, data) in enumerate(zip(batch["part"].to_pylist(), batch["data"])):
+                if part >= 0:
+                    ranks.append(data.as_py())
+                    continue
+                if held:
+                    yield from used()
+                held, ranks = {c: batch[c][i].as_py() for c in body}, []
+        if held:
+            yield from used()
+
+    return both.repartition("batch").sortWithinPartitions("batch", "part").mapInArrow(finish, schema)
+
+
+def numbered() -> Iterator[int]:
+    """Numbers that no other task of the stage counts."""
+    return count(TaskContext.get().partitionId() << 32)
+
+
+def held_regions(docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(rid, regions): the (low, high) of stretches that may resemble another document's. The others cannot.
+
+    Of ``width`` shingles, at most a share of 1 - ``similarity`` of the distinct ones may be in no other document. Half of
+    the shingles, by a bit of their hash, are looked up: stretches in which more of those alone are missing are left out.
+    """
+    most = int((1 - similarity) * width + 1e-9)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = numbered()
+        for batch in chunks_of(batches, "text"):
+            lines = shingle_lines(batch["text"].to_pylist())
+            rid = batch["rid"].to_numpy()
+            some = np.flatnonzero([len(x) >= width for x in lines])
+            if not len(some):
+                continue
+            lines = [lines[i] for i in some]
+            sizes = np.array([len(x) for x in lines], np.int64)
+            line = np.concatenate(lines)
+            taken = line & np.uint64(2) != 0
+            doc = np.repeat(np.arange(len(lines)), sizes)[taken]
+            yield dealt_values(next(number), line[taken], doc, rids=rid[some], sizes=sizes, places=np.packbits(taken))
+
+    def regions(body: dict[str, bytes], ranks: np.ndarray) -> Iterator[pa.RecordBatch]:
+        sizes, rid = np.frombuffer(body["sizes"], np.int64), np.frombuffer(body["rids"], np.int64)
+        missing = np.flatnonzero(ranks == 0)
+        ends = np.cumsum(sizes)
+        n = int(ends[-1])
+        at = np.flatnonzero(np.unpackbits(np.frombuffer(body["places"], np.uint8), count=n))[missing]
+        before = previous(*in_order(np.frombuffer(body["index"], np.uint32)[missing]))  # in the same document, as no other has the value
+        before[before >= 0] = at[before[before >= 0]]
+        absent = np.cumsum(np.bincount(np.maximum(before + 1, at - width + 1).clip(0), minlength=n + 1) - np.bincount(at + 1, minlength=n + 1))[:n]
+        good = absent <= most
+        for back in range(1, width):  # no stretch runs over the end of its document
+            good[ends - back] = False
+        starts = np.flatnonzero(good)
+        inside = np.flatnonzero(covering(starts, starts + width - 1, width, n))
+        doc = np.searchsorted(ends, inside, side="right")
+        own = inside - (ends - sizes)[doc]
+        last = np.flatnonzero((np.diff(own, append=-9) != 1) | (np.diff(doc, append=-9) != 0))
+        first = np.concatenate((np.zeros(min(len(last), 1), np.int64), last[:-1] + 1))
+        docs_, offsets = np.unique(doc[first], return_index=True)
+        spans = pa.StructArray.from_arrays([pa.array(own[x].astype(np.int32)) for x in (first, last)], names=["low", "high"])
+        yield pa.RecordBatch.from_arrays([pa.array(rid[docs_]), pa.ListArray.from_arrays(pa.array(np.append(offsets, len(first)).astype(np.int32)), spans)], names=["rid", "regions"])
+
+    with sinks.stored(docs.select("rid", "text").filter(F.octet_length("text") >= 2 * (width + SHINGLE) - 3).mapInArrow(deal, _DEALT), "llm-values") as dealt:
+        return store(by_rank(dealt, regions, "rid long, regions array<struct<low:int,high:int>>"), "held-regions")
+
+
+def rare_windows(lines: DataFrame, regions: DataFrame, width: int, similarity: float) -> DataFrame:
     """Compact windows of the regions by rarity: what fewer documents hold comes first, ties go by the min-hash.
 
     Text that many documents share, such as a notice, thus is no minimum of a stretch with anything rarer in it. Shingles
@@ -566,48 +831,36 @@ def rare_windows(docs: DataFrame, regions: DataFrame, width: int, similarity: fl
     powers of two. Two hash functions, so that shingles of other places that happen to be as rare hide no passage.
     A stretch with too few shingles that any other document has in its regions resembles none and makes no window.
     """
-    lines = store(regional(docs, regions, width), "region-shingles")
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows_of(batches, 500):
-            values = [np.unique(np.frombuffer(x.as_py(), np.uint64)) for x in batch["line"]]
-            values = [v[v != 0] for v in values]
-            rid = np.repeat(batch["rid"].to_numpy(), [len(v) for v in values])
-            yield pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(np.concatenate(values).view(np.int64))], names=["rid", "value"])
-
-    held = lines.mapInArrow(each, "rid long, value long")
-    rank = F.floor(F.log2(F.count(F.lit(1)))).cast("byte").alias("rank")
-    several = held.groupBy("value").agg(rank).filter("rank > 0")
-    ranks = held.join(several, "value").groupBy("rid").agg(F.collect_list("value").alias("values"), F.collect_list("rank").alias("ranks"))
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = numbered()
+        for batch in chunks_of(batches, "line"):
+            low, high, at = spans_in(batch)
+            starts, line, spots = laid(*zip(*(separated(*within(*x, low[a:b], high[a:b], width)) for x, a, b in zip(stored_lines(batch), at, at[1:]))))
+            some = np.flatnonzero(line)
+            doc = np.searchsorted(starts, some, side="right") - 1
+            yield dealt_values(next(number), line[some], doc, rids=batch["rid"].to_numpy(), sizes=starts, line=line, places=spots)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(body: dict[str, bytes], ranks: np.ndarray) -> Iterator[pa.RecordBatch]:
         last = np.iinfo(np.uint64).max
-        for batch in rows_of(batches, 400):
-            parts = [np.frombuffer(x.as_py(), np.uint64) for x in batch["line"]]
-            starts = np.cumsum([1, *(len(x) + 1 for x in parts)])
-            line, tier = np.zeros(starts[-1], np.uint64), np.zeros(starts[-1], np.uint64)
-            spots, alike = np.zeros(starts[-1], np.int32), np.zeros(starts[-1], bool)
-            for s, x, at, values, ranks in zip(starts, parts, batch["places"], batch["values"], batch["ranks"]):
-                line[s : s + len(x)], spots[s : s + len(x)] = x, np.frombuffer(at.as_py(), np.int32)
-                values, ranks = values.values.to_numpy().view(np.uint64), ranks.values.to_numpy()
-                order = np.argsort(values)
-                values, ranks = values[order], ranks[order]
-                near = np.minimum(np.searchsorted(values, x), len(values) - 1)
-                tier[s : s + len(x)] = np.where(values[near] == x, ranks[near], 0)
-                begun = likely(x, values, width, similarity)
-                open_ = np.bincount(begun, minlength=len(x) + 1) - np.bincount(begun + width, minlength=len(x) + 1)
-                alike[s : s + len(x)] = np.cumsum(open_[: len(x)]) > 0
-            rid = batch["rid"].to_numpy()
-            for h in range(2):
-                order = (tier << np.uint64(56)) | (mixed(line, 300 + h) >> np.uint64(8))
-                order = np.where((line == 0) | ~alike, np.uint64(0), np.where(tier == 0, last, order))
-                key, doc, further, place, before, after = windows_of(line, order, starts, width, 400 + h)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, rid[doc], further, spots[place], before, after)], names=_NAMES)
-
-    return lines.join(ranks, "rid").mapInArrow(run, _ROWS)
-
-
-def exact_repeats(docs: DataFrame, regions: DataFrame, checked: DataFrame, width: int) -> DataFrame:
+        line, starts, rid = np.frombuffer(body["line"], np.uint64), np.frombuffer(body["sizes"], np.int64), np.frombuffer(body["rids"], np.int64)
+        spots, tier, alike = np.frombuffer(body["places"], np.int32), np.zeros(len(line), np.uint64), np.zeros(len(line), bool)
+        tier[line != 0] = ranks
+        for a, b in zip(starts, starts[1:] - 1):
+            begun = mostly(line[a:b], tier[a:b] > 0, width, similarity)
+            open_ = np.bincount(begun, minlength=b - a + 1) - np.bincount(begun + width, minlength=b - a + 1)
+            alike[a:b] = np.cumsum(open_[: b - a]) > 0
+        for h in range(2):
+            order = (tier << np.uint64(56)) | (mixed(line, 300 + h) >> np.uint64(8))
+            order = np.where((line == 0) | ~alike, np.uint64(0), np.where(tier == 0, last, order))
+            key, doc, further, place, before, after = windows_of(line, order, starts, width, 400 + h)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, rid[doc], further, spots[place], before, after)], names=_NAMES)
+
+    with sinks.stored(lines.join(regions, "rid").mapInArrow(deal, _DEALT), "llm-region-values") as dealt:
+        return store(by_rank(dealt, run, _ROWS), "region-windows")
+
+
+def exact_repeats(lines: DataFrame, regions: DataFrame, checked: DataFrame, width: int) -> DataFrame:
     """(rid, rep, partner, start, end): stretches of the regions that another document repeats word for word.
 
     They meet by a hash of the whole stretch, so whatever document stands for it has it, and nothing needs a second
@@ -617,27 +870,23 @@ def exact_repeats(docs: DataFrame, regions: DataFrame, checked: DataFrame, width
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches, 100):
             keys, sizes, places = [], [], []
-            for words, regions in zip(words_of(batch["text"].to_pylist()), batch["regions"].to_pylist()):
-                own = shingles(None, words)
-                wanted = np.zeros(len(own) + 1, np.int64)
-                for r in regions:
-                    if r["high"] - r["low"] + 1 >= width:
-                        wanted[r["low"]] += 1
-                        wanted[r["high"] - width + 2] -= 1
-                at = np.flatnonzero(np.cumsum(wanted)[: max(0, len(own) - width + 1)])
-                value = np.zeros(len(at), np.uint64)
+            low, high, offsets = spans_in(batch)
+            for (own, bounds), a, b in zip(stored_lines(batch), offsets, offsets[1:]):
+                spots, n = places_of(bounds), max(0, len(own) - width + 1)
+                wanted = covering(low[a:b], high[a:b] - width + 1, 1, int(spots[-1]) + 1 if len(spots) else 0)[spots]
+                begun = np.flatnonzero(wanted[:n] & (spots[width - 1 :] - spots[:n] == width - 1))  # those within one run
+                value = np.zeros(len(begun), np.uint64)
                 with np.errstate(over="ignore"):
                     for k in range(width):
-                        value = value * np.uint64(0x9E3779B97F4A7C15) + own[at + k]
+                        value = value * np.uint64(0x9E3779B97F4A7C15) + own[begun + k]
                 keys.append(mixed(value, 9).view(np.int64))
-                places.append(at.astype(np.int32))
-                sizes.append(len(at))
+                places.append(spots[begun].astype(np.int32))
+                sizes.append(len(begun))
             rid = np.repeat(batch["rid"].to_numpy(), sizes)
             doc_id = batch["doc_id"].take(pa.array(np.repeat(np.arange(batch.num_rows), sizes)))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(rid), doc_id, pa.array(np.concatenate(places))], names=["key", "rid", "doc_id", "at"])
 
-    one = docs.select("rid", F.col("doc_id").cast("long").alias("doc_id"), "text").join(regions, "rid")
-    with sinks.stored(one.mapInArrow(stretches, "key long, rid long, doc_id long, at int"), "llm-stretches") as rows:
+    with sinks.stored(lines.join(regions, "rid").mapInArrow(stretches, "key long, rid long, doc_id long, at int"), "llm-stretches") as rows:
         reps = rows.groupBy("key").agg(F.min(F.struct("rid", "doc_id")).alias("rep"), F.max("rid").alias("most")).filter("rep.rid <> most").drop("most")
         met = rows.join(reps, "key").filter("rid <> rep.rid").groupBy("rid", "rep").agg(F.array_sort(F.collect_set("at")).alias("ats"))
         met = store(met.select("rid", F.col("rep.rid").alias("rep"), F.col("rep.doc_id").alias("partner"), "ats"), "met")
@@ -667,13 +916,13 @@ def repeats(docs: DataFrame, passage: int = PASSAGE, similarity: float = SIMILAR
     checked = found_passages(named, named.join(classes, "alike", "left").filter(~copy), hashes, width, similarity)
     spans = store(checked.groupBy("rid").agg(F.collect_set(F.struct("start", "end")).alias("found"), F.collect_set("partner").alias("partners")), "spans")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches, 1000):
-            n = [sum(map(len, blocks_of(t.as_py()))) for t in batch["text"]]
+            n = [word_count(t.as_py()) for t in batch["text"]]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["rid"], batch["alike"], pa.array(n, pa.int64())], names=["doc_id", "rid", "alike", "n_words"])
 
     schema = named.select("doc_id", "rid", "alike", F.lit(0).cast("long").alias("n_words")).schema
-    counted = named.mapInArrow(count, schema).join(classes, "alike", "left").join(spans, "rid", "left")
+    counted = named.mapInArrow(words, schema).join(classes, "alike", "left").join(spans, "rid", "left")
     long = copy & (F.col("n_words") >= passage)
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end")))
     return counted.select(

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -432,3 +433,69 @@ def test_a_task_of_the_verification_runs_one_python_step(spark, capsys):
     got.explain()
     assert capsys.readouterr().out.count("MapInArrow") == 2  # send, and behind an exchange compare
     assert [(r.rid, r.rep, r.start, r.end) for r in got.collect()] == [(rid[1], rid[0], 0, 80)]
+
+
+def test_only_text_that_others_hold_is_compared(spark, monkeypatch):
+    """A line of ten words in all documents makes no candidates; the two that share a passage are the only ones."""
+    line, passage = words(40, 10), words(41, 60)
+    rows = [words(3000 + i, 70) + line + words(4000 + i, 70) for i in range(50)]
+    rows += [words(5000, 30) + passage + words(5001, 40), words(5002, 20) + [*passage[:30], "changed", *passage[31:]] + words(5003, 60)]
+    seen, keep = {}, windows.store
+    monkeypatch.setattr(windows, "store", lambda df, name: seen.setdefault(name, keep(df, name)))
+    got = {r.doc_id: r for r in windows.repeats(documents(spark, [(i, " ".join(w)) for i, w in enumerate(rows)])).collect()}
+    found = {i: [tuple(s) for s in r.spans] for i, r in got.items() if r.spans}
+    assert found in ({50: [(30, 90)]}, {51: [(20, 80)]})
+    assert seen["candidates"].select("rid", "rep").distinct().count() == 1
+
+
+def test_regions_hold_all_stretches_alike(spark):
+    """Whatever resembles another document is in the regions, changed, inserted and repeated words among it; other text is not."""
+    r, rows = random.Random(3), []
+    for i in range(25):
+        one = words(100 + i, 90) if i % 3 else words(100 + i, 9) * 10
+        other = list(one)
+        for _ in range(i % 4):
+            at = r.randrange(len(other))
+            other[at : at + r.randrange(2)] = [f"changed{i}x{at}"]
+        rows += [words(200 + i, 60) + one + words(300 + i, r.randrange(200)), words(400 + i, r.randrange(50)) + other + words(500 + i, 150)]
+    rows += [words(600 + i, 300) + words(40, 15) for i in range(10)]
+    rows += [words(40, 15), []]
+    df = documents(spark, [(i, " ".join(w)) for i, w in enumerate(rows)]).withColumn("rid", windows.row_id())
+    ids = {x.rid: x.doc_id for x in df.collect()}
+    got = {ids[x.rid]: x.regions for x in windows.held_regions(df, 46, 0.8).collect()}
+    assert set(got) <= set(range(50))
+    own = [windows.shingles(" ".join(w)).astype(np.uint32) for w in rows]
+    alike = 0
+    for i in range(0, 50, 2):
+        for a, b in ((i, i + 1), (i + 1, i)):
+            for shift in range(-len(own[a]) + 46, len(own[b]) - 45):
+                low, n = max(0, -shift), min(len(own[a]), len(own[b]) - shift)
+                starts = windows.similar_stretches(own[a][low:n], own[b][low + shift : n + shift], 46, 0.8) + low
+                alike += len(starts)
+                assert all(any(x.low <= s and s + 45 <= x.high for x in got[a]) for s in starts.tolist())
+    assert alike > 500
+    assert sum(x.high - x.low + 1 for regions in got.values() for x in regions) < 2 * 25 * 150
+
+
+def test_documents_are_counted_over_all_batches():
+    r = np.random.default_rng(7)
+    batches = [[np.unique(r.integers(0, 1 << 63, 40, np.uint64) | np.uint64(1)) for _ in range(3)] for _ in range(4)]
+    common = batches[0][0][:9]
+    for i, docs in enumerate(batches):
+        for k in range(3):
+            docs[k] = np.concatenate((docs[k], common[: 3 * i], common[: 3 * i]))  # twice in a document
+    blobs, index = {}, []
+    for no, docs in enumerate(batches):
+        rows = windows.dealt_values(no, np.concatenate(docs), np.repeat(range(3), [len(d) for d in docs]), sizes=np.array([1])).to_pylist()
+        assert rows[0]["part"] == -1 and rows[0]["line"] is None and rows[0]["sizes"] is not None
+        index.append(np.frombuffer(rows[0]["index"], np.uint32))
+        for x in rows[1:]:
+            blobs.setdefault(x["part"], []).append((no, (x["data"], x["counts"])))
+    ranks = {}
+    for part in sorted(blobs):
+        for (no, _), ranked in zip(blobs[part], windows.ranks_of([x for _, x in blobs[part]])):
+            ranks.setdefault(no, []).append(ranked)
+    held = Counter(v for docs in batches for d in docs for v in set(d.tolist()))
+    for no, docs in enumerate(batches):
+        got = np.frombuffer(b"".join(ranks[no]), np.uint8)[index[no]]
+        assert got.tolist() == [int(np.log2(held[v])) for v in np.concatenate(docs).tolist()]
